@@ -1,0 +1,34 @@
+"""Stored intermediate tables for jobs that read their input many times."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session, whose executors share the driver's disk, gets a
+    temporary folder when none is named.
+    """
+    context = spark.sparkContext
+    folder = context.getCheckpointDir()
+    if folder is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="changeseries-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """Compute ``rows`` once and read them from shared storage from then on.
+
+    A lost executor then costs a re-read of its part, not a new scan of the log.
+    """
+    checkpoint_folder(rows.sparkSession)
+    return rows.checkpoint()
