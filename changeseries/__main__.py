@@ -11,7 +11,7 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from changeseries.operators.matrix import complete_case_matrix
+from changeseries.operators.matrix import CITIES, complete_case_matrix
 from changeseries.plans.job import run
 from changeseries.plans.spec import JobSpec
 from changeseries.session import session
@@ -38,7 +38,8 @@ def main(arguments: list[str] | None = None) -> None:
 
     spark = session(master="local[*]" if options.local else None)
     if options.command == "matrix":
-        write_matrix(complete_case_matrix(read_change_csv(spark, options.input)), options.output, single_file=True)
+        changes = read_change_csv(spark, options.input, entities=CITIES)
+        write_matrix(complete_case_matrix(changes), options.output, single_file=True)
         return
     spec = JobSpec.from_json(options.config, label_source=options.labels)
     if options.command == "cluster":

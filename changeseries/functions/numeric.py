@@ -23,6 +23,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """``value`` as a column of its own that the optimizer does not copy.
+
+    A filter on a computed column is pushed below the projection, which computes
+    the column again for every mention. A generator over a single element yields
+    the same rows and keeps the filter above it. Use it alone in a ``select``.
+    """
+    return F.explode(F.array(value))
+
+
 def total(values: Column) -> Column:
     """Left-to-right sum of an array of doubles."""
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)

@@ -148,7 +148,7 @@ def fit_dba_kmeans(
     """Assign and update until no series changes its cluster, or ``max_iter`` updates.
 
     ``features`` is read once per round; hand in a stored table, not a long plan
-    (``plans.storage.stored``). ``centers`` overrides the drawn initial centers.
+    (``storage.stored``). ``centers`` overrides the drawn initial centers.
     """
     if centers is None:
         if k < 1:

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeseries.functions.numeric import is_finite
+from changeseries.functions.numeric import is_finite, once
 
 CENTER_SCHEMA = "cluster INT, center ARRAY<DOUBLE>"
 
@@ -34,7 +34,9 @@ def finite_features(features: DataFrame, non_finite: str = "error") -> DataFrame
     ``"error"`` fails the job that meets one, ``"drop"`` leaves the series out.
     """
     if non_finite == "drop":
-        return features.filter(is_finite(F.col("features")))
+        others = [name for name in features.columns if name != "features"]
+        once_computed = features.select(*others, once(F.col("features")).alias("features"))
+        return once_computed.filter(is_finite(F.col("features")))
     if non_finite != "error":
         raise ValueError("non_finite must be 'error' or 'drop'")
     message = F.concat(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from changeseries.functions.numeric import ieee_divide
 from changeseries.functions.timestamps import whole_seconds_between
+from changeseries.storage import stored
 
 # The entities of the count matrix.
 CITIES = (
@@ -155,9 +156,9 @@ def complete_case_matrix(
 ) -> DataFrame:
     """Wide form of ``complete_case_cells``.
 
-    The column names need a first job (at most ``top`` names come back); the
-    matrix itself then reads only those properties, as a filter on the scan.
+    The column names must be known before the pivot, so the cells, at most ``top``
+    for each listed entity, are stored first: the log is read once.
     """
-    names = [row["property"] for row in complete_case_cells(changes, entities, top).select("property").distinct().collect()]
-    kept = changes.filter(F.col("property").isin(*names)) if names else changes.filter(F.lit(False))
-    return pivot_matrix(pair_counts(_among(kept, "entity", sorted(set(entities)))), "n", names)
+    cells = stored(complete_case_cells(changes, entities, top))
+    names = [row["property"] for row in cells.select("property").distinct().collect()]
+    return pivot_matrix(cells, "n", names)

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changeseries.functions.numeric import once
 from changeseries.functions.text import joined_name
 from changeseries.functions.transforms import apply_transforms
 from changeseries.functions.windows import TimeWindows
@@ -175,9 +176,11 @@ def transform_series(
     series_filter: Column | None = None,
 ) -> DataFrame:
     """Apply a chain of transforms to ``y``, then keep what ``series_filter`` accepts."""
-    changed = series.withColumn("y", apply_transforms(F.col("y"), list(transforms), windows))
-    changed = changed.filter(F.col("y").isNotNull())
-    return changed if series_filter is None else changed.filter(series_filter)
+    y = apply_transforms(F.col("y"), list(transforms), windows)
+    others = [name for name in series.columns if name != "y"]
+    if series_filter is None:
+        return series.select(*others, y.alias("y"))
+    return series.select(*others, once(y).alias("y")).filter(series_filter)
 
 
 def run_metrics(

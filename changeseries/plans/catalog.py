@@ -24,7 +24,7 @@ from changeseries.operators.labels import join_labels
 from changeseries.operators.warping import assign_nearest, dtw_distance
 from changeseries.plans.job import run, series_features
 from changeseries.plans.spec import JobSpec
-from changeseries.plans.storage import checkpoint_folder, stored
+from changeseries.storage import checkpoint_folder, stored
 from changeseries.sinks.lines import centers_lines, centers_long, members_lines, write_lines, write_matrix
 from changeseries.sources.changelog import change_log, positional_keys, read_change_csv
 from changeseries.sources.labels import label_table, read_label_csv
@@ -46,9 +46,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def activity(spark: SparkSession, folder: str) -> DataFrame:
+def activity(spark: SparkSession, folder: str, properties: tuple[str, ...] | None = None) -> DataFrame:
     """Events as a change log: user, event type, payload, time."""
-    return change_log(table(spark, folder, "events").select("user_id", "event_type", "props", "ts"))
+    events = table(spark, folder, "events").select("user_id", "event_type", "props", "ts")
+    return change_log(events, properties=properties)
 
 
 def purchases(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,8 +78,12 @@ def rounded(value: Column) -> Column:
 
 
 def long_form(rows: DataFrame, values: str = "y", digits: int | None = None) -> DataFrame:
-    """``(name, i, value)``, one row per array element."""
-    rows = rows.select(joined_name(F.col("name")).alias("name"), F.posexplode(values).alias("i", "value"))
+    """``(name, i, value)``, one row per array element.
+
+    The outer form of the generator is used on arrays that are never empty: for the
+    inner one Spark adds a non-empty filter that would compute the array again.
+    """
+    rows = rows.select(joined_name(F.col("name")).alias("name"), F.posexplode_outer(values).alias("i", "value"))
     return rows if digits is None else rows.withColumn("value", F.round("value", digits))
 
 
@@ -230,7 +235,7 @@ def series_cutoff(spark: SparkSession, folder: str) -> DataFrame:
 def series_rlz_cutoff_normalize(spark: SparkSession, folder: str) -> DataFrame:
     rows, windows = sixty_day_orders(spark, folder)
     chain = ["RemoveLeadingZero", "cutoffAt", "Normalize"]
-    busy = F.exists("y", lambda v: v != F.get("y", F.lit(0)))
+    busy = F.array_max("y") > F.array_min("y")
     rows = series.transform_series(rows, chain[:2], windows, busy)
     return long_form(series.transform_series(rows, chain[2:], windows), digits=DIGITS)
 
@@ -259,11 +264,11 @@ def entity_property_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def property_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return matrix.property_counts(activity(spark, folder), EVENT_TYPES[:4])
+    return matrix.property_counts(activity(spark, folder, EVENT_TYPES[:4]))
 
 
 def entity_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return matrix.entity_counts(activity(spark, folder), EVENT_TYPES[:4])
+    return matrix.entity_counts(activity(spark, folder, EVENT_TYPES[:4]))
 
 
 def total_count(spark: SparkSession, folder: str) -> DataFrame:
@@ -283,7 +288,7 @@ def count_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def property_share_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    cells = matrix.property_share_cells(activity(spark, folder), EVENT_TYPES[:4])
+    cells = matrix.property_share_cells(activity(spark, folder, EVENT_TYPES[:4]), EVENT_TYPES[:4])
     wide = matrix.pivot_matrix(cells, "share", EVENT_TYPES[:4], fill=0.0)
     return wide.select("Settlement", *[F.round(name, 9).alias(name) for name in EVENT_TYPES[:4]])
 

@@ -22,7 +22,7 @@ from changeseries.operators.series import (
     transform_series,
 )
 from changeseries.plans.spec import JobSpec
-from changeseries.plans.storage import stored
+from changeseries.storage import stored
 from changeseries.sinks import jdbc as jdbc_sink
 from changeseries.sinks.lines import write_clusters
 from changeseries.sources.changelog import positional_keys, read_change_csv

@@ -10,6 +10,7 @@ def session(app_name: str = "changeseries", master: str | None = None) -> SparkS
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
     if master is not None:
