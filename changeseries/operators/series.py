@@ -109,20 +109,22 @@ def _dense(cells: Column, count: int) -> Column:
     """Sorted ``(i, n)`` cells as an array of ``count`` doubles, gaps filled with zero.
 
     Each cell contributes the zeros since its predecessor and itself, so the work
-    is linear in the length of the series.
+    is linear in the length of the series. Appending is measurably cheaper here
+    than concatenating.
     """
 
-    def zeros(times: Column) -> Column:
-        return F.array_repeat(F.lit(0.0), times)
+    def zeros_between(before: Column, at: Column) -> Column:
+        return F.array_repeat(F.lit(0.0), at - before - 1)
 
     def position(index: Column) -> Column:
         return F.coalesce(F.get(cells, index)["i"], F.lit(-1))
 
     pieces = F.transform(
         cells,
-        lambda cell, at: F.concat(zeros(cell["i"] - position(at - 1) - 1), F.array(cell["n"])),
+        lambda cell, at: F.array_append(zeros_between(position(at - 1), cell["i"]), cell["n"]),
     )
-    return F.concat(F.flatten(pieces), zeros(F.lit(count - 1) - position(F.size(cells) - 1)))
+    rest = zeros_between(position(F.size(cells) - 1), F.lit(count))
+    return F.flatten(F.array_append(pieces, rest))
 
 
 def build_series(

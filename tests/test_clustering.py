@@ -1,0 +1,243 @@
+"""Warping and both clusterings against plain-Python computations."""
+
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from changeseries.operators import dba, warping
+from changeseries.operators.kmeans import center_table, finite_features, fit_kmeans
+from changeseries.operators.labels import join_labels
+
+NAMED = "name ARRAY<STRING>, features ARRAY<DOUBLE>"
+
+
+def table_of(center, y):
+    cost = [[0.0] * len(y) for _ in center]
+    for i, a in enumerate(center):
+        for j, b in enumerate(y):
+            around = []
+            if i and j:
+                around.append(cost[i - 1][j - 1])
+            if j:
+                around.append(cost[i][j - 1])
+            if i:
+                around.append(cost[i - 1][j])
+            cost[i][j] = (a - b) ** 2 + (min(around) if around else 0.0)
+    return cost
+
+
+def distance(center, y):
+    return table_of(center, y)[-1][-1]
+
+
+def path(center, y):
+    """Best path; a tie goes up first, then left, then diagonal."""
+    cost, i, j = table_of(center, y), len(center) - 1, len(y) - 1
+    cells = [(i, j)]
+    while i or j:
+        if not j:
+            i -= 1
+        elif not i:
+            j -= 1
+        else:
+            up, left, diagonal = cost[i - 1][j], cost[i][j - 1], cost[i - 1][j - 1]
+            if up <= left and up <= diagonal:
+                i -= 1
+            elif left <= diagonal:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+        cells.append((i, j))
+    return cells
+
+
+def barycenter(center, members):
+    """Batch form: all values that were warped to a position, then their mean."""
+    values = [[] for _ in center]
+    for y in members:
+        for i, j in path(center, y):
+            values[i].append(y[j])
+    return [sum(v) / len(v) for v in values]
+
+
+def lloyd(rows, centers, max_iter):
+    def assign():
+        return [min(range(len(centers)), key=lambda c: (distance(centers[c], y), c)) for y in rows]
+
+    last = assign()
+    for _ in range(max_iter):
+        groups = [[y for y, c in zip(rows, last) if c == k] for k in range(len(centers))]
+        centers = [barycenter(c, g) if g else c for c, g in zip(centers, groups)]
+        now = assign()
+        if now == last:
+            break
+        last = now
+    return centers, assign()
+
+
+series_of = st.lists(st.integers(0, 3).map(float), min_size=1, max_size=7)
+
+
+@settings(max_examples=150, deadline=None)
+@given(series_of, series_of)
+def test_costs_and_paths_equal_the_full_table(center, y):
+    a, b = np.array([center]), np.array([y])
+    assert warping.paired_costs(a, b)[0] == distance(center, y)
+    assert warping.warping_costs(b, a)[0, 0] == distance(center, y)
+    sums, hits = warping.barycenter_sums(b, a)
+    expected_sums, expected_hits = [0.0] * len(center), [0] * len(center)
+    for i, j in path(center, y):
+        expected_sums[i] += y[j]
+        expected_hits[i] += 1
+    assert sums[0].tolist() == expected_sums and hits[0].tolist() == expected_hits
+
+
+def test_blocks_do_not_change_the_costs(monkeypatch):
+    draw = np.random.default_rng(5)
+    y, centers = draw.normal(size=(40, 12)), draw.normal(size=(3, 9))
+    whole, traced = warping.warping_costs(y, centers), warping.barycenter_sums(y, np.repeat(centers[:1], 40, 0))
+    monkeypatch.setattr(warping, "BLOCK_ELEMENTS", 70)
+    monkeypatch.setattr(warping, "BLOCK_POINTERS", 700)
+    assert (warping.warping_costs(y, centers) == whole).all()
+    again = warping.barycenter_sums(y, np.repeat(centers[:1], 40, 0))
+    assert (again[0] == traced[0]).all() and (again[1] == traced[1]).all()
+    assert np.allclose(whole, [[distance(c, row) for c in centers] for row in y])
+
+
+def test_distance_column(spark):
+    rows = spark.createDataFrame(
+        [([0.0, 1.0, 2.0], [0.0, 1.0, 1.0, 2.0]), ([1.0], [3.0]), ([0.0, 1.0, 2.0], [2.0, 0.0, 5.0, 1.0])],
+        "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>",
+    )
+    out = rows.select("a", "b", warping.dtw_distance("a", "b").alias("ab"), warping.dtw_distance("b", "a").alias("ba"), warping.dtw_distance("a", "a").alias("aa"))
+    for row in out.collect():
+        assert row["ab"] == row["ba"] == distance(row["a"], row["b"]) and row["aa"] == 0.0
+
+
+def test_nearest_center_first_wins_and_minus_one(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame(
+        [(["a"], [1.0, 1.0]), (["b"], [5.0]), (["c"], [nan, nan]), (["d"], [3.0, 3.0, 3.0])], NAMED
+    )
+    out = warping.assign_nearest(rows, [[1.0, 1.0], [5.0, 5.0, 5.0], [1.0, 1.0]], cost="cost")
+    assert {row["name"][0]: row["assignedCluster"] for row in out.collect()} == {"a": 0, "b": 1, "c": -1, "d": 0}
+
+
+@pytest.fixture(scope="module")
+def counts(spark):
+    draw = random.Random(11)
+    rows = [([f"s{i:02}"], [float(draw.randint(0, 4)) for _ in range(8)]) for i in range(40)]
+    return rows, spark.createDataFrame(rows, NAMED).repartition(5)
+
+
+def test_one_update_equals_the_batch_form(counts):
+    rows, features = counts
+    start = [y for _, y in rows[:3]]
+    clusters = dba.fit_dba_kmeans(features, max_iter=1, centers=start)
+    centers, members = lloyd([y for _, y in rows], start, 1)
+    assert [row["center"] for row in clusters.centers.orderBy("cluster").collect()] == centers
+    assert [row["assignedCluster"] for row in clusters.members.orderBy("name").collect()] == members
+
+
+def test_fit_equals_the_loop_in_plain_python(counts):
+    rows, features = counts
+    start = dba.initial_centers(features, 4, seed=7)
+    clusters = dba.fit_dba_kmeans(features, 4, 30, 7)
+    centers, members = lloyd([y for _, y in rows], start, 30)
+    found = [row["center"] for row in clusters.centers.orderBy("cluster").collect()]
+    assert np.allclose(found, centers)
+    assert [row["assignedCluster"] for row in clusters.members.orderBy("name").collect()] == members
+
+
+def test_the_cost_does_not_rise_and_partitions_do_not_matter(counts):
+    _, features = counts
+    for parts in (1, 8):
+        current, last = dba.initial_centers(features, 3, 1), float("inf")
+        prints = []
+        for _ in range(4):
+            current, mark, cost = dba.updated_centers(features.repartition(parts), current)
+            assert cost <= last + 1e-9
+            last = cost
+            prints.append(mark)
+        if parts == 1:
+            expected = prints
+    assert prints == expected
+
+
+def test_fingerprint_tells_assignments_apart(counts):
+    _, features = counts
+    centers = dba.initial_centers(features, 2, 1)
+    _, first, _ = dba.updated_centers(features, centers)
+    _, swapped, _ = dba.updated_centers(features, centers[::-1])
+    assert first != swapped and sum(size for size, *_ in first.values()) == 40
+
+
+def test_empty_cluster_keeps_center_and_number(counts):
+    _, features = counts
+    far = [[1000.0] * 8, [1.0] * 8]
+    clusters = dba.fit_dba_kmeans(features, max_iter=3, centers=far)
+    assert clusters.centers.filter("cluster = 0").first()["center"] == far[0]
+    assert {row["assignedCluster"] for row in clusters.members.collect()} == {1}
+
+
+def test_initial_centers_are_exact_and_repeatable(counts):
+    rows, features = counts
+    chosen = dba.initial_centers(features, 40, 5)
+    assert sorted(chosen) == sorted(y for _, y in rows)
+    assert dba.initial_centers(features, 5, 5) == chosen[:5]
+    assert dba.initial_centers(features, 5, 6) != chosen[:5]
+    with pytest.raises(ValueError):
+        dba.fit_dba_kmeans(features, 41)
+    with pytest.raises(ValueError):
+        dba.fit_dba_kmeans(features, 0)
+
+
+def test_assignment_changes(spark):
+    schema = "name ARRAY<STRING>, assignedCluster INT"
+    before = spark.createDataFrame([(["a"], 0), (["b"], 1), (["c"], 1)], schema)
+    after = spark.createDataFrame([(["a"], 1), (["b"], 1), (["c"], 0)], schema)
+    assert dba.assignment_changes(before, after).first()["moved"] == 2
+
+
+def test_kmeans_members_are_nearest_to_their_center(counts):
+    _, features = counts
+    clusters = fit_kmeans(features, k=3, max_iter=20, seed=1)
+    centers = [row["center"] for row in clusters.centers.orderBy("cluster").collect()]
+    members = clusters.members.collect()
+    assert clusters.members.columns == ["name", "features", "assignedCluster"]
+    for row in members:
+        gaps = ((np.array(centers) - row["features"]) ** 2).sum(axis=1)
+        assert gaps[row["assignedCluster"]] <= gaps.min() + 1e-9
+    for number, center in enumerate(centers):
+        mine = [row["features"] for row in members if row["assignedCluster"] == number]
+        assert np.allclose(np.mean(mine, axis=0), center)
+    with pytest.raises(ValueError):
+        fit_kmeans(features, k=1)
+
+
+def test_non_finite_features(spark):
+    rows = spark.createDataFrame([(["a"], [1.0]), (["b"], [float("nan")]), (["c"], [float("-inf")])], NAMED)
+    assert finite_features(rows, "drop").count() == 1
+    with pytest.raises(Exception, match="non-finite features"):
+        finite_features(rows).collect()
+    with pytest.raises(ValueError):
+        finite_features(rows, "keep")
+
+
+def test_label_join(spark):
+    members = spark.createDataFrame(
+        [(["Rome", "x"], [1.0], 0), (["Oslo"], [2.0], 1)], NAMED + ", assignedCluster INT"
+    )
+    labels = spark.createDataFrame(
+        [("ROME", "city"), ("rome", "capital"), ("x", "letter")], "entity STRING, template STRING"
+    )
+    joined = join_labels(members, labels)
+    assert joined.columns == ["name", "features", "assignedCluster", "trueCluster"]
+    assert sorted((row["name"][0], row["trueCluster"]) for row in joined.collect()) == [("Rome", "capital"), ("Rome", "city")]
+
+
+def test_center_table(spark):
+    assert [tuple(r) for r in center_table(spark, [[1, 2], [3]]).orderBy("cluster").collect()] == [(0, [1.0, 2.0]), (1, [3.0])]
