@@ -27,9 +27,14 @@ def normalize(y: Column) -> Column:
     """z-score with the population deviation; a constant series becomes NaN."""
 
     def scale(v: Column, mean: Column) -> Column:
-        squares = F.transform(v, lambda x: (x - mean) * (x - mean))
-        deviation = F.sqrt(ieee_divide(total(squares), length(v)))
-        return let(deviation, lambda sd: F.transform(v, lambda x: ieee_divide(x - mean, sd)))
+        squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+        # The zero test stands outside of the loop, whose body runs once per value.
+        return let(
+            F.sqrt(ieee_divide(squares, length(v))),
+            lambda sd: F.when(sd != 0, F.transform(v, lambda x: (x - mean) / sd)).otherwise(
+                F.transform(v, lambda x: ieee_divide(x - mean, sd))
+            ),
+        )
 
     return let(y, lambda v: let(ieee_divide(total(v), length(v)), lambda mean: scale(v, mean)))
 

@@ -20,6 +20,7 @@ from changeseries.operators.warping import (
     assign_nearest,
     barycenter_sums,
     center_groups,
+    distinct,
     nearest,
     stacks,
 )
@@ -45,19 +46,22 @@ class _Partials:
         self.marks = np.zeros((2, len(centers)), dtype=np.uint64)
 
     def add(self, series: np.ndarray, marks: np.ndarray) -> None:
-        best, cost = nearest(series, self.groups)
+        rows, like = distinct(series)
+        weight = np.bincount(like)
+        best, cost = nearest(rows, self.groups)
         if (best < 0).any():
             raise ValueError("a series has no finite distance to any center")
         for cluster in np.unique(best):
             mine = best == cluster
-            members = series[mine]
-            center = np.broadcast_to(self.centers[cluster], (len(members), len(self.centers[cluster])))
-            sums, hits = barycenter_sums(members, center)
-            self.sums[cluster] += sums.sum(axis=0)
-            self.hits[cluster] += hits.sum(axis=0)
-            self.cost[cluster] += cost[mine].sum()
-            self.size[cluster] += len(members)
-            self.marks[:, cluster] += marks[:, mine].sum(axis=1, dtype=np.uint64)
+            center = np.broadcast_to(
+                self.centers[cluster], (np.count_nonzero(mine), len(self.centers[cluster]))
+            )
+            sums, hits = barycenter_sums(rows[mine], center)
+            self.sums[cluster] += weight[mine] @ sums
+            self.hits[cluster] += weight[mine] @ hits
+            self.cost[cluster] += weight[mine] @ cost[mine]
+            self.size[cluster] += weight[mine].sum()
+            self.marks[:, cluster] += marks[:, mine[like]].sum(axis=1, dtype=np.uint64)
 
     def rows(self) -> pa.RecordBatch:
         columns: list[list] = [[], [], [], [], [], []]

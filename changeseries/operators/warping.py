@@ -130,6 +130,16 @@ def stacks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, values[starts[at][:, None] + np.arange(size)]
 
 
+def distinct(series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, and for every row the number of its like among them.
+
+    Sparse count series repeat a lot, and a repeated one need not be warped again.
+    """
+    whole = np.ascontiguousarray(series).view(np.dtype((np.void, series.shape[1] * series.itemsize)))
+    _, first, like = np.unique(whole.ravel(), return_index=True, return_inverse=True)
+    return series[first], like
+
+
 def center_groups(centers: list[list[float]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Centers as matrices, one per center length: (center numbers, values)."""
     sizes = np.array([len(center) for center in centers])
@@ -182,7 +192,9 @@ def assign_nearest(
             best = np.empty(batch.num_rows, dtype=np.int32)
             price = np.empty(batch.num_rows)
             for at, values in stacks(batch.column(features)):
-                best[at], price[at] = nearest(values, groups)
+                rows, like = distinct(values)
+                number, lowest = nearest(rows, groups)
+                best[at], price[at] = number[like], lowest[like]
             extra = [pa.array(best), pa.array(price)][: len(added)]
             names = [*batch.schema.names, *[field.name for field in added]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=names)

@@ -366,7 +366,7 @@ def first_series(rows: DataFrame, k: int) -> list[list[float]]:
 
 def dba_update(spark: SparkSession, folder: str) -> DataFrame:
     """Centers after one update, starting from the first three series by name."""
-    rows = stored(daily_features(spark, folder))
+    rows = stored(daily_features(spark, folder), spread=True)
     clusters = fit_dba_kmeans(rows, max_iter=1, centers=first_series(rows, 3))
     return centers_long(clusters.centers).select("cluster", "index", rounded(F.col("value")).alias("value"))
 
@@ -385,14 +385,14 @@ def barycenter_update(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dba_kmeans_members(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stored(daily_features(spark, folder))
+    rows = stored(daily_features(spark, folder), spread=True)
     members = fit_dba_kmeans(rows, k=5, max_iter=10, seed=13).members
     return members.select(joined_name(F.col("name")).alias("name"), "assignedCluster")
 
 
 def dba_assignment_changes(spark: SparkSession, folder: str) -> DataFrame:
     """How many series the first update moved to another cluster."""
-    rows = stored(daily_features(spark, folder))
+    rows = stored(daily_features(spark, folder), spread=True)
     start = first_series(rows, 3)
     before = fit_dba_kmeans(rows, max_iter=0, centers=start).members
     after = fit_dba_kmeans(rows, max_iter=1, centers=start).members

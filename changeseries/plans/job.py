@@ -110,7 +110,7 @@ def run(
     features, windows = series_features(
         source, spec, keys, change_filter, group_filter, series_filter
     )
-    features = stored(features)
+    features = stored(features, spread=spec.clustering_alg == "DBAKMeans")
     members, centers, _ = cluster(features, spec)
     if spec.add_ground_truth:
         members = join_labels(members, labels)

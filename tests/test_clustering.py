@@ -107,6 +107,12 @@ def test_blocks_do_not_change_the_costs(monkeypatch):
     assert np.allclose(whole, [[distance(c, row) for c in centers] for row in y])
 
 
+def test_repeated_series_are_warped_once():
+    series = np.array([[1.0, 2.0], [0.0, 5.0], [1.0, 2.0], [1.0, 3.0], [0.0, 5.0]])
+    rows, like = warping.distinct(series)
+    assert len(rows) == 3 and (rows[like] == series).all()
+
+
 def test_distance_column(spark):
     rows = spark.createDataFrame(
         [([0.0, 1.0, 2.0], [0.0, 1.0, 1.0, 2.0]), ([1.0], [3.0]), ([0.0, 1.0, 2.0], [2.0, 0.0, 5.0, 1.0])],
@@ -130,6 +136,8 @@ def test_nearest_center_first_wins_and_minus_one(spark):
 def counts(spark):
     draw = random.Random(11)
     rows = [([f"s{i:02}"], [float(draw.randint(0, 4)) for _ in range(8)]) for i in range(40)]
+    for i in range(10, 20):
+        rows[i] = (rows[i][0], rows[i % 3][1])
     return rows, spark.createDataFrame(rows, NAMED).repartition(5)
 
 
@@ -185,6 +193,7 @@ def test_empty_cluster_keeps_center_and_number(counts):
 
 def test_initial_centers_are_exact_and_repeatable(counts):
     rows, features = counts
+    assert features.count() == 40
     chosen = dba.initial_centers(features, 40, 5)
     assert sorted(chosen) == sorted(y for _, y in rows)
     assert dba.initial_centers(features, 5, 5) == chosen[:5]
