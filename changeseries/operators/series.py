@@ -49,13 +49,24 @@ def _name(keys: Sequence[Key]) -> Column:
     return F.array(*_key_names(keys)).cast("array<string>").alias("name")
 
 
+def _time(ts: str) -> Column:
+    """The change time as a wall clock, whichever timestamp type it has."""
+    return F.col(ts).cast("timestamp_ntz")
+
+
+def _stats(ts: str) -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("n"),
+        F.min(_time(ts)).alias("min_ts"),
+        F.max(_time(ts)).alias("max_ts"),
+    ]
+
+
 def group_stats(
     changes: DataFrame, keys: Sequence[Key], group_filter: Column | None = None, ts: str = "ts"
 ) -> DataFrame:
     """``(name, n, min_ts, max_ts)`` per group; ``group_filter`` is a predicate over them."""
-    groups = changes.groupBy(*key_columns(keys)).agg(
-        F.count(F.lit(1)).alias("n"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts")
-    )
+    groups = changes.groupBy(*key_columns(keys)).agg(*_stats(ts))
     groups = groups.select(_name(keys), "n", "min_ts", "max_ts")
     return groups if group_filter is None else groups.filter(group_filter)
 
@@ -68,7 +79,7 @@ def time_bounds(
 ) -> DataFrame:
     """One row ``(min_ts, max_ts)`` over the changes of the groups that survive."""
     if group_filter is None:
-        return changes.agg(F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"))
+        return changes.agg(*_stats(ts)).select("min_ts", "max_ts")
     return group_stats(changes, keys, group_filter, ts).agg(
         F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts")
     )
@@ -99,10 +110,8 @@ def window_counts(
     """Non-empty cells ``(k0.., slot, n, min_ts, max_ts)``, one per key and window."""
     if before_start not in ("clamp", "drop"):
         raise ValueError("before_start must be 'clamp' or 'drop'")
-    slot = windows.slot(F.col(ts), clamp_early=before_start == "clamp").alias("slot")
-    return changes.groupBy(*key_columns(keys), slot).agg(
-        F.count(F.lit(1)).alias("n"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts")
-    )
+    slot = windows.slot(_time(ts), clamp_early=before_start == "clamp").alias("slot")
+    return changes.groupBy(*key_columns(keys), slot).agg(*_stats(ts))
 
 
 def _dense(cells: Column, count: int) -> Column:
@@ -195,13 +204,10 @@ def run_metrics(
     """
     names = _key_names(keys)
     rows = changes.select(
-        *key_columns(keys), text_or_null(F.col("entity")).alias("entity"), F.col(ts).alias("ts")
+        *key_columns(keys), text_or_null(F.col("entity")).alias("entity"), _time(ts).alias("ts")
     )
     groups = rows.groupingSets([names, ["entity"]], *names, "entity").agg(
-        F.grouping("entity").alias("by_key"),
-        F.count(F.lit(1)).alias("n"),
-        F.min("ts").alias("min_ts"),
-        F.max("ts").alias("max_ts"),
+        F.grouping("entity").alias("by_key"), *_stats("ts")
     )
     by_key = F.col("by_key") == 1
     kept = by_key if group_filter is None else by_key & group_filter

@@ -118,8 +118,8 @@ def change_log_from_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def timestamp_parse_forms(spark: SparkSession, folder: str) -> DataFrame:
-    date = F.date_format("o_orderdate", "yyyy-MM-dd")
-    time = F.date_format("o_orderdate", "HH:mm:ss")
+    moment = F.col("o_orderdate").cast("string")
+    date, time = F.substring(moment, 1, 10), F.substring(moment, 12, 8)
     text = (
         F.when(F.col("o_orderstatus") == "F", date)
         .when(F.col("o_orderstatus") == "O", F.concat(date, F.lit("T"), time, F.lit("+01:00")))
@@ -422,7 +422,7 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         return F.concat(F.lit('"'), doubled, F.lit('"'))
 
     events = table(spark, folder, "events")
-    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    stamp = F.col("ts").cast("string")
     good = F.concat_ws(",", cell(F.col("user_id").cast("string")), cell("event_type"), cell("props"), cell(stamp))
     short = F.concat_ws(",", cell(F.col("user_id").cast("string")), cell("event_type"))
     long = F.concat_ws(",", good, F.lit("extra"))

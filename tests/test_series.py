@@ -189,6 +189,14 @@ def test_result_does_not_depend_on_partitions_or_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_zoned_times_are_taken_as_wall_clocks(spark):
+    log = log_of(spark, [("a", datetime(2021, 3, 14, hour)) for hour in (1, 4, 23)])
+    zoned = log.withColumn("ts", F.col("ts").cast("timestamp"))
+    windows = TimeWindows(datetime(2021, 3, 14), datetime(2021, 3, 15), 4, "Hours")
+    assert as_dict(series.build_series(zoned, ["entity"], windows)) == {("a",): [1.0, 1.0, 0.0, 0.0, 0.0, 1.0]}
+    assert series.derive_windows(zoned, ["entity"], step=1, unit="Hours").count == 23
+
+
 def test_metrics(spark):
     log = log_of(spark, [("a", START), ("a", START), ("b", datetime(2020, 1, 5))])
     row = series.run_metrics(log, ["entity", "value"], F.col("n") > 1).first()
