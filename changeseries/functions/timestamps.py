@@ -14,9 +14,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The time given to a date without one, and the accepted layout.
+# The time given to a date without one, the accepted layout, and what an
+# offset can begin with.
 DATE_ONLY_SUFFIX = " 00:00:01.000000"
 TIMESTAMP_LAYOUT = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{0,6})?$"
+OFFSET_SIGNS = ("+", "Z", "-")
 
 
 def ntz(moment: datetime) -> Column:
@@ -31,13 +33,17 @@ def parse_timestamp_text(text: Column) -> Column:
     * ``2014-02-21``: one second past midnight.
     * ``2014-02-21 10:00:00[.ffffff]``, also with line breaks inside the field.
     """
-    time_of_day = F.regexp_replace(F.split_part(text, F.lit("T"), F.lit(2)), r"(Z|[+-].*)$", "")
-    iso = F.concat(F.split_part(text, F.lit("T"), F.lit(1)), F.lit(" "), time_of_day)
+    time_of_day = F.split_part(text, F.lit("T"), F.lit(2))
+    for sign in OFFSET_SIGNS:
+        time_of_day = F.substring_index(time_of_day, sign, 1)
+    iso = F.concat(F.substring_index(text, "T", 1), F.lit(" "), time_of_day)
     plain = F.when(F.contains(text, F.lit(" ")), text).otherwise(F.concat(text, F.lit(DATE_ONLY_SUFFIX)))
     cleaned = F.replace(
         F.when(F.contains(text, F.lit("T")), iso).otherwise(plain), F.lit("\n"), F.lit("")
     )
-    return F.when(cleaned.rlike(TIMESTAMP_LAYOUT), cleaned.try_cast("timestamp_ntz"))
+    # Extracting instead of testing mentions the text once, so it is put together once;
+    # what has another layout becomes an empty text, which is no timestamp.
+    return F.regexp_extract(cleaned, TIMESTAMP_LAYOUT, 0).try_cast("timestamp_ntz")
 
 
 def wall_clock(column: Column, data_type: T.DataType) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from changeseries.operators.warping import (
     center_groups,
     distinct,
     nearest,
+    shared_centers,
     stacks,
 )
 
@@ -80,8 +82,9 @@ class _Partials:
         )
 
 
-def barycenter_partials(features: DataFrame, centers: list[list[float]]) -> DataFrame:
+def barycenter_partials(features: DataFrame, centers: list[list[float]] | Broadcast) -> DataFrame:
     """Sums per (cluster, position) over all series, as ``PARTIAL_SCHEMA``."""
+    shared = centers if isinstance(centers, Broadcast) else shared_centers(features, centers)
     rows = features.select(
         "features",
         F.xxhash64("name", "features").alias("hash_a"),
@@ -89,7 +92,7 @@ def barycenter_partials(features: DataFrame, centers: list[list[float]]) -> Data
     )
 
     def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partials = _Partials(centers)
+        partials = _Partials(shared.value)
         for batch in batches:
             marks = np.stack(
                 [batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (1, 2)]
@@ -122,7 +125,10 @@ def updated_centers(
     """
     renewed = [list(center) for center in centers]
     fingerprint, cost = {}, 0.0
-    for row in barycenter_partials(features, centers).collect():
+    shared = shared_centers(features, centers)
+    rows = barycenter_partials(features, shared).collect()
+    shared.destroy()
+    for row in rows:
         if row["position"] == SUMMARY:
             marks = (int(row["mark_a"]) % 2**64, int(row["mark_b"]) % 2**64)
             fingerprint[row["cluster"]] = (row["weight"], *marks)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,6 +141,14 @@ def distinct(series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return series[first], like
 
 
+def shared_centers(rows: DataFrame, centers: list[list[float]]) -> Broadcast:
+    """Centers sent once to every executor, not with every task.
+
+    Their size is set by the job, number of clusters times windows, not by the data.
+    """
+    return rows.sparkSession.sparkContext.broadcast([list(map(float, c)) for c in centers])
+
+
 def center_groups(centers: list[list[float]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Centers as matrices, one per center length: (center numbers, values)."""
     sizes = np.array([len(center) for center in centers])
@@ -182,12 +191,13 @@ def assign_nearest(
     cost: str | None = None,
 ) -> DataFrame:
     """Add the number (and, if named, the cost) of the nearest center to every row."""
-    groups = center_groups(centers)
+    shared = shared_centers(series, centers)
     added = [T.StructField(output, T.IntegerType())]
     if cost is not None:
         added.append(T.StructField(cost, T.DoubleType()))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = center_groups(shared.value)
         for batch in batches:
             best = np.empty(batch.num_rows, dtype=np.int32)
             price = np.empty(batch.num_rows)
