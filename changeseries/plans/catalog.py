@@ -371,6 +371,13 @@ def dba_update(spark: SparkSession, folder: str) -> DataFrame:
     return centers_long(clusters.centers).select("cluster", "index", rounded(F.col("value")).alias("value"))
 
 
+def dba_two_updates(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters after two updates (one, if no series moves) from the first three series."""
+    rows = stored(daily_features(spark, folder), spread=True)
+    members = fit_dba_kmeans(rows, max_iter=2, centers=first_series(rows, 3)).members
+    return members.select(joined_name(F.col("name")).alias("name"), "assignedCluster")
+
+
 def barycenter_update(spark: SparkSession, folder: str) -> DataFrame:
     """Warped average of all vectors around the one with the smallest id."""
     vectors = table(spark, folder, "embeddings").select(
@@ -537,6 +544,7 @@ QUERIES: dict[str, Query] = {
     "dtw_pairs": dtw_pairs,
     "dtw_nearest_center": dtw_nearest_center,
     "dba_update": dba_update,
+    "dba_two_updates": dba_two_updates,
     "barycenter_update": barycenter_update,
     "dba_kmeans_members": dba_kmeans_members,
     "dba_assignment_changes": dba_assignment_changes,

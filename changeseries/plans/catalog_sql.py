@@ -83,20 +83,22 @@ SHIFTED = f"""CASE WHEN {FIRST_POSITIVE} IS NULL THEN y
   ELSE list_concat(y[{FIRST_POSITIVE}:], list_resize([]::DOUBLE[], {FIRST_POSITIVE} - 1, 0.0)) END"""
 
 
-def warping(size_center: int, size_series: int) -> str:
+def warping(size_center: int, size_series: int, nth: str = "") -> str:
     """CTE ``dp`` over ``pairs`` (id, c, x): costs along anti-diagonal t, one list per t.
 
+    ``nth`` is put after all CTE names, for queries with several rounds.
+
     Position i of ``cur`` belongs to center point i (1-based); cells outside the
     table are infinite.
     """
     infinite = "CAST('inf' AS DOUBLE)"
     return f"""
-      dp AS (
+      dp{nth} AS (
         SELECT id, c, x, 0 AS t,
                list_transform(range(1, {size_center + 1}),
                  lambda i: CASE WHEN i = 1 THEN (c[1] - x[1]) * (c[1] - x[1]) ELSE {infinite} END) AS cur,
                list_transform(range(1, {size_center + 1}), lambda i: {infinite}) AS prev
-        FROM pairs
+        FROM pairs{nth}
         UNION ALL
         SELECT id, c, x, t + 1,
                list_transform(range(1, {size_center + 1}),
@@ -105,19 +107,19 @@ def warping(size_center: int, size_series: int) -> str:
                         + least(cur[i], coalesce(cur[i - 1], {infinite}), coalesce(prev[i - 1], {infinite}))
                    ELSE {infinite} END),
                cur
-        FROM dp WHERE t < {size_center + size_series - 2})"""
+        FROM dp{nth} WHERE t < {size_center + size_series - 2})"""
 
 
-def warping_paths(size_center: int, size_series: int) -> str:
+def warping_paths(size_center: int, size_series: int, nth: str = "") -> str:
     """CTE ``path`` (id, i, j): cells of the best path of ``aligned`` pairs, 1-based.
 
     A tie goes up (i - 1) first, then left (j - 1), then diagonal.
     """
     infinite = "CAST('inf' AS DOUBLE)"
     return f"""
-      costs_at AS MATERIALIZED (SELECT id, t, cur, prev FROM dp),
-      path AS (
-        SELECT id, {size_center} AS i, {size_series} AS j FROM aligned
+      costs_at{nth} AS MATERIALIZED (SELECT id, t, cur, prev FROM dp{nth}),
+      path{nth} AS (
+        SELECT id, {size_center} AS i, {size_series} AS j FROM aligned{nth}
         UNION ALL
         SELECT id,
                CASE WHEN up <= least(lft, diag) OR lft > diag THEN i - 1 ELSE i END,
@@ -127,35 +129,41 @@ def warping_paths(size_center: int, size_series: int) -> str:
                  coalesce(a.cur[p.i - 1], {infinite}) AS up,
                  coalesce(a.cur[p.i], {infinite}) AS lft,
                  coalesce(a.prev[p.i - 1], {infinite}) AS diag
-          FROM path AS p JOIN costs_at AS a ON a.id = p.id AND a.t = p.i + p.j - 3
+          FROM path{nth} AS p JOIN costs_at{nth} AS a ON a.id = p.id AND a.t = p.i + p.j - 3
           WHERE p.i > 1 OR p.j > 1))"""
 
 
-# Pairs of every daily series with each of the first three series by name.
-DAILY_PAIRS = f"""{DAILY},
+# Daily series as lists, and the first three of them by name as centers of round 0.
+DAILY_LISTS = f"""{DAILY},
       lists AS (SELECT name, list(value ORDER BY i) AS y FROM series GROUP BY name),
-      centers AS (
+      centers0 AS (
         SELECT row_number() OVER (ORDER BY name) - 1 AS cluster, y AS c
-        FROM (SELECT * FROM lists ORDER BY name LIMIT 3)),
-      pairs AS (
-        SELECT name || '/' || cluster AS id, name, cluster, c, y AS x FROM lists CROSS JOIN centers)"""
-
-# One update from these centers: nearest center, path to it, mean per position.
-ONE_UPDATE = f"""{DAILY_PAIRS}, {warping(30, 30)},
-      costs AS (
-        SELECT p.id, p.name, p.cluster, d.cur[30] AS cost
-        FROM dp AS d JOIN pairs AS p ON p.id = d.id WHERE d.t = 58),
-      aligned AS (
-        SELECT id, name, cluster FROM costs
-        QUALIFY row_number() OVER (PARTITION BY name ORDER BY cost, cluster) = 1),
-      {warping_paths(30, 30)},
-      means AS (
-        SELECT p.cluster, path.i - 1 AS pos, sum(p.x[path.j]) / count(*) AS value
-        FROM path JOIN pairs AS p ON p.id = path.id GROUP BY ALL),
-      updated AS (
-        SELECT c.cluster, g.i AS pos, coalesce(m.value, c.c[g.i + 1]) AS value
-        FROM centers AS c CROSS JOIN (SELECT unnest(range(30)) AS i) AS g
-        LEFT JOIN means AS m ON m.cluster = c.cluster AND m.pos = g.i)"""
+        FROM (SELECT * FROM lists ORDER BY name LIMIT 3))"""
+
+
+def assignment(nth: int) -> str:
+    """CTE ``aligned<n>`` (id, name, cluster): nearest of ``centers<n>`` for each list."""
+    return f"""
+      pairs{nth} AS (
+        SELECT name || '/' || cluster AS id, name, cluster, c, y AS x FROM lists CROSS JOIN centers{nth}),
+      {warping(30, 30, str(nth))},
+      aligned{nth} AS (
+        SELECT p.id, p.name, p.cluster FROM dp{nth} AS d JOIN pairs{nth} AS p ON p.id = d.id WHERE d.t = 58
+        QUALIFY row_number() OVER (PARTITION BY p.name ORDER BY d.cur[30], p.cluster) = 1)"""
+
+
+def update(nth: int) -> str:
+    """CTE ``centers<n+1>``: mean of the values warped to each position of ``centers<n>``."""
+    return f"""
+      {warping_paths(30, 30, str(nth))},
+      means{nth} AS (
+        SELECT p.cluster, path.i, sum(p.x[path.j]) / count(*) AS value
+        FROM path{nth} AS path JOIN pairs{nth} AS p ON p.id = path.id GROUP BY ALL),
+      centers{nth + 1} AS (
+        SELECT c.cluster, list(coalesce(m.value, c.c[g.i]) ORDER BY g.i) AS c
+        FROM centers{nth} AS c CROSS JOIN (SELECT unnest(range(1, 31)) AS i) AS g
+        LEFT JOIN means{nth} AS m ON m.cluster = c.cluster AND m.i = g.i GROUP BY c.cluster)"""
+
 
 VECTORS = "SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings"
 
@@ -331,9 +339,19 @@ ORACLES: dict[str, str] = {
       FROM dp AS d JOIN pairs AS p ON p.id = d.id WHERE d.t = 126
       QUALIFY row_number() OVER (PARTITION BY p.vec_id ORDER BY d.cur[64], p.cluster) = 1""",
     "dba_update": f"""
-      WITH RECURSIVE {ONE_UPDATE}
-      SELECT CAST(cluster AS INTEGER) AS cluster, CAST(pos AS INTEGER) AS "index", round(value, 6) AS value
-      FROM updated""",
+      WITH RECURSIVE {DAILY_LISTS}, {assignment(0)}, {update(0)}
+      SELECT CAST(cluster AS INTEGER) AS cluster, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS "index",
+             round(unnest(c), 6) AS value
+      FROM centers1""",
+    "dba_two_updates": f"""
+      WITH RECURSIVE {DAILY_LISTS}, {assignment(0)}, {update(0)}, {assignment(1)}, {update(1)},
+      moved AS (
+        SELECT count(*) FILTER (a.cluster <> b.cluster) AS n FROM aligned0 AS a JOIN aligned1 AS b USING (name)),
+      centers3 AS (
+        SELECT * FROM centers2 WHERE (SELECT n FROM moved) > 0
+        UNION ALL SELECT * FROM centers1 WHERE (SELECT n FROM moved) = 0),
+      {assignment(3)}
+      SELECT name, CAST(cluster AS INTEGER) AS "assignedCluster" FROM aligned3""",
     "barycenter_update": f"""
       WITH RECURSIVE vectors AS ({VECTORS}),
       pairs AS (
@@ -345,17 +363,9 @@ ORACLES: dict[str, str] = {
       SELECT CAST(path.i - 1 AS INTEGER) AS i, {zeroless("sum(p.x[path.j]) / count(*)")} AS value
       FROM path JOIN pairs AS p ON p.id = path.id GROUP BY path.i""",
     "dba_assignment_changes": f"""
-      WITH RECURSIVE {ONE_UPDATE},
-      again AS (
-        SELECT lists.name || '/' || u.cluster AS id, lists.name, u.cluster,
-               list(u.value ORDER BY u.pos) AS c, any_value(lists.y) AS x
-        FROM lists CROSS JOIN updated AS u GROUP BY lists.name, u.cluster),
-      {warping(30, 30).replace("dp", "dp2").replace("FROM pairs", "FROM again")},
-      assigned AS (
-        SELECT a.name, a.cluster FROM dp2 AS d JOIN again AS a ON a.id = d.id WHERE d.t = 58
-        QUALIFY row_number() OVER (PARTITION BY a.name ORDER BY d.cur[30], a.cluster) = 1)
-      SELECT count(*) FILTER (assigned.cluster <> aligned.cluster) AS moved
-      FROM assigned JOIN aligned USING (name)""",
+      WITH RECURSIVE {DAILY_LISTS}, {assignment(0)}, {update(0)}, {assignment(1)}
+      SELECT count(*) FILTER (a.cluster <> b.cluster) AS moved
+      FROM aligned0 AS a JOIN aligned1 AS b USING (name)""",
     "members_lines": f"""
       WITH {DAILY}
       SELECT '"' || name || '","0",' || string_agg(CAST(value AS VARCHAR), ',' ORDER BY i) AS value
