@@ -53,7 +53,10 @@ def finite_features(features: DataFrame, non_finite: str = "error") -> DataFrame
 def fit_kmeans(
     features: DataFrame, k: int = 10, max_iter: int = 100, seed: int | None = None
 ) -> Clusters:
-    """MLlib k-means on ``(name, features)``; features come back as arrays."""
+    """MLlib k-means on ``(name, features)``; features come back as arrays.
+
+    Hand in a stored table: the fit and the members both read it.
+    """
     if k < 2:
         raise ValueError("k-means needs at least two clusters")
     kmeans = KMeans(
