@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Elements of one diagonal of a block: a few buffers of this size fit the CPU cache.
-BLOCK_ELEMENTS = 1 << 16
+BLOCK_ELEMENTS = 1 << 17
+# Series that a block should at least hold.
+BLOCK_SERIES = 64
 # Back-pointers of a block, one byte each.
 BLOCK_POINTERS = 1 << 25
 
-DIAGONAL, LEFT, UP = 0, 1, 2
+# Where a cell comes from; the larger code is preferred on ties.
+DIAGONAL, LEFT, UP = np.int8(0), np.int8(1), np.int8(2)
 
 
 def _diagonal_bounds(t: int, rows: int, columns: int) -> tuple[int, int]:
@@ -53,8 +56,10 @@ def _walk(centers: np.ndarray, series: np.ndarray, pointers: np.ndarray | None =
             left, up, diagonal = last[lo + 1 : hi + 1], last[lo:hi], before[lo:hi]
             np.minimum(diagonal, left, out=target)
             if pointers is not None:
-                step = np.where(left <= diagonal, LEFT, DIAGONAL)
-                pointers[t, lo:hi] = np.where(up <= target, UP, step)
+                # The codes are ordered, so the preferred one of two is the larger.
+                leftward = (left <= diagonal).view(np.int8) * LEFT
+                upward = (up <= target).view(np.int8) * UP
+                np.maximum(leftward, upward, out=pointers[t, lo:hi])
             np.minimum(target, up, out=target)
             np.add(target, here, out=target)
         before, last, current = last, current, before
@@ -63,13 +68,18 @@ def _walk(centers: np.ndarray, series: np.ndarray, pointers: np.ndarray | None =
 
 def warping_costs(series: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """Costs (n, k) of n series of equal length against k centers of equal length."""
-    stacked_centers = np.ascontiguousarray(centers.T)[:, None, :]
-    block = max(1, BLOCK_ELEMENTS // stacked_centers.size)
-    parts = [
-        _walk(stacked_centers, np.ascontiguousarray(series[at : at + block].T)[:, :, None])
-        for at in range(0, len(series), block)
-    ]
-    return np.concatenate(parts) if parts else np.empty((0, len(centers)))
+    costs = np.empty((len(series), len(centers)))
+    points = centers.shape[1]
+    # The series of a block lie innermost, as the axis to vectorise over: take so few
+    # centers at a time that it does not become short.
+    some = max(1, min(len(centers), BLOCK_ELEMENTS // (points * BLOCK_SERIES)))
+    block = max(1, BLOCK_ELEMENTS // (points * some))
+    for at in range(0, len(series), block):
+        rows = np.ascontiguousarray(series[at : at + block].T)[:, None, :]
+        for first in range(0, len(centers), some):
+            part = np.ascontiguousarray(centers[first : first + some].T)[:, :, None]
+            costs[at : at + block, first : first + some] = _walk(part, rows).T
+    return costs
 
 
 def paired_costs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
