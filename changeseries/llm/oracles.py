@@ -84,6 +84,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+OP3 = rf"""
+WITH base AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS w
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM base)),
+firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+covered AS (
+  SELECT doc_id, list(DISTINCT place) AS places
+  FROM (SELECT doc_id, i + unnest(range(0, 13)) AS place FROM windows JOIN firsts USING (w) WHERE doc_id > first) GROUP BY doc_id)
+SELECT base.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(places, []), i)), ' ')) AS kept_sha256
+FROM base LEFT JOIN covered ON base.doc_id = covered.doc_id
+"""
+
 OP5 = rf"""
 WITH sizes AS (
   SELECT doc_id, source, len({WORDS})::BIGINT AS size,
@@ -152,9 +166,45 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN base ON d.doc_id = base.doc_id LEFT JOIN shown ON d.doc_id = shown.doc_id
 """
 
+_HEX_BITS = ", ".join(f"'{i:04b}'" for i in range(16))
+_BASE_32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+OP8 = rf"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: [{_HEX_BITS}][strpos('0123456789abcdef', sha1(payload)[i])]), '') AS b FROM payloads)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE_32}', 1
+    + 16 * b[5 * i + 1]::BIGINT + 8 * b[5 * i + 2]::BIGINT + 4 * b[5 * i + 3]::BIGINT + 2 * b[5 * i + 4]::BIGINT + b[5 * i + 5]::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits
+"""
+
+OP10 = rf"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_lower("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM base WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common.n >= 85 * (x.n + y.n - common.n)),
+reached AS (SELECT doc_id, doc_id AS other FROM base UNION SELECT doc_id, b FROM reached JOIN links ON other = a),
+smallest AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT smallest.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, smallest.doc_id = component_id AS kept
+FROM smallest LEFT JOIN sizes ON smallest.doc_id = sizes.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filters": OP1,
     "op2_quality_rules": OP2,
+    "op3_substring_dedup": OP3,
     "op5_mixing": OP5,
     "op6_secret_scans": OP6,
+    "op8_warc": OP8,
+    "op10_minhash": OP10,
 }

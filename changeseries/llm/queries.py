@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeseries.llm import mixing, quality, secrets, url_filters
+from changeseries.llm import minhash, mixing, packing, quality, secrets, substring_dedup, url_filters, warc
+from changeseries.storage import checkpoint_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +29,11 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -42,6 +49,46 @@ def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{checkpoint_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, folder, "pages"), path)
+    records = (
+        warc.read_archives(spark, path)
+        .select("record_id", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("bytes"))
+        .checkpoint()
+    )
+    full = records.where("record_type = 'response'").groupBy("record_id").agg(F.max("bytes").alias("full_bytes"))
+    return records.join(full.withColumnRenamed("record_id", "response"), F.col("refers_to") == F.col("response"), "left").select(
+        warc.page_number(F.col("record_id")).alias("page_id"),
+        F.coalesce("bytes", "full_bytes").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        warc.page_number(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group"
+    )
+
+
+def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"), percent=85)
+
+
 QUERIES: dict[str, Query] = {
-    query.__name__: query for query in (op1_url_filters, op2_quality_rules, op5_mixing, op6_secret_scans)
+    query.__name__: query for query in (
+        op1_url_filters,
+        op2_quality_rules,
+        op3_substring_dedup,
+        op5_mixing,
+        op6_secret_scans,
+        op8_warc,
+        op9_packing,
+        op10_minhash,
+    )
 }
