@@ -26,6 +26,8 @@ def _sorted(frame: pd.DataFrame) -> pd.DataFrame:
     for column in columns:
         if pd.api.types.is_datetime64_any_dtype(frame[column]):
             frame = frame.assign(**{column: frame[column].astype("datetime64[us]")})
+        elif isinstance(frame[column].dtype, pd.Int64Dtype):  # whole numbers with nulls
+            frame = frame.assign(**{column: frame[column].astype("float64" if frame[column].hasnans else "int64")})
     return frame[columns].sort_values(columns, na_position="last").reset_index(drop=True)
 
 
