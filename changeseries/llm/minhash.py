@@ -6,17 +6,19 @@ leading zeros and the ``MANTISSA_BITS`` bits after the leading one. Two sets agr
 a register about as often as their Jaccard similarity says, plus rare collisions.
 
 1. Texts with equal sets form a class, known by its smallest id; only classes go on.
-2. Registers are cut into bands, as wide as the wanted recall permits (``band_width``).
-   Classes that agree in a band are candidates. Within a band's bucket each class
-   is paired with the smallest one only, so a bucket of n classes costs n rows.
-3. The similarity of a pair is estimated from all its registers, corrected for
+2. Registers are cut into bands, as wide as the wanted recall permits (``band_width``);
+   for that, empty registers borrow from full ones, so that short texts agree no more
+   easily than long ones. Classes that agree in a band are candidates. Within a band's
+   bucket each class is paired with the smallest one only, so a bucket of n classes costs n rows.
+3. The similarity of a pair is estimated from its registers, corrected for
    collisions; pairs that cannot reach the threshold (five standard deviations) go.
 4. The rest is verified on the full shingle sets of both texts.
 5. Connected components of the verified links are contracted. Buckets that then still
    hold several components are the ones where pairing with the smallest may
-   have lost a link between two others: there all pairs across different components
-   of similar size are estimated and verified, and components are built again. So
-   no link that matters for the components is missed within the candidates, however large a bucket is.
+   have lost a link between two others. There the full sets of all members are
+   compared, block by block of bounded size, and only links that join components leave
+   the task. Components are then built again. So no candidate that matters for
+   the components is left out, however large a bucket is.
 
 Results for odd rows: text without words has no shingle and is linked with nothing; a text
 of fewer words than a shingle has one shingle. A row without an id takes part in nothing:
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeseries.llm.components import components
+from changeseries.llm.storage import written
 from changeseries.llm.wordhash import SEED_1, SEED_2, Powers, Words, mixed, runs_of_texts, window_hashes
 from changeseries.storage import checkpoint_folder
 
@@ -44,6 +47,9 @@ MANTISSA_BITS = 10
 MISS_PROBABILITY = 1e-6
 DEVIATIONS = 5.0
 CHUNK_BYTES = 500_000
+BORROWING_TRIES = 16
+BLOCK_MEMBERS = 500
+INCIDENCE_COLUMNS = 2_048
 
 #: Chance that two different smallest hashes leave equal registers: the sum of squared
 #: cell probabilities of a smallest hash, cells being 2**-MANTISSA_BITS of a power of two wide.
@@ -135,22 +141,39 @@ def _as_matrix(sketches: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sketches.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
+def densified(matrix: np.ndarray) -> np.ndarray:
+    """Registers with the empty ones filled from full ones of the same row, chosen the same way in every row."""
+    out, full = matrix.copy(), matrix > 0
+    chosen = np.random.default_rng(REGISTERS).integers(0, REGISTERS, (BORROWING_TRIES, REGISTERS))
+    for source in chosen:
+        if out.all():
+            return out
+        out = np.where(out > 0, out, matrix[:, source])
+    rows = np.flatnonzero(~out.all(axis=1) & full.any(axis=1))
+    twice = np.where(np.tile(full[rows], 2), np.arange(2 * REGISTERS), 2 * REGISTERS)
+    following = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS] % REGISTERS
+    out[rows] = np.where(out[rows] > 0, out[rows], np.take_along_axis(matrix[rows], following, axis=1))
+    return out
+
+
+def band_keys(matrix: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit key per row and band of its densified registers."""
+    count = REGISTERS // width
+    bands = densified(matrix)[:, : count * width].reshape(len(matrix), count, width)
+    keys = np.broadcast_to(mixed(np.arange(count, dtype=np.uint64)), bands.shape[:2]).copy()
+    for offset in range(width):
+        keys = mixed(keys + bands[:, :, offset].astype(np.uint64))
+    return keys.view(np.int64)
+
+
 def _banding(width: int):
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = REGISTERS // width
         for batch in batches:
             for first in range(0, batch.num_rows, 4_000):
                 part = batch.slice(first, 4_000)
-                bands = _as_matrix(part.column("sketch"))[:, : count * width].reshape(part.num_rows, count, width)
-                keys = np.broadcast_to(mixed(np.arange(count, dtype=np.uint64)), bands.shape[:2]).copy()
-                for offset in range(width):
-                    keys = mixed(keys + bands[:, :, offset].astype(np.uint64))
-                used = bands.any(axis=2)
-                row = np.repeat(np.arange(part.num_rows), count).reshape(used.shape)[used]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[used].view(np.int64)), part.column("node").take(pa.array(row)), part.column("n").take(pa.array(row))],
-                    ["band", "node", "n"],
-                )
+                keys = band_keys(_as_matrix(part.column("sketch")), width)
+                row = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("node").take(row)], ["band", "node"])
 
     return banded
 
@@ -163,41 +186,98 @@ def estimates(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.clip((share - COLLISION) / (1 - COLLISION), 0, 1), used
 
 
-def _estimating(percent: int):
-    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = percent / 100
-        for batch in batches:
-            similar, used = estimates(_as_matrix(batch.column("sketch_a")), _as_matrix(batch.column("sketch_b")))
-            slack = DEVIATIONS * np.sqrt(wanted * (1 - wanted) / np.maximum(used, 1))
-            yield batch.select(["a", "b"]).filter(pa.array(similar >= wanted - slack))
-
-    return hopeful
+def hopeful(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which paired sketches could belong to sets at the threshold."""
+    similar, used = estimates(left, right)
+    wanted = percent / 100
+    return similar >= wanted - DEVIATIONS * np.sqrt(wanted * (1 - wanted) / np.maximum(used, 1))
 
 
 def _verifying(percent: int, size: int):
+    """Pairs ``a, b`` with their texts, in the order of ``b``: estimate, then compare full sets."""
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, last, other, other_sketch = Powers(), None, None, None
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            one, other = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            links, last, last_set = [], None, None
-            for first, end in runs_of_texts(one, CHUNK_BYTES):
-                found, counts = shingles(one[first:end], size, powers)
-                ends = np.cumsum(counts)
+            b, texts_a = batch.column("b").to_pylist(), batch.column("text_a").to_pylist()
+            links = []
+            for first, end in runs_of_texts(texts_a, CHUNK_BYTES):
+                found, counts = shingles(texts_a[first:end], size, powers)
+                sketches, ends = registers(found, counts), np.cumsum(counts)
                 for i in range(first, end):
-                    if last != (b[i], len(other[i])):
-                        last, last_set = (b[i], len(other[i])), shingles([other[i]], size, powers)[0]
-                    own = found[ends[i - first] - counts[i - first] : ends[i - first]]
-                    common = len(np.intersect1d(own, last_set, assume_unique=True))
-                    if common and 100 * common >= percent * (len(own) + len(last_set) - common):
-                        links.append(i)
+                    text_b = batch.column("text_b")[i].as_py() if b[i] != last or last is None else None
+                    if text_b is not None:
+                        last = b[i]
+                        other, other_count = shingles([text_b], size, powers)
+                        other_sketch = registers(other, other_count)
+                    if hopeful(sketches[i - first : i - first + 1], other_sketch, percent)[0]:
+                        own = found[ends[i - first] - counts[i - first] : ends[i - first]]
+                        common = len(np.intersect1d(own, other, assume_unique=True))
+                        if common and 100 * common >= percent * (len(own) + len(other) - common):
+                            links.append(i)
             yield batch.select(["a", "b"]).take(pa.array(links, pa.int64()))
 
     return linked
 
 
+def common_shingles(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``[text, text]``: sizes of all intersections, from the incidence of the shingles that several texts have."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    _, place, times = np.unique(found, return_inverse=True, return_counts=True)
+    shared = times[place] > 1
+    number = (np.cumsum(times > 1) - 1)[place[shared]]
+    owner, out = owner[shared], np.zeros((len(counts), len(counts)), np.float32)
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    end = int(number[-1]) + 1 if len(number) else 0
+    for first in range(0, end, INCIDENCE_COLUMNS):
+        a, b = np.searchsorted(number, (first, first + INCIDENCE_COLUMNS))
+        incidence = np.zeros((len(counts), min(INCIDENCE_COLUMNS, end - first)), np.float32)
+        incidence[owner[a:b], number[a:b] - first] = 1
+        out += incidence @ incidence.T
+    return out
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, component: np.ndarray) -> list[int]:
+    """Numbers of the links that join components, each at most once."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    used = []
+    for i, (x, y) in enumerate(zip(component[a].tolist(), component[b].tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            used.append(i)
+    return used
+
+
+def _comparing(percent: int, size: int):
+    """Links between different components among the members of two blocks of one bucket."""
+
+    powers = Powers()  # grows in the worker, kept from group to group
+
+    def linked(table: pa.Table) -> pa.Table:
+        nodes, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        texts = table.column("text").to_pylist()
+        parts = [shingles(texts[i:j], size, powers) for i, j in runs_of_texts(texts, CHUNK_BYTES)]
+        found, counts = (np.concatenate(x) for x in zip(*parts))
+        common = common_shingles(found, counts)
+        similar = (common > 0) & (100 * common >= percent * (counts[:, None] + counts[None, :] - common))
+        a, b = np.nonzero(np.triu(similar, 1) & (component[:, None] != component[None, :]))
+        used = _spanning(a, b, component)
+        return pa.table({"a": pa.array(nodes[a[used]], pa.int64()), "b": pa.array(nodes[b[used]], pa.int64())})
+
+    return linked
+
+
 class _Corpus:
-    """Classes of equal sets and what is needed to compare two of them."""
+    """Classes of equal sets, and the texts of those that have candidates."""
 
     def __init__(self, documents: DataFrame, id_column: str, text_column: str, percent: int, size: int):
         self.percent, self.size = percent, size
@@ -206,38 +286,46 @@ class _Corpus:
             F.coalesce(F.col(text_column).cast("binary"), F.lit("").cast("binary")).alias("text"),
         )
         schema = "id long, n_shingles long, key_1 long, key_2 long, sketch binary"
-        self.rows = self.texts.mapInArrow(_sketching(size), schema).checkpoint()
+        self.rows = written(self.texts.mapInArrow(_sketching(size), schema), "sketches")
         named = self.rows.where("id IS NOT NULL AND n_shingles > 0")
-        self.classes = named.groupBy("key_1", "key_2", F.col("n_shingles").alias("n")).agg(F.min("id").alias("node"))
-        held = F.struct(F.col("id").alias("node"), "key_1", "key_2")
-        kept = F.struct("node", "key_1", "key_2")
-        self.sketches = (
-            named.withColumn("held", held)
-            .join(self.classes.select(kept.alias("kept"), "n"), F.col("held") == F.col("kept"))
-            .select(F.col("id").alias("node"), "n", "sketch")
+        self.classes = named.groupBy("key_1", "key_2").agg(F.min("id").alias("node"))
+        sketched = named.groupBy("key_1", "key_2").agg(F.min("id").alias("node"), F.first("sketch").alias("sketch"))
+        bands = sketched.mapInArrow(_banding(band_width(percent)), "band long, node long")
+        self.pairs, self.members = _paired_with_smallest(bands)
+        wanted = self.pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        self.texts = written(self.texts.join(wanted, "id", "left_semi").distinct(), "candidate-texts")
+
+    def verified(self) -> DataFrame:
+        """The links among the pairs."""
+        one, other = self.texts.toDF("_a", "text_a"), self.texts.toDF("_b", "text_b")
+        return (
+            self.pairs.join(one, F.col("a") == F.col("_a"))
+            .join(other, F.col("b") == F.col("_b"))
+            .select("a", "b", "text_a", "text_b")
+            .mapInArrow(_verifying(self.percent, self.size), "a long, b long")
+            .checkpoint()
         )
 
-    def bands(self) -> DataFrame:
-        return self.sketches.mapInArrow(_banding(band_width(self.percent)), "band long, node long, n long")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs ``a, b`` of classes that are similar enough, checked on their full texts."""
-        sketches = self.sketches.select("node", "sketch")
-        hopeful = (
-            pairs.join(sketches.toDF("_a", "sketch_a"), F.col("a") == F.col("_a"))
-            .join(sketches.toDF("_b", "sketch_b"), F.col("b") == F.col("_b"))
-            .select("a", "b", "sketch_a", "sketch_b")
-            .mapInArrow(_estimating(self.percent), "a long, b long")
-            .checkpoint()
+    def across(self, labels: DataFrame) -> DataFrame:
+        """Links between components within a bucket that the pairs do not show."""
+        placed = self.members.join(labels, F.col("node") == F.col("labelled"), "left").select(
+            "band", "node", F.coalesce("component", "node").alias("component")
+        )
+        several = (
+            placed.groupBy("band")
+            .agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members"))
+            .where("c1 <> c2")
+            .select(F.col("band").alias("_band"), F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks"))
         )
-        wanted = hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = self.texts.join(wanted, "id", "left_semi").distinct().checkpoint()
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        partners = F.sequence(F.lit(0), F.col("blocks") - 1)
         return (
-            hopeful.join(texts.toDF("_a", "text_a"), F.col("a") == F.col("_a"))
-            .join(texts.toDF("_b", "text_b"), F.col("b") == F.col("_b"))
-            .select("a", "b", "text_a", "text_b")
-            .mapInArrow(_verifying(self.percent, self.size), "a long, b long")
-            .distinct()
+            placed.join(several, F.col("band") == F.col("_band"))
+            .select("band", "node", "component", block.alias("block"), F.explode(partners).alias("partner"))
+            .select("band", "node", "component", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"))
+            .join(self.texts, F.col("node") == F.col("id"))
+            .groupBy("band", "low", "high")
+            .applyInArrow(_comparing(self.percent, self.size), "a long, b long")
             .checkpoint()
         )
 
@@ -245,29 +333,12 @@ class _Corpus:
 def _paired_with_smallest(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a, b`` of each class with the smallest of its bucket, and the members of buckets of three or more."""
     buckets = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("members"))
+    buckets = buckets.where("members > 1 AND low <> high").checkpoint()
     twos = buckets.where("members = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
     larger = buckets.where("members > 2").select(F.col("band").alias("_band"), "low")
-    members = bands.join(larger, F.col("band") == F.col("_band")).select("band", "node", "n", "low").checkpoint()
+    members = bands.join(larger, F.col("band") == F.col("_band")).select("band", "node", "low").checkpoint()
     pairs = twos.union(members.select(F.col("node").alias("a"), F.col("low").alias("b"))).where("a <> b").distinct()
-    return pairs, members
-
-
-def _across_components(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket that were not compared yet and could be similar by size."""
-    placed = (
-        members.join(labels, F.col("node") == F.col("labelled"), "left")
-        .select("band", "node", "n", "low", F.coalesce("component", "node").alias("component"))
-    )
-    several = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
-    open_members = placed.join(several.select("band"), "band", "left_semi").where("node <> low").checkpoint()
-    other = open_members.toDF("_band", "b", "m", "_low", "_component")
-    return (
-        open_members.join(other, F.col("band") == F.col("_band"))
-        .where("component < _component")
-        .where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-        .select(F.col("node").alias("a"), "b")
-        .distinct()
-    )
+    return pairs.checkpoint(), members
 
 
 def near_duplicates(
@@ -283,10 +354,8 @@ def near_duplicates(
     """
     checkpoint_folder(documents.sparkSession)
     corpus = _Corpus(documents, id_column, text_column, percent, shingle_words)
-    pairs, members = _paired_with_smallest(corpus.bands())
-    links = corpus.links(pairs)
-    labels = components(links).toDF("labelled", "component")
-    links = links.union(corpus.links(_across_components(members, labels, percent)))
+    links = corpus.verified()
+    links = links.union(corpus.across(components(links).toDF("labelled", "component")))
     labels = components(links).toDF("labelled", "component")
     classes = corpus.classes.join(labels, F.col("node") == F.col("labelled"), "left").select(
         F.col("key_1").alias("_key_1"), F.col("key_2").alias("_key_2"), F.coalesce("component", "node").alias("component")
