@@ -15,7 +15,7 @@ at the end of a task is cut at powers of two, which need no padding either.
 
 Tokens: the vocabulary drops white space and never joins characters across it, so a
 text's ids are those of its words one after the other. Each different word is
-encoded once per task and buffer of words; the memory for words is bounded, too.
+encoded once per worker process and known by its hash; the memory for words is bounded, too.
 
 Results for odd rows: null and empty text is the end id alone. Null ids and repeated
 rows are packed as documents of their own. Very long texts are cut, not truncated. An
@@ -24,6 +24,9 @@ empty table gives an empty result. Only the id and the text are read.
 
 from __future__ import annotations
 
+import os
+import sys
+import types
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
@@ -33,13 +36,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changeseries.llm.wordhash import Powers, Words
+
 CAPACITY = 2048
 SMALLEST_TIER = 256
 END_ID = 1
 STEP_TOKENS = 32_768
-BUFFER_TOKENS = 1_000_000
-CHUNK_BYTES = 2_000_000
-CACHED_WORDS = 400_000
+BUFFER_TOKENS = 500_000
+CHUNK_BYTES = 1_000_000
+CACHED_WORDS = 1_500_000
+WORDS_AT_ONCE = 1_000
+PARTING = "\x01"
 
 SCHEMA = (
     "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
@@ -56,46 +63,82 @@ def tiers(capacity: int = CAPACITY, smallest: int = SMALLEST_TIER) -> list[int]:
 
 
 class WordEncoder:
-    """Ids of texts by encoding every different word once."""
+    """Ids of texts by encoding every different word once.
+
+    Words are known by a 64-bit hash. Unknown words are encoded many at a time, parted by
+    a control character that stands alone between spaces and so has an id of its own.
+    """
 
     def __init__(self, tokenizer_file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer, self.powers = Tokenizer.from_file(tokenizer_file), Powers()
+        (self.parting,) = self._ids(PARTING)
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.ids = [np.empty(0, np.uint32)]
-        self.lengths: list[int] = []
-
-    def _learn(self, words: set[bytes]) -> None:
-        unknown = [w for w in words if w not in self.places]
-        if len(self.places) + len(unknown) > CACHED_WORDS:
+        self.known = np.empty(0, np.uint64)
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.ids = np.empty(0, np.uint32)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has."""
+        found, sizes = [], []
+        for first in range(0, len(words), WORDS_AT_ONCE):
+            part = words[first : first + WORDS_AT_ONCE]
+            if any(PARTING in w for w in part):
+                single = [np.array(self._ids(w), np.uint32) for w in part]
+                found += single
+                sizes.append(np.fromiter(map(len, single), np.int64, len(single)))
+                continue
+            ids = np.array(self._ids(f" {PARTING} ".join(part)), np.uint32)
+            between = np.flatnonzero(ids == self.parting)
+            sizes.append(np.diff(between, prepend=-1, append=len(ids)) - 1)
+            found.append(np.delete(ids, between))
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def _learn(self, words: Words, hashes: np.ndarray, examples: np.ndarray) -> None:
+        """Add those of the sorted ``hashes`` that are unknown; ``examples`` are words that have them."""
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != hashes[inside]
+        if new.sum() + len(self.known) > CACHED_WORDS and len(self.known):
             self._forget()
-            unknown = list(words)
-        if unknown:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in unknown], add_special_tokens=False)]
-            self.places.update(zip(unknown, range(len(self.places), len(self.places) + len(unknown))))
-            self.lengths.extend(map(len, found))
-            self.ids.append(np.fromiter((i for x in found for i in x), np.uint32))
+            return self._learn(words, hashes, examples)
+        if new.any():
+            raw = words.buffer.tobytes()
+            spans = zip(words.starts[examples[new]].tolist(), words.ends[examples[new]].tolist())
+            ids, sizes = self._encode_words([raw[a:b].decode("utf-8", "replace") for a, b in spans])
+            self.known = np.insert(self.known, at[new], hashes[new])
+            self.starts = np.insert(self.starts, at[new], len(self.ids) + np.cumsum(sizes) - sizes)
+            self.sizes = np.insert(self.sizes, at[new], sizes)
+            self.ids = np.concatenate((self.ids, ids))
+        return None
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, and the end id."""
-        split = [text.split() for text in texts]
-        words = [w for found in split for w in found]
-        self._learn(set(words))
-        if len(self.ids) > 1:
-            self.ids = [np.concatenate(self.ids)]
-        lengths = np.array(self.lengths, np.int64)
-        starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        sizes = lengths[at]
+        words = Words(texts, self.powers)
+        hashes, examples, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        self._learn(words, hashes, examples)
+        at = np.searchsorted(self.known, hashes)[which]
+        sizes = self.sizes[at]
         before = np.concatenate(([0], np.cumsum(sizes)))
-        flat = self.ids[0][np.repeat(starts[at] - before[:-1], sizes) + np.arange(before[-1])]
-        ends = before[np.cumsum([len(found) for found in split])] if split else []
-        last = np.array([END_ID], np.uint32)
-        return [np.concatenate((flat[a:b], last)) for a, b in zip(np.concatenate(([0], ends[:-1])).astype(int), ends)]
+        flat = self.ids[np.repeat(self.starts[at] - before[:-1], sizes) + np.arange(before[-1])]
+        bounds, last = before[words.bounds], np.array([END_ID], np.uint32)
+        return [np.concatenate((flat[a:b], last)) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def word_encoder(tokenizer_file: str) -> WordEncoder:
+    """The encoder of this worker process; reused workers keep its words for their next task."""
+    kept = sys.modules.setdefault("kept_word_encoders", types.ModuleType("kept_word_encoders")).__dict__
+    if tokenizer_file not in kept:
+        kept[tokenizer_file] = WordEncoder(tokenizer_file)
+    return kept[tokenizer_file]
 
 
 class Packer:
@@ -221,7 +264,7 @@ class _Writer:
 
 def _packing(tokenizer_file: str, capacity: int, step_tokens: int):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = WordEncoder(tokenizer_file), Packer(capacity)
+        encoder, packer = word_encoder(tokenizer_file), Packer(capacity)
         writer = _Writer(TaskContext.get().partitionId(), step_tokens)
         documents: dict[int, tuple] = {}
         number = buffered = 0

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeseries.llm import minhash, mixing, packing, quality, secrets, substring_dedup, url_filters, warc
-from changeseries.storage import checkpoint_folder
+from changeseries.llm import lm, minhash, mixing, neighbours, packing, quality, secrets, substring_dedup, url_filters, warc
+from changeseries.llm.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +33,10 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_documents(_table(spark, folder, "documents"))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -49,8 +52,12 @@ def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{checkpoint_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     warc.write_archives(_table(spark, folder, "pages"), path)
     records = (
         warc.read_archives(spark, path)
@@ -85,8 +92,10 @@ QUERIES: dict[str, Query] = {
         op1_url_filters,
         op2_quality_rules,
         op3_substring_dedup,
+        op4_lm_scoring,
         op5_mixing,
         op6_secret_scans,
+        op7_nearest_neighbours,
         op8_warc,
         op9_packing,
         op10_minhash,
