@@ -1,21 +1,27 @@
-"""The corpus pipeline: documents to packed training sequences in stages.
+"""The corpus pipeline: documents to packed training sequences in five stages.
 
-Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes
-each result to the shared folder and hands it, read again, to the next stage.
+Every stage takes ``(spark, docs, sf_dir)``, works on all rows of ``docs`` and returns a
+DataFrame; all but the last return the columns of documents. ``run`` writes each
+result to the shared folder and hands it, read again, to the next stage.
+
+Rows without an id pass the stages like any other; near-dedup keeps them all, as they
+cannot be named as copies. Null text fails the quality rules. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeseries.llm import quality
-from changeseries.storage import checkpoint_folder
+from changeseries.llm import minhash, mixing, packing, quality, secrets
+from changeseries.llm.storage import shared_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+NEAR_DUPLICATE_PERCENT = 80
+TOKENIZER = "word_bpe_49k.json"
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,16 +31,48 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.judge(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", keep_good)]
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near-duplicates."""
+    kept = minhash.near_duplicates(docs, percent=NEAR_DUPLICATE_PERCENT).where("kept AND doc_id IS NOT NULL")
+    chosen = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return chosen.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets that look live masked in their texts."""
+    scanned = secrets.scan(docs, keep=COLUMNS)
+    text = secrets.redacted(F.col("text"), F.col("live"))
+    return scanned.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; those without an id are known by their texts."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    keyed = docs.select(*COLUMNS).withColumn("_key", key)
+    times = mixing.mix(keyed, id_column="_key").where("epochs > 0").groupBy("_key").agg(F.max("epochs").alias("_epochs"))
+    return keyed.join(times, "_key").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences: one row per piece of a document."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", keep_good),
+    ("minhash_near_dedup", keep_one_of_each),
+    ("secret_scans", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
-#: Token ids have no SQL form; tests hold the stages against brute force.
+#: Token ids have no SQL form; a test holds every stage against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``."""
-    folder = f"{checkpoint_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder, rows = shared_path(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, rows, sf_dir).write.parquet(path)
