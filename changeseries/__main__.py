@@ -11,7 +11,7 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from changeseries.operators.matrix import CITIES, complete_case_matrix
+from changeseries.operators.matrix import CITIES, TOP_PROPERTIES, complete_case_matrix
 from changeseries.plans.job import run
 from changeseries.plans.spec import JobSpec
 from changeseries.session import session
@@ -29,21 +29,28 @@ def main(arguments: list[str] | None = None) -> None:
         command = commands.add_parser(name)
         command.add_argument("config")
         command.add_argument("--labels", help="CSV of entity and template, for ground truth")
+        command.add_argument("--templates", nargs="*", help="labels that count; none given: all of them")
+        command.add_argument("--min-changes", type=int, default=MIN_CHANGES, help="groups need more than this")
         command.add_argument("-local", "--local", action="store_true")
     command = commands.add_parser("matrix")
     command.add_argument("input")
     command.add_argument("output")
+    command.add_argument("--entities", nargs="+", default=list(CITIES), help="rows of the matrix")
+    command.add_argument("--top", type=int, default=TOP_PROPERTIES, help="columns of the matrix")
     command.add_argument("-local", "--local", action="store_true")
     options = parser.parse_args(arguments)
 
     spark = session(master="local[*]" if options.local else None)
     if options.command == "matrix":
-        changes = read_change_csv(spark, options.input, entities=CITIES)
-        write_matrix(complete_case_matrix(changes), options.output, single_file=True)
+        changes = read_change_csv(spark, options.input, entities=options.entities)
+        matrix = complete_case_matrix(changes, options.entities, options.top)
+        write_matrix(matrix, options.output, single_file=True)
         return
-    spec = JobSpec.from_json(options.config, label_source=options.labels)
+    extra = {} if options.templates is None else {"label_templates": tuple(options.templates) or None}
+    spec = JobSpec.from_json(options.config, label_source=options.labels, **extra)
     if options.command == "cluster":
-        run(spark, spec, keys=["entity"], group_filter=F.col("n") > MIN_CHANGES)
+        result = run(spark, spec, keys=["entity"], group_filter=F.col("n") > options.min_changes)
+        print(", ".join(f"{name}: {count}" for name, count in result.metrics.items()))
     else:
         result = run(spark, spec, keys=["entity", "property"], write=False)
         result.members.groupBy("assignedCluster").count().orderBy("assignedCluster").show()

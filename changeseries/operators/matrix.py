@@ -45,10 +45,6 @@ ROW_LABEL = "Settlement"
 TOP_PROPERTIES = 10
 
 
-# A list this long bounds a table of one short row per entry well below a broadcast's limits.
-BROADCAST_ROWS = 10_000
-
-
 def _among(changes: DataFrame, column: str, values: Sequence[str] | None) -> DataFrame:
     return changes if values is None else changes.filter(F.col(column).isin(*values))
 
@@ -117,14 +113,11 @@ def complete_case_cells(
 def property_share_cells(changes: DataFrame, properties: Sequence[str] | None = None) -> DataFrame:
     """``share``: an entity's part of all changes of the property.
 
-    The totals come from the counts, not from the log. A short property list bounds
-    them, and they are broadcast; otherwise the join is left to the size statistics
-    and the skew handling of Spark.
+    The totals come from the counts, not from the log; the join is left to the size
+    statistics and the skew handling of Spark.
     """
     counts = pair_counts(changes, properties).select("entity", "property", "n")
     totals = counts.groupBy("property").agg(F.sum("n").alias("total"))
-    if properties is not None and len(properties) <= BROADCAST_ROWS:
-        totals = F.broadcast(totals)
     share = F.col("n") / F.col("total")
     return counts.join(totals, "property").select("entity", "property", share.alias("share"))
 

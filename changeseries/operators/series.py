@@ -49,24 +49,37 @@ def _name(keys: Sequence[Key]) -> Column:
     return F.array(*_key_names(keys)).cast("array<string>").alias("name")
 
 
+def _timed(changes: DataFrame, ts: str, missing_time: str) -> DataFrame:
+    """The changes with a time; with ``"error"`` a missing one fails the job."""
+    if missing_time not in ("error", "drop"):
+        raise ValueError("missing_time must be 'error' or 'drop'")
+    return changes if missing_time == "error" else changes.filter(F.col(ts).isNotNull())
+
+
 def _time(ts: str) -> Column:
-    """The change time as a wall clock, whichever timestamp type it has."""
-    return F.col(ts).cast("timestamp_ntz")
+    """The change time as a wall clock, whichever timestamp type it has; there must be one."""
+    missing = F.raise_error(F.lit(f"a change has no time in {ts}")).cast("timestamp_ntz")
+    return F.coalesce(F.col(ts).cast("timestamp_ntz"), missing)
 
 
 def _stats(ts: str) -> list[Column]:
+    """Statistics of a group. All look at the time, so that pruning cannot hide a missing one."""
     return [
-        F.count(F.lit(1)).alias("n"),
+        F.count(_time(ts)).alias("n"),
         F.min(_time(ts)).alias("min_ts"),
         F.max(_time(ts)).alias("max_ts"),
     ]
 
 
 def group_stats(
-    changes: DataFrame, keys: Sequence[Key], group_filter: Column | None = None, ts: str = "ts"
+    changes: DataFrame,
+    keys: Sequence[Key],
+    group_filter: Column | None = None,
+    ts: str = "ts",
+    missing_time: str = "error",
 ) -> DataFrame:
     """``(name, n, min_ts, max_ts)`` per group; ``group_filter`` is a predicate over them."""
-    groups = changes.groupBy(*key_columns(keys)).agg(*_stats(ts))
+    groups = _timed(changes, ts, missing_time).groupBy(*key_columns(keys)).agg(*_stats(ts))
     groups = groups.select(_name(keys), "n", "min_ts", "max_ts")
     return groups if group_filter is None else groups.filter(group_filter)
 
@@ -76,11 +89,12 @@ def time_bounds(
     keys: Sequence[Key] = (),
     group_filter: Column | None = None,
     ts: str = "ts",
+    missing_time: str = "error",
 ) -> DataFrame:
     """One row ``(min_ts, max_ts)`` over the changes of the groups that survive."""
     if group_filter is None:
-        return changes.agg(*_stats(ts)).select("min_ts", "max_ts")
-    return group_stats(changes, keys, group_filter, ts).agg(
+        return _timed(changes, ts, missing_time).agg(*_stats(ts)).select("min_ts", "max_ts")
+    return group_stats(changes, keys, group_filter, ts, missing_time).agg(
         F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts")
     )
 
@@ -92,9 +106,10 @@ def derive_windows(
     step: int = 7,
     unit: str = "Days",
     ts: str = "ts",
+    missing_time: str = "error",
 ) -> TimeWindows:
     """Windows from the first to the last surviving change (one job, one row)."""
-    first, last = time_bounds(changes, keys, group_filter, ts).first()
+    first, last = time_bounds(changes, keys, group_filter, ts, missing_time).first()
     if first is None:
         raise ValueError("no change is left to derive the time bounds from")
     return TimeWindows.covering(first, last, step, unit)
@@ -106,12 +121,13 @@ def window_counts(
     windows: TimeWindows,
     before_start: str = "clamp",
     ts: str = "ts",
+    missing_time: str = "error",
 ) -> DataFrame:
     """Non-empty cells ``(k0.., slot, n, min_ts, max_ts)``, one per key and window."""
     if before_start not in ("clamp", "drop"):
         raise ValueError("before_start must be 'clamp' or 'drop'")
     slot = windows.slot(_time(ts), clamp_early=before_start == "clamp").alias("slot")
-    return changes.groupBy(*key_columns(keys), slot).agg(*_stats(ts))
+    return _timed(changes, ts, missing_time).groupBy(*key_columns(keys), slot).agg(*_stats(ts))
 
 
 def _dense(cells: Column, count: int) -> Column:
@@ -144,19 +160,21 @@ def build_series(
     before_start: str = "clamp",
     after_end: str = "error",
     ts: str = "ts",
+    missing_time: str = "error",
 ) -> DataFrame:
     """``(name, y)``: one zero-filled array of change counts per surviving group.
 
     Changes before the start count in the first window (or are left out with
     ``before_start="drop"``). A surviving group with changes at or past the last
     edge fails the job (``after_end="error"``) or has them left out (``"drop"``).
+    A change without a time fails the job (``missing_time="error"``) or counts nowhere (``"drop"``).
     ``group_filter`` is a predicate over ``n``, ``min_ts`` and ``max_ts`` of *all*
     changes of the group; it costs no further pass.
     """
     if after_end not in ("error", "drop"):
         raise ValueError("after_end must be 'error' or 'drop'")
     index = windows.index(F.col("slot"))
-    cells = window_counts(changes, keys, windows, before_start, ts).withColumn("i", index)
+    cells = window_counts(changes, keys, windows, before_start, ts, missing_time).withColumn("i", index)
     inside = (F.col("i") >= 0) & (F.col("i") < windows.count)
     cell = F.struct(F.col("i").alias("i"), F.col("n").cast("double").alias("n"))
     groups = cells.groupBy(*_key_names(keys)).agg(
@@ -195,19 +213,27 @@ def transform_series(
 
 
 def run_metrics(
-    changes: DataFrame, keys: Sequence[Key], group_filter: Column | None = None, ts: str = "ts"
+    changes: DataFrame,
+    keys: Sequence[Key],
+    group_filter: Column | None = None,
+    ts: str = "ts",
+    missing_time: str = "error",
 ) -> DataFrame:
     """Row counts of a run as one row, from one scan.
 
-    Grouping sets count per key and per entity side by side; the partial
-    aggregation before the shuffle keeps the doubled input inside the map tasks.
+    Changes are counted by key and entity together first; grouping sets then add
+    up these counts by key and by entity, so that no raw row is doubled.
     """
     names = _key_names(keys)
-    rows = changes.select(
+    rows = _timed(changes, ts, missing_time).select(
         *key_columns(keys), text_or_null(F.col("entity")).alias("entity"), _time(ts).alias("ts")
     )
-    groups = rows.groupingSets([names, ["entity"]], *names, "entity").agg(
-        F.grouping("entity").alias("by_key"), *_stats("ts")
+    together = rows.groupBy(*names, "entity").agg(*_stats("ts"))
+    groups = together.groupingSets([names, ["entity"]], *names, "entity").agg(
+        F.grouping("entity").alias("by_key"),
+        F.sum("n").alias("n"),
+        F.min("min_ts").alias("min_ts"),
+        F.max("max_ts").alias("max_ts"),
     )
     by_key = F.col("by_key") == 1
     kept = by_key if group_filter is None else by_key & group_filter

@@ -46,10 +46,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def activity(spark: SparkSession, folder: str, properties: tuple[str, ...] | None = None) -> DataFrame:
+def activity(
+    spark: SparkSession, folder: str, properties: tuple[str, ...] | None = None, where: Column | None = None
+) -> DataFrame:
     """Events as a change log: user, event type, payload, time."""
     events = table(spark, folder, "events").select("user_id", "event_type", "props", "ts")
-    return change_log(events, properties=properties)
+    return change_log(events, properties=properties, where=where)
 
 
 def purchases(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,17 +61,19 @@ def purchases(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def priorities(spark: SparkSession, folder: str) -> DataFrame:
+def priorities(spark: SparkSession, folder: str, entities: tuple[str, ...] | None = None) -> DataFrame:
     """Orders as a change log with few entities: priority, customer key, price, date."""
     return change_log(
-        table(spark, folder, "orders").select("o_orderpriority", "o_custkey", "o_totalprice", "o_orderdate")
+        table(spark, folder, "orders").select("o_orderpriority", "o_custkey", "o_totalprice", "o_orderdate"),
+        entities=entities,
     )
 
 
-def shipments(spark: SparkSession, folder: str) -> DataFrame:
+def shipments(spark: SparkSession, folder: str, properties: tuple[str, ...] | None = None) -> DataFrame:
     """Line items as a change log: supplier key, return flag, price, ship date."""
     return change_log(
-        table(spark, folder, "lineitem").select("l_suppkey", "l_returnflag", "l_extendedprice", "l_shipdate")
+        table(spark, folder, "lineitem").select("l_suppkey", "l_returnflag", "l_extendedprice", "l_shipdate"),
+        properties=properties,
     )
 
 
@@ -132,8 +136,9 @@ def timestamp_parse_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def individual_filter(spark: SparkSession, folder: str) -> DataFrame:
-    kept = series.filter_changes(activity(spark, folder), F.col("property") != "error")
-    kept = series.filter_values(kept, "property", ("click", "error", "view"))
+    named = ("click", "error", "view")
+    kept = series.filter_changes(activity(spark, folder, named, F.col("event_type") != "error"), F.col("property") != "error")
+    kept = series.filter_values(kept, "property", named)
     return series.group_stats(kept, ["property"]).select(joined_name(F.col("name")).alias("name"), "n")
 
 
@@ -280,7 +285,7 @@ def property_lifespan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def complete_property_matrix_top10(spark: SparkSession, folder: str) -> DataFrame:
-    return matrix.complete_case_cells(priorities(spark, folder), PRIORITIES)
+    return matrix.complete_case_cells(priorities(spark, folder, PRIORITIES), PRIORITIES)
 
 
 def count_matrix(spark: SparkSession, folder: str) -> DataFrame:
@@ -294,7 +299,7 @@ def property_share_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lifespan_rate_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    cells = matrix.lifespan_rate_cells(shipments(spark, folder), ["A", "N", "R"])
+    cells = matrix.lifespan_rate_cells(shipments(spark, folder, ("A", "N", "R")), ["A", "N", "R"])
     wide = matrix.pivot_matrix(cells, "rate", ["A", "N", "R"], fill=0.0)
     return wide.select("Settlement", *[F.round(F.col(name) * 1e6, DIGITS).alias(name) for name in "ANR"])
 
@@ -319,7 +324,7 @@ def ground_truth_join(spark: SparkSession, folder: str) -> DataFrame:
     members = rows.select("name", F.col("y").alias("features"), F.lit(0).alias("assignedCluster"))
     labels = label_table(customer.select("c_name", "c_mktsegment"), SEGMENTS)
     return join_labels(members, labels).select(
-        joined_name(F.col("name")).alias("name"), "trueCluster", F.posexplode("features").alias("i", "value")
+        joined_name(F.col("name")).alias("name"), "trueCluster", F.posexplode_outer("features").alias("i", "value")
     )
 
 
@@ -344,12 +349,13 @@ def kmeans_members(spark: SparkSession, folder: str) -> DataFrame:
 
 def dtw_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Warping distance between every user's click series and purchase series."""
-    weekly = series.build_series(
-        activity(spark, folder), ["entity", "property"], TimeWindows(*JANUARY, 3, "Days")
+    rows = series.build_series(
+        activity(spark, folder, ("click", "purchase")), ["entity", "property"], TimeWindows(*JANUARY, 3, "Days")
     ).select(F.get("name", F.lit(0)).alias("entity"), F.get("name", F.lit(1)).alias("property"), "y")
-    clicks = weekly.filter(F.col("property") == "click").select("entity", F.col("y").alias("click"))
-    buys = weekly.filter(F.col("property") == "purchase").select("entity", F.col("y").alias("purchase"))
-    return clicks.join(buys, "entity").select("entity", dtw_distance("click", "purchase").alias("distance"))
+    of = lambda kind: F.first(F.when(F.col("property") == kind, F.col("y")), ignorenulls=True).alias(kind)
+    both = rows.groupBy("entity").agg(of("click"), of("purchase"))
+    both = both.where("click IS NOT NULL AND purchase IS NOT NULL")
+    return both.select("entity", dtw_distance("click", "purchase").alias("distance"))
 
 
 def dtw_nearest_center(spark: SparkSession, folder: str) -> DataFrame:

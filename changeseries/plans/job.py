@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from changeseries.functions.features import extract_features
@@ -27,7 +27,10 @@ from changeseries.sinks import jdbc as jdbc_sink
 from changeseries.sinks.lines import write_clusters
 from changeseries.sources.changelog import positional_keys, read_change_csv
 from changeseries.sources.jdbc import read_change_query, read_query
-from changeseries.sources.labels import read_label_csv
+from changeseries.sources.labels import label_table, raw_label_csv
+
+# Center values the driver collects and broadcasts once per round: 400 MB of doubles.
+MOST_CENTER_VALUES = 50_000_000
 
 
 class Features(NamedTuple):
@@ -36,16 +39,40 @@ class Features(NamedTuple):
 
 
 class Run(NamedTuple):
+    """``metrics`` counts what went through the job: changes, series (all and filtered), feature
+    rows, series removed as non-finite, labels (all and removed), joined rows."""
+
     features: DataFrame
     windows: TimeWindows
     members: DataFrame
     centers: DataFrame
+    metrics: dict[str, int]
+
+
+class Counters:
+    """Rows counted on their way through the plan that computes the features."""
+
+    def __init__(self):
+        self.seen = {name: Observation() for name in ("changes", "series", "filtered_series")}
+
+    def through(self, rows: DataFrame, name: str) -> DataFrame:
+        return rows.observe(self.seen[name], F.count(F.lit(1)).alias("n"))
+
+    def counts(self) -> dict[str, int]:
+        """To be asked once the plan has run."""
+        return {name: seen.get["n"] for name, seen in self.seen.items()}
 
 
 def read_source(spark: SparkSession, spec: JobSpec) -> DataFrame:
     """A change log, or for a pre-filtered query its keyed rows."""
     if spec.file_source is not None:
-        return read_change_csv(spark, spec.file_source)
+        return read_change_csv(
+            spark,
+            spec.file_source,
+            on_error="raise" if spec.missing_time == "error" else "drop",
+            entities=spec.entities,
+            properties=spec.properties,
+        )
     if spec.query is None:
         raise ValueError("either a file or a database query must be given")
     if spec.query_prefiltered:
@@ -60,18 +87,33 @@ def series_features(
     change_filter: ChangeFilter | None = None,
     group_filter: Column | None = None,
     series_filter: Column | None = None,
+    counters: Counters | None = None,
 ) -> Features:
     """``(name, features)`` of a change log, a lazy plan.
 
     Only missing bounds start a job here, to look up the first and last change.
     """
+    counted = counters.through if counters is not None else lambda rows, name: rows
     changes = filter_changes(changes, change_filter)
     if spec.start is None or spec.end is None:
-        windows = derive_windows(changes, keys, group_filter, spec.granularity, spec.unit)
+        windows = derive_windows(
+            changes, keys, group_filter, spec.granularity, spec.unit, missing_time=spec.missing_time
+        )
     else:
         windows = TimeWindows(spec.start, spec.end, spec.granularity, spec.unit)
-    series = build_series(changes, keys, windows, group_filter, spec.before_start, spec.after_end)
-    series = transform_series(series, spec.transformation, windows, series_filter)
+    if spec.clustering_alg == "DBAKMeans" and spec.k * windows.count > MOST_CENTER_VALUES:
+        raise ValueError(f"{spec.k} centers of {windows.count} windows are more than the driver holds")
+    series = build_series(
+        counted(changes, "changes"),
+        keys,
+        windows,
+        group_filter,
+        spec.before_start,
+        spec.after_end,
+        missing_time=spec.missing_time,
+    )
+    series = transform_series(counted(series, "series"), spec.transformation, windows, series_filter)
+    series = counted(series, "filtered_series")
     features = extract_features(F.col("y"), spec.feature_extraction)
     rows = series.select("name", features.alias("features"))
     return Features(finite_features(rows, spec.non_finite), windows)
@@ -98,25 +140,37 @@ def run(
     """Run a whole job. ``changes`` and ``labels`` replace what the description names.
 
     A pre-filtered query brings its own keys; ``keys`` and ``group_filter`` do not
-    apply to it. Features are stored once, as every clustering reads them often.
+    apply to it. Features are stored once, as every clustering reads them often, and
+    so are the members. What the description alone shows to be wrong fails before the first job.
     """
+    if write and not spec.reads_database and spec.result_directory is None:
+        raise ValueError("no result directory is given")
+    all_labels = None
     if spec.add_ground_truth and labels is None:
         if spec.label_source is None:
             raise ValueError("ground truth is asked for, but no labels are given")
-        labels = read_label_csv(spark, spec.label_source)
+        all_labels = raw_label_csv(spark, spec.label_source)
+        labels = label_table(all_labels, spec.label_templates)
     source = read_source(spark, spec) if changes is None else changes
     if changes is None and spec.reads_database and spec.query_prefiltered:
         keys, group_filter = source.columns[:-1], None
+    counters = Counters()
     features, windows = series_features(
-        source, spec, keys, change_filter, group_filter, series_filter
+        source, spec, keys, change_filter, group_filter, series_filter, counters
     )
     features = stored(features, spread=spec.clustering_alg == "DBAKMeans")
+    metrics = counters.counts() | {"features": features.count()}
+    metrics["non_finite"] = metrics["filtered_series"] - metrics["features"]
     members, centers, _ = cluster(features, spec)
     if spec.add_ground_truth:
         members = join_labels(members, labels)
+        metrics["labels"] = labels.count()
+        metrics["removed_labels"] = 0 if all_labels is None else all_labels.count() - metrics["labels"]
+    members = stored(members)
+    metrics["members"] = members.count()
     if write:
         write_run(members, centers, spec, single_file)
-    return Run(features, windows, members, centers)
+    return Run(features, windows, members, centers, metrics)
 
 
 def write_run(members: DataFrame, centers: DataFrame, spec: JobSpec, single_file: bool = False) -> None:

@@ -7,7 +7,7 @@ import random
 import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 from pathlib import Path
 from typing import Any
 
@@ -15,8 +15,32 @@ from changeseries.functions.features import find_features
 from changeseries.functions.transforms import find_transform
 from changeseries.functions.windows import FIXED_UNITS, MONTHS_PER_UNIT
 from changeseries.sources.jdbc import Database, Partitioning
+from changeseries.sources.labels import TEMPLATES
 
 ALGORITHMS = ("KMeans", "DBAKMeans")
+OPTIONS = {
+    "before_start": ("clamp", "drop"),
+    "after_end": ("error", "drop"),
+    "non_finite": ("error", "drop"),
+    "missing_time": ("error", "drop"),
+}
+
+# Further keys of the JSON form; lists become tuples, null takes a list's limit away.
+OPTION_KEYS = {
+    "before_start": "beforeStart",
+    "after_end": "afterEnd",
+    "non_finite": "nonFinite",
+    "missing_time": "missingTime",
+    "label_templates": "labelTemplates",
+    "entities": "entities",
+    "properties": "properties",
+}
+
+
+def _moment(text: str) -> datetime:
+    """A moment with any number of fractional digits, whatever Python's own parser takes."""
+    head, _, fraction = text.partition(".")
+    return datetime.fromisoformat(head) + timedelta(microseconds=int(fraction.ljust(6, "0")[:6] or 0))
 
 
 @dataclass(frozen=True)
@@ -25,6 +49,8 @@ class JobSpec:
 
     Defaults are those of an empty description: weekly counts, no transform, the
     series itself as features, k-means with ten clusters and a random seed.
+    ``label_templates`` are the labels that count as ground truth (None: all of them);
+    ``entities`` and ``properties`` restrict the log where it is read.
     """
 
     config_identifier: str = "clusters"
@@ -46,6 +72,10 @@ class JobSpec:
     seed: int = field(default_factory=lambda: random.getrandbits(63))
     add_ground_truth: bool = False
     label_source: str | None = None
+    label_templates: tuple[str, ...] | None = TEMPLATES
+    entities: tuple[str, ...] | None = None
+    properties: tuple[str, ...] | None = None
+    missing_time: str = "error"
     before_start: str = "clamp"
     after_end: str = "error"
     non_finite: str = "error"
@@ -60,6 +90,13 @@ class JobSpec:
         find_features(self.feature_extraction)
         if self.granularity < 1 or self.k < 1:
             raise ValueError("granularity and k must be positive")
+        if self.clustering_alg == "KMeans" and self.k < 2:
+            raise ValueError("k-means needs at least two clusters")
+        if self.max_iter < 0:
+            raise ValueError("max_iter must not be negative")
+        for name, allowed in OPTIONS.items():
+            if getattr(self, name) not in allowed:
+                raise ValueError(f"{name} must be one of {', '.join(allowed)}")
         if self.query is not None and self.database is None:
             raise ValueError("a query needs a database")
 
@@ -92,9 +129,13 @@ class JobSpec:
         for name, key in (("max_iter", "maxIter"), ("seed", "seed")):
             if key in parameters:
                 values[name] = parameters[key]
+        for name, key in OPTION_KEYS.items():
+            if key in config:
+                value = config[key]
+                values[name] = tuple(value) if isinstance(value, list) else value
         if "start" in config and "end" in config:
-            values["start"] = datetime.fromisoformat(config["start"])
-            values["end"] = datetime.fromisoformat(config["end"])
+            values["start"] = _moment(config["start"])
+            values["end"] = _moment(config["end"])
         if "fileSource" in config:
             if "dbSource" in config:
                 warnings.warn("both a file and a database source are given; the file is used", stacklevel=2)
@@ -107,6 +148,8 @@ class JobSpec:
             )
             values["query"] = source["query"]
             values["query_prefiltered"] = True
+            if "partitioning" in source:
+                values["partitioning"] = Partitioning(**source["partitioning"])
         return cls(**{**values, **extra})
 
     @classmethod

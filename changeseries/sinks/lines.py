@@ -23,7 +23,8 @@ def members_lines(members: DataFrame) -> DataFrame:
         quoted(F.col("assignedCluster").cast("string")),
     ]
     if "trueCluster" in members.columns:
-        parts.append(quoted(F.col("trueCluster")))
+        # A missing label is an empty field; left out, it would shift the values by one.
+        parts.append(quoted(F.coalesce("trueCluster", F.lit(""))))
     parts.append(joined_values(F.col("features")))
     return members.select(F.concat_ws(",", *parts).alias("value"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changeseries.functions.numeric import once
 from changeseries.functions.timestamps import wall_clock
 
 CSV_SCHEMA = "entity STRING, property STRING, value STRING, ts STRING"
@@ -36,32 +37,40 @@ def change_log(
     on_error: str = "raise",
     entities: Collection[str] | None = None,
     properties: Collection[str] | None = None,
+    where: Column | None = None,
 ) -> DataFrame:
     """The first four columns of ``rows``, by position, as a change log.
 
     ``on_error`` says what happens to a missing or unreadable change time:
-    ``"raise"`` fails the job, ``"drop"`` leaves the row out. ``entities`` and
-    ``properties`` restrict the log where it is read. A filter on the time also
-    reaches the scan if it is put on ``rows`` rather than on the result, or with
-    ``"drop"``, where nothing has to look at the times that are filtered out.
+    ``"raise"`` fails the job, also if only other columns are used, ``"drop"``
+    leaves the row out. ``entities`` and ``properties`` restrict the log where it
+    is read, and so does ``where``, a condition on the raw rows.
     """
     if on_error not in ("raise", "drop"):
         raise ValueError("on_error must be 'raise' or 'drop'")
     if len(rows.columns) < 4:
         raise ValueError("a change log needs entity, property, value and time columns")
+    if where is not None:
+        rows = rows.filter(where)
     rows = _kept(_kept(rows, rows.columns[0], entities), rows.columns[1], properties)
     entity, prop, value, time = (rows[name] for name in rows.columns[:4])
-    ts = wall_clock(time, rows.schema[3].dataType)
-    if on_error == "raise":
-        message = F.concat(F.lit("unreadable change time: "), text_or_null(time))
-        ts = F.coalesce(ts, F.raise_error(message).cast("timestamp_ntz"))
+    kind = rows.schema[3].dataType
+    ts = wall_clock(time, kind)
+    # Text is parsed once, below the check; a time of another type costs nothing to look at twice.
+    parsed = once(ts) if on_error == "raise" and isinstance(kind, T.StringType) else ts
     changes = rows.select(
         text_or_null(entity).alias("entity"),
         text_or_null(prop).alias("property"),
         text_or_null(value).alias("value"),
-        ts.alias("ts"),
+        parsed.alias("ts"),
+        text_or_null(time).alias("_text"),
     )
-    return changes if on_error == "raise" else changes.filter(F.col("ts").isNotNull())
+    readable = F.col("ts").isNotNull()
+    if on_error == "raise":
+        # A filter, unlike the column itself, is not pruned when nothing reads the time.
+        message = F.concat(F.lit("unreadable change time: "), F.col("_text"))
+        readable = F.when(readable, True).otherwise(F.raise_error(message).cast("boolean"))
+    return changes.filter(readable).drop("_text")
 
 
 def read_change_csv(
@@ -72,6 +81,7 @@ def read_change_csv(
     on_error: str = "raise",
     entities: Collection[str] | None = None,
     properties: Collection[str] | None = None,
+    where: Column | None = None,
 ) -> DataFrame:
     """Header-less CSV file or directory; rows with a wrong column count are dropped.
 
@@ -88,7 +98,7 @@ def read_change_csv(
         .option("multiLine", multiline)
         .csv(path)
     )
-    return change_log(rows, on_error, entities, properties)
+    return change_log(rows, on_error, entities, properties, where)
 
 
 def positional_keys(rows: DataFrame) -> DataFrame:

@@ -54,6 +54,10 @@ def label_table(rows: DataFrame, allowed: Iterable[str] | None = None) -> DataFr
     return labels if allowed is None else labels.filter(F.col("template").isin(*allowed))
 
 
+def raw_label_csv(spark: SparkSession, path: str, escape: str = '"') -> DataFrame:
+    return label_table(spark.read.option("escape", escape).csv(path))
+
+
 def read_label_csv(
     spark: SparkSession, path: str, allowed: Iterable[str] | None = TEMPLATES, escape: str = '"'
 ) -> DataFrame:

@@ -29,13 +29,11 @@ def stored(rows: DataFrame, spread: bool = False) -> DataFrame:
     """Compute ``rows`` once and read them from shared storage from then on.
 
     A lost executor then costs a re-read of its part, not a new scan of the log.
-    With ``spread``, for work that is heavy per row, a table with fewer parts than
-    there are cores is dealt out once more; larger tables keep their parts.
+    With ``spread``, for work that is heavy per row, the rows are dealt out by their
+    name to the session's number of shuffle partitions, always in the same way.
     """
     spark = rows.sparkSession
     checkpoint_folder(spark)
-    table = rows.checkpoint()
-    cores = spark.sparkContext.defaultParallelism
-    if spread and table.rdd.getNumPartitions() < cores:
-        table = table.repartition(cores).checkpoint()
-    return table
+    if spread:
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
+    return rows.checkpoint()

@@ -102,7 +102,7 @@ def test_lines(spark):
         "name ARRAY<STRING>, features ARRAY<DOUBLE>, assignedCluster INT, trueCluster STRING",
     )
     assert sorted(row["value"] for row in members_lines(members).collect()) == [
-        '"a""b||||c","3","city",1.0,NaN', '"x","0",0.5'
+        '"a""b||||c","3","city",1.0,NaN', '"x","0","",0.5'
     ]
     assert {row["value"] for row in members_lines(members.drop("trueCluster")).collect()} == {
         '"a""b||||c","3",1.0,NaN', '"x","0",0.5'
