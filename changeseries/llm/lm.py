@@ -20,7 +20,8 @@ counts are summed over all training documents:
   weights are averaged by the occurrences behind them. The map's counts are added up.
 
 Words depend on each other only through the counts, so a word has one probability, computed once. Documents get the
-counts and probabilities of their words by an exchange between batches and buckets (see ``batches``).
+counts and probabilities of their words by an exchange between batches and buckets (see ``batches``),
+in which words go by 64-bit hashes: two words of ten million share one with a chance under one in 300,000.
 
 Results for odd rows: null text counts as empty, which is the end alone. A row without an id is
 trained on and not held out. Repeated rows count each. Texts are whole. An empty table gives an empty result.
@@ -38,9 +39,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeseries.llm.batches import MESSAGE, batched, bucket_slices, joined, messages, packed, parted, unpacked
+from changeseries.llm.batches import MESSAGE, batched, bucket_slices, joined, messages, packed, packed_sorted, parted, unpacked, unpacked_sorted
 from changeseries.llm.storage import written
-from changeseries.llm.wordhash import Powers, Words, mixed
+from changeseries.llm.wordhash import Powers, Words, mixed, runs_of_texts
 
 ORDERS = (1, 2, 3, 4, 6)
 TABLE_BITS = 20
@@ -54,6 +55,8 @@ MAP_PRIOR = 20.0
 
 WORDS_PER_BLOCK = 4_000
 COUNTED_WORDS = 300_000
+CHUNK_BYTES = 500_000
+SPACES = b" \t\n\x0b\x0c\r"
 FOLDS, HELD_OUT_FOLD = 7, 2
 
 
@@ -288,14 +291,16 @@ def _scoring(tables, weights: np.ndarray, refined: np.ndarray, bits: int):
         known_of = counts_of.sum(axis=2) > 0
         for tokens, counts in _blocks(batches, trained_only=False):
             scores = _log_probabilities(tokens, odds_of, known_of, weights, refined, powers) / np.log(10)
-            real = [i for i, t in enumerate(tokens) if t]
-            yield messages(
-                [
-                    (bucket, -1, 0, joined(b"\n".join(own), packed(np.array([counts[real[i]] for i in at]).astype(np.uint64)), packed(scores[[real[i] for i in at]].view(np.uint64))))
-                    for bucket, at, own in _by_bucket([tokens[i] for i in real], bits, powers)
-                ]
-                + [(-1, -1, 1, np.array([counts[i], scores[i]]).tobytes()) for i, t in enumerate(tokens) if not t]
-            ).to_batches()[0]
+            real = np.array([i for i, t in enumerate(tokens) if t], np.int64)
+            hashes = Words([b"\n".join(tokens)], powers).hashes
+            order = np.argsort(hashes)
+            counts_there, scores_there, hashes = counts[real][order].astype(np.uint64), scores[real][order], hashes[order]
+            rows = [
+                (bucket, -1, 0, joined(packed_sorted(hashes[i:j]), packed(counts_there[i:j]), packed(scores_there[i:j].view(np.uint64))))
+                for bucket, i, j in bucket_slices(hashes, bits)
+            ]
+            rows += [(-1, -1, 1, np.array([counts[i], scores[i]]).tobytes()) for i, t in enumerate(tokens) if not t]
+            yield messages(rows).to_batches()[0]
 
     return scored
 
@@ -303,22 +308,29 @@ def _scoring(tables, weights: np.ndarray, refined: np.ndarray, bits: int):
 # --- documents ----------------------------------------------------------------------
 
 
-def _by_bucket(tokens: list[bytes], bits: int, powers: Powers) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
-    """``bucket, places, tokens``: different tokens in the order of their hashes, cut by bucket."""
-    hashes = Words([b"\n".join(tokens)], powers).hashes
-    order = np.argsort(hashes, kind="stable")
-    if len(order) and (np.diff(hashes[order]) == 0).any():
-        order = np.array(sorted(range(len(tokens)), key=lambda i: (int(hashes[i]), tokens[i])))
-    for bucket, first, end in bucket_slices(hashes[order], bits):
-        yield bucket, order[first:end], [tokens[i] for i in order[first:end]]
+class _BatchWords:
+    """The different words of a batch by their hashes, sorted, and where each text's words stand among them."""
+
+    def __init__(self, texts: list[bytes]):
+        powers, hashes, self.counts = Powers(), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for first, end in runs_of_texts(texts, CHUNK_BYTES):
+            words = Words(texts[first:end], powers, lower=True)
+            hashes.append(words.hashes)
+            self.counts.append(words.counts())
+        self.counts = np.concatenate(self.counts)
+        self.different, self.place = np.unique(np.concatenate(hashes), return_inverse=True)
+
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each text's words of a value per different word."""
+        sums = np.concatenate(([0.0], np.cumsum(values[self.place])))
+        ends = np.cumsum(self.counts)
+        return sums[ends] - sums[ends - self.counts]
 
 
 def _asking(bits: int):
     def ask(table: pa.Table) -> pa.Table:
-        batch, compressor, found = table.column("batch")[0].as_py(), zstandard.ZstdCompressor(level=1), set()
-        for text in table.column("text"):
-            found.update(_words(text.as_py()))
-        return messages([(bucket, batch, 2, compressor.compress(b"\n".join(own))) for bucket, _, own in _by_bucket(list(found), bits, Powers())])
+        batch, words = table.column("batch")[0].as_py(), _BatchWords(table.column("text").to_pylist())
+        return messages([(bucket, batch, 2, packed_sorted(words.different[i:j])) for bucket, i, j in bucket_slices(words.different, bits)])
 
     return ask
 
@@ -327,48 +339,35 @@ def _answering(asked: pa.Table, known: pa.Table) -> pa.Table:
     """Counts and scores of the words each batch asks for, in its order."""
     if not asked.num_rows:
         return messages([])
-    places, counts, scores, at = {}, [], [], 0
-    for payload in known.column("payload").to_pylist():
-        tokens, block_counts, block_scores = parted(payload)
-        tokens = tokens.split(b"\n")
-        places.update(zip(tokens, range(at, at + len(tokens))))
-        at += len(tokens)
-        counts.append(unpacked(block_counts))
-        scores.append(unpacked(block_scores))
-    counts, scores, decompressor = np.concatenate(counts), np.concatenate(scores), zstandard.ZstdDecompressor()
+    parts = [parted(p) for p in known.column("payload").to_pylist()]
+    hashes = np.concatenate([unpacked_sorted(p[0]) for p in parts])
+    order = np.argsort(hashes)
+    hashes, counts, scores = hashes[order], *(np.concatenate([unpacked(p[i]) for p in parts])[order] for i in (1, 2))
     rows = []
     for bucket, batch, payload in zip(*[asked.column(c).to_pylist() for c in ("bucket", "batch", "payload")]):
-        at = np.fromiter((places[t] for t in decompressor.decompress(payload).split(b"\n")), np.int64)
+        at = np.searchsorted(hashes, unpacked_sorted(payload))
         rows.append((bucket, batch, 3, joined(packed(counts[at]), packed(scores[at]))))
     return messages(rows)
 
 
 def _adding(bits: int, end_count: float, end_score: float):
     def add(table: pa.Table, answers: pa.Table) -> pa.Table:
-        split = [_words(text.as_py()) for text in table.column("text")]
+        texts = table.column("text").to_pylist()
+        words = _BatchWords(texts)
         known = dict(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist()))
-        places, counts, scores, first = {}, [np.empty(0, np.uint64)], [np.empty(0)], 0
-        for bucket, _, own in _by_bucket(list({w for words in split for w in words}), bits, Powers()):
+        counts, scores = np.zeros(len(words.different)), np.zeros(len(words.different))
+        for bucket, i, j in bucket_slices(words.different, bits):
             found = parted(known[bucket])
-            places.update(zip(own, range(first, first + len(own))))
-            first += len(own)
-            counts.append(unpacked(found[0]))
-            scores.append(unpacked(found[1]).view(np.float64))
-        counts, scores = np.concatenate(counts).astype(np.float64), np.concatenate(scores)
-        smoothed = np.log10(counts + 1)
-        out = []
-        for words in split:
-            at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-            out.append((len(words) + 1, int((counts[at] > 0).sum()) + (end_count > 0), smoothed[at].sum() + np.log10(end_count + 1), scores[at].sum() + end_score))
-        n_tokens, n_known, base, score = zip(*out) if out else ((), (), (), ())
+            counts[i:j] = unpacked(found[0])
+            scores[i:j] = unpacked(found[1]).view(np.float64)
         return pa.table(
             {
                 "id": table.column("id"),
-                "n_tokens": pa.array(n_tokens, pa.int64()),
-                "n_known": pa.array(n_known, pa.int64()),
-                "smoothed": pa.array(base, pa.float64()),
-                "score": pa.array(score, pa.float64()),
-                "n_bytes": pa.array([sum(map(len, words)) + len(words) + 1 for words in split], pa.int64()),
+                "n_tokens": pa.array(words.counts + 1, pa.int64()),
+                "n_known": pa.array(words.per_text(counts > 0).astype(np.int64) + (end_count > 0), pa.int64()),
+                "smoothed": pa.array(words.per_text(np.log10(counts + 1)) + np.log10(end_count + 1), pa.float64()),
+                "score": pa.array(words.per_text(scores) + end_score, pa.float64()),
+                "n_bytes": pa.array([len(t.translate(None, SPACES)) for t in texts] + words.counts + 1, pa.int64()),
             }
         )
 
