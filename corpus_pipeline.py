@@ -41,8 +41,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets that look live masked in their texts."""
     scanned = secrets.scan(docs, keep=COLUMNS)
-    text = secrets.redacted(F.col("text"), F.col("live"))
-    return scanned.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    masked = scanned.withColumn("masked", secrets.redacted(F.col("text"), F.col("live")))
+    return masked.select("doc_id", F.col("masked").alias("text"), "lang", "source", F.length("masked").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
