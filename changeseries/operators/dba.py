@@ -16,6 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changeseries.functions.text import joined_name
 from changeseries.operators.kmeans import Clusters, center_table
 from changeseries.operators.warping import (
     assign_nearest,
@@ -139,10 +140,9 @@ def updated_centers(
 
 
 def initial_centers(features: DataFrame, k: int, seed: int = 0) -> list[list[float]]:
-    """k different series, drawn by a seeded hash of their names: exact and repeatable."""
-    chosen = (
-        features.orderBy(F.xxhash64("name", F.lit(seed)), "name").limit(k).select("features").collect()
-    )
+    """k different series, drawn by an md5 of seed and name: exact, repeatable, the same everywhere."""
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), joined_name(F.col("name"))))
+    chosen = features.orderBy(draw, "name").limit(k).select("features").collect()
     if len(chosen) < k:
         raise ValueError(f"k = {k} is more than the {len(chosen)} series there are")
     return [[float(x) for x in row["features"]] for row in chosen]

@@ -312,6 +312,13 @@ def lifespan_rate_cells(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def missing_times_dropped(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily counts of all events, where errors have lost their times."""
+    events = table(spark, folder, "events").select("user_id", "event_type", "props", F.when(F.col("event_type") != "error", F.col("ts")).alias("ts"))
+    changes = change_log(events, on_error="drop")
+    return long_form(series.build_series(changes, ["property"], TimeWindows(*JANUARY, 1, "Days")))
+
+
 # -- clustering -----------------------------------------------------------------
 
 
@@ -403,6 +410,12 @@ def dba_kmeans_members(spark: SparkSession, folder: str) -> DataFrame:
     return members.select(joined_name(F.col("name")).alias("name"), "assignedCluster")
 
 
+def dba_drawn_centers(spark: SparkSession, folder: str) -> DataFrame:
+    """The five series drawn as initial centers."""
+    clusters = fit_dba_kmeans(stored(daily_features(spark, folder), spread=True), k=5, max_iter=0, seed=13)
+    return centers_long(clusters.centers)
+
+
 def dba_assignment_changes(spark: SparkSession, folder: str) -> DataFrame:
     """How many series the first update moved to another cluster."""
     rows = stored(daily_features(spark, folder), spread=True)
@@ -416,16 +429,17 @@ def dba_assignment_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def members_text(spark: SparkSession, folder: str) -> DataFrame:
-    clusters = fit_dba_kmeans(stored(daily_features(spark, folder)), k=1, max_iter=1)
+    """Members of the clusters after one update from the first three series."""
+    rows = stored(daily_features(spark, folder), spread=True)
+    clusters = fit_dba_kmeans(rows, max_iter=1, centers=first_series(rows, 3))
     path = scratch_path(spark, "members")
     write_lines(members_lines(clusters.members), path)
     return spark.read.text(path)
 
 
 def centers_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Three given series of different lengths as padded center lines."""
-    first, second, third = first_series(daily_features(spark, folder), 3)
-    return centers_lines(center_table(spark, [first, second[:10], third]))
+    """Three given series as center lines."""
+    return centers_lines(center_table(spark, first_series(daily_features(spark, folder), 3)))
 
 
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
@@ -553,6 +567,8 @@ QUERIES: dict[str, Query] = {
     "dba_two_updates": dba_two_updates,
     "barycenter_update": barycenter_update,
     "dba_kmeans_members": dba_kmeans_members,
+    "dba_drawn_centers": dba_drawn_centers,
+    "missing_times_dropped": missing_times_dropped,
     "dba_assignment_changes": dba_assignment_changes,
     "members_lines": members_text,
     "centers_lines": centers_text,

@@ -367,15 +367,24 @@ ORACLES: dict[str, str] = {
       SELECT count(*) FILTER (a.cluster <> b.cluster) AS moved
       FROM aligned0 AS a JOIN aligned1 AS b USING (name)""",
     "members_lines": f"""
-      WITH {DAILY}
-      SELECT '"' || name || '","0",' || string_agg(CAST(value AS VARCHAR), ',' ORDER BY i) AS value
-      FROM series GROUP BY name""",
+      WITH RECURSIVE {DAILY_LISTS}, {assignment(0)}, {update(0)}, {assignment(1)}
+      SELECT '"' || name || '","' || cluster || '",' || string_agg(CAST(value AS VARCHAR), ',' ORDER BY i) AS value
+      FROM series JOIN aligned1 USING (name) GROUP BY name, cluster""",
+    "dba_drawn_centers": f"""
+      WITH {DAILY},
+      drawn AS (SELECT name, row_number() OVER (ORDER BY md5('13:' || name), name) - 1 AS cluster FROM (SELECT DISTINCT name FROM series))
+      SELECT CAST(i AS INTEGER) AS "index", value, CAST(cluster AS INTEGER) AS cluster
+      FROM series JOIN drawn USING (name) WHERE cluster < 5""",
+    "missing_times_dropped": """
+      WITH kept AS (SELECT event_type AS name, CAST(ts AS DATE) - DATE '2024-01-01' AS i, count(*) AS n
+                    FROM events WHERE event_type <> 'error' GROUP BY ALL),
+      cells AS (SELECT DISTINCT name, unnest(range(30)) AS i FROM kept)
+      SELECT name, CAST(i AS INTEGER) AS i, CAST(coalesce(n, 0) AS DOUBLE) AS value FROM cells LEFT JOIN kept USING (name, i)""",
     "centers_lines": f"""
       WITH {DAILY},
       first AS (
         SELECT name, row_number() OVER (ORDER BY name) AS cluster FROM names ORDER BY name LIMIT 3)
-      SELECT string_agg(CASE WHEN cluster = 2 AND i >= 10 THEN 'NaN' ELSE CAST(value AS VARCHAR) END, ','
-                        ORDER BY i) AS value
+      SELECT string_agg(CAST(value AS VARCHAR), ',' ORDER BY i) AS value
       FROM first JOIN series USING (name) GROUP BY cluster""",
     "csv_round_trip": ACTIVITY,
     "label_csv": """
