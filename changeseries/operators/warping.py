@@ -7,6 +7,7 @@ series and centers of a block, so Python steps number S + T and not S * T.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import types as T
 BLOCK_ELEMENTS = 1 << 17
 # Series that a block should at least hold.
 BLOCK_SERIES = 64
-# Back-pointers of a block, one byte each.
-BLOCK_POINTERS = 1 << 25
+# Memory for the paths of a block.
+BLOCK_BYTES = 1 << 25
 
 # Where a cell comes from; the larger code is preferred on ties.
 DIAGONAL, LEFT, UP = np.int8(0), np.int8(1), np.int8(2)
@@ -31,19 +32,24 @@ def _diagonal_bounds(t: int, rows: int, columns: int) -> tuple[int, int]:
     return max(0, t - columns + 1), min(rows - 1, t) + 1
 
 
-def _walk(centers: np.ndarray, series: np.ndarray, pointers: np.ndarray | None = None) -> np.ndarray:
-    """Warping cost of broadcast stacks: centers (S, ...) against series (T, ...).
+def _stretch(
+    centers: np.ndarray,
+    series: np.ndarray,
+    diagonals: range,
+    last: np.ndarray,
+    before: np.ndarray,
+    pointers: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Costs of the last two diagonals after some more; ``last`` and ``before`` are overwritten.
 
     Position 0 of the buffers is the infinite border, position i + 1 belongs to
-    center point i. With ``pointers`` (S + T - 1, S, ...) every cell also records
+    center point i. With ``pointers`` (diagonals, S, ...) every cell also records
     its predecessor; ties prefer UP, then LEFT, then DIAGONAL.
     """
     rows, columns = len(centers), len(series)
     reverse = series[::-1]
-    shape = np.broadcast_shapes(centers.shape[1:], series.shape[1:])
-    current, last, before = (np.full((rows + 1, *shape), np.inf) for _ in range(3))
-    cost = np.empty((rows, *shape))
-    for t in range(rows + columns - 1):
+    current, cost = np.full_like(last, np.inf), np.empty((rows, *last.shape[1:]))
+    for t in diagonals:
         lo, hi = _diagonal_bounds(t, rows, columns)
         here = cost[lo:hi]
         shift = columns - 1 - t
@@ -59,11 +65,23 @@ def _walk(centers: np.ndarray, series: np.ndarray, pointers: np.ndarray | None =
                 # The codes are ordered, so the preferred one of two is the larger.
                 leftward = (left <= diagonal).view(np.int8) * LEFT
                 upward = (up <= target).view(np.int8) * UP
-                np.maximum(leftward, upward, out=pointers[t, lo:hi])
+                np.maximum(leftward, upward, out=pointers[t - diagonals.start, lo:hi])
             np.minimum(target, up, out=target)
             np.add(target, here, out=target)
         before, last, current = last, current, before
-    return last[rows].copy()
+    return last, before
+
+
+def _borders(centers: np.ndarray, series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    shape = np.broadcast_shapes(centers.shape[1:], series.shape[1:])
+    return np.full((len(centers) + 1, *shape), np.inf), np.full((len(centers) + 1, *shape), np.inf)
+
+
+def _walk(centers: np.ndarray, series: np.ndarray) -> np.ndarray:
+    """Warping cost of broadcast stacks: centers (S, ...) against series (T, ...)."""
+    diagonals = range(len(centers) + len(series) - 1)
+    last, _ = _stretch(centers, series, diagonals, *_borders(centers, series))
+    return last[len(centers)].copy()
 
 
 def warping_costs(series: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -102,29 +120,61 @@ def barycenter_sums(series: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray
     the shape of ``centers``.
     """
     sums, hits = np.zeros(centers.shape), np.zeros(centers.shape, dtype=np.int64)
-    rows, columns = centers.shape[1], series.shape[1]
-    block = max(1, BLOCK_POINTERS // (rows * (rows + columns - 1)))
+    size = path_bytes(centers.shape[1], series.shape[1])
+    block = max(1, BLOCK_BYTES // size)
     for at in range(0, len(series), block):
         part = slice(at, at + block)
         _trace(series[part], centers[part], sums[part], hits[part])
     return sums, hits
 
 
+def stride(diagonals: int) -> int:
+    """Diagonals between two kept ones: pointers of a stretch then weigh as much as all kept costs."""
+    return max(1, 4 * math.isqrt(diagonals))
+
+
+def path_bytes(rows: int, columns: int) -> int:
+    """Memory for the path of one series: two kept diagonals of doubles per stretch, pointers of one stretch."""
+    diagonals = rows + columns - 1
+    step = stride(diagonals)
+    return rows * (min(step, diagonals) + 16 * -(-diagonals // step))
+
+
 def _trace(series: np.ndarray, centers: np.ndarray, sums: np.ndarray, hits: np.ndarray) -> None:
+    """Follow the cheapest paths back to their beginnings.
+
+    The first pass keeps the costs at the beginning of every stretch of diagonals. Walking
+    back, a stretch is computed again with its pointers, so that memory grows with the length
+    to the power of one and a half, not two, at twice the work.
+    """
     n, rows, columns = len(series), centers.shape[1], series.shape[1]
-    pointers = np.zeros((rows + columns - 1, rows, n), dtype=np.int8)
-    _walk(np.ascontiguousarray(centers.T), np.ascontiguousarray(series.T), pointers)
-    at = np.arange(n)
+    centers, across = np.ascontiguousarray(centers.T), np.ascontiguousarray(series.T)
+    diagonals = rows + columns - 1
+    step = stride(diagonals)
+    stretches = [range(t, min(t + step, diagonals)) for t in range(0, diagonals, step)]
+    last, before = _borders(centers, across)
+    kept = []
+    for stretch in stretches[:-1]:
+        kept.append((last.copy(), before.copy()))
+        last, before = _stretch(centers, across, stretch, last, before)
+    kept.append((last, before))
+    everyone = np.arange(n)
     i, j = np.full(n, rows - 1), np.full(n, columns - 1)
-    while len(at):
-        # A series appears once per step, so plain indexed addition is safe.
-        sums[at, i] += series[at, j]
-        hits[at, i] += 1
-        step = pointers[i + j, i, at]
-        open_ = (i > 0) | (j > 0)
-        i = i - (step != LEFT)
-        j = j - (step != UP)
-        at, i, j = at[open_], i[open_], j[open_]
+    pointers = np.empty((min(step, diagonals), rows, n), dtype=np.int8)
+    for stretch in reversed(stretches):
+        pointers[...] = 0
+        _stretch(centers, across, stretch, *kept.pop(), pointers)
+        at = everyone[i + j >= stretch.start]
+        while len(at):
+            # A series appears once per step, so plain indexed addition is safe.
+            here_i, here_j = i[at], j[at]
+            sums[at, here_i] += series[at, here_j]
+            hits[at, here_i] += 1
+            move = pointers[here_i + here_j - stretch.start, here_i, at]
+            done = (here_i == 0) & (here_j == 0)
+            i[at] = np.where(done, -1, here_i - (move != LEFT))
+            j[at] = np.where(done, -1, here_j - (move != UP))
+            at = at[i[at] + j[at] >= stretch.start]
 
 
 def stacks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -100,7 +100,7 @@ def test_blocks_do_not_change_the_costs(monkeypatch):
     y, centers = draw.normal(size=(40, 12)), draw.normal(size=(3, 9))
     whole, traced = warping.warping_costs(y, centers), warping.barycenter_sums(y, np.repeat(centers[:1], 40, 0))
     monkeypatch.setattr(warping, "BLOCK_ELEMENTS", 70)
-    monkeypatch.setattr(warping, "BLOCK_POINTERS", 700)
+    monkeypatch.setattr(warping, "BLOCK_BYTES", 700)
     assert (warping.warping_costs(y, centers) == whole).all()
     again = warping.barycenter_sums(y, np.repeat(centers[:1], 40, 0))
     assert (again[0] == traced[0]).all() and (again[1] == traced[1]).all()
@@ -250,3 +250,52 @@ def test_label_join(spark):
 
 def test_center_table(spark):
     assert [tuple(r) for r in center_table(spark, [[1, 2], [3]]).orderBy("cluster").collect()] == [(0, [1.0, 2.0]), (1, [3.0])]
+
+
+def _plain_path(series, center):
+    """Sums and hits per center point along one cheapest path; ties go up, left, diagonal."""
+    rows, columns = len(center), len(series)
+    cost = np.full((rows + 1, columns + 1), np.inf)
+    cost[0, 0] = 0
+    for a in range(rows):
+        for b in range(columns):
+            cost[a + 1, b + 1] = (center[a] - series[b]) ** 2 + min(cost[a, b + 1], cost[a + 1, b], cost[a, b])
+    cost[0, 0] = np.inf
+    sums, hits, a, b = np.zeros(rows), np.zeros(rows, int), rows - 1, columns - 1
+    while True:
+        sums[a] += series[b]
+        hits[a] += 1
+        if a == 0 and b == 0:
+            return sums, hits
+        best = min(cost[a, b + 1], cost[a + 1, b], cost[a, b])
+        if a and cost[a, b + 1] == best:
+            a -= 1
+        elif b and cost[a + 1, b] == best:
+            b -= 1
+        else:
+            a, b = a - 1, b - 1
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 1000])
+def test_paths_across_recomputed_stretches(monkeypatch, step):
+    monkeypatch.setattr(warping, "stride", lambda diagonals: step)
+    rng = np.random.default_rng(step)
+    for rows, columns in ((1, 1), (1, 6), (6, 1), (9, 14), (14, 9), (12, 12)):
+        series, centers = rng.integers(0, 3, (20, columns)).astype(float), rng.integers(0, 3, (20, rows)).astype(float)
+        sums, hits = warping.barycenter_sums(series, centers)
+        for k in range(20):
+            want_sums, want_hits = _plain_path(series[k], centers[k])
+            assert (sums[k] == want_sums).all() and (hits[k] == want_hits).all()
+
+
+def test_memory_of_a_long_path():
+    import tracemalloc
+
+    length = 3_000
+    rng = np.random.default_rng(1)
+    series, center = rng.random((1, length)), rng.random((1, length))
+    tracemalloc.start()
+    warping.barycenter_sums(series, center)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * warping.path_bytes(length, length) < length * length
