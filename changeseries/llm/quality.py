@@ -1,6 +1,6 @@
 """Quality rules: a threshold table compiled into one projection.
 
-``measures`` gives the text measures as columns, a table of :class:`Threshold` rows
+``measures`` gives the text measures as columns (``once`` keeps a later filter from computing them again), a table of :class:`Threshold` rows
 says which ratios of them are allowed, and ``judge`` compiles that table into a
 single ``select``: no user function, no shuffle, no second pass.
 
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changeseries.functions.numeric import once
 from changeseries.llm.columns import LOWER, SPACES, UPPER, character_count, let, words_of
 
 SYMBOLS = "#*$%&|<>"
@@ -137,7 +138,7 @@ def _measured(text: Column) -> Column:
 
 def measures(documents: DataFrame, text_column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and one long column per measure."""
-    found = documents.select(*[F.col(c).alias(f"_{c}") for c in keep], _measured(F.col(text_column)).alias("m"))
+    found = documents.select(*[F.col(c).alias(f"_{c}") for c in keep], once(_measured(F.col(text_column))).alias("m"))
     at = lambda c: f"m.{'of_words.' if c in ('n_words', 'n_repeat_words', 'n_stop_words') else 'of_lines.' if 'line' in c else ''}{c}"
     return found.select(*[F.col(f"_{c}").alias(c) for c in keep], *[F.col(at(c)).alias(c) for c in MEASURES])
 
