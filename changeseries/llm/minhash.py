@@ -316,6 +316,7 @@ class _Corpus:
             .agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members"))
             .where("c1 <> c2")
             .select(F.col("band").alias("_band"), F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+            .checkpoint()  # a join with it can be split where a bucket is large; sharing its exchange it could not
         )
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         partners = F.sequence(F.lit(0), F.col("blocks") - 1)
