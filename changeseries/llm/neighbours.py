@@ -253,6 +253,7 @@ def _one_dimension(usable: DataFrame, is_query: Column, k: int, dimension: int)
 
     index = _indexed(classes, hashing)
     sizes = index.groupBy(F.col("bucket").alias("_bucket")).agg(F.ceil(F.count("*") / CELL_VECTORS).cast("int").alias("parts"))
+    sizes = sizes.checkpoint()  # joins with it can then be split where a bucket is large
     cell = lambda bucket, part: F.xxhash64(bucket, part.cast("int"))
     group = F.pmod(F.col("cell"), F.lit(groups)).alias("group")
     members = (
