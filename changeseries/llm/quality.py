@@ -37,6 +37,7 @@ STOP_WORDS = (
     "der die das und zu den von ist nicht mit sich ein eine auf für im dem auch es an als war so "
     "el los las y del se por con para su al lo como más pero sus o me si sin no"
 ).split()
+LONGEST_STOP_WORD = max(map(len, STOP_WORDS))
 
 
 @dataclass(frozen=True)
@@ -108,7 +109,8 @@ def _measured(text: Column) -> Column:
     content = F.coalesce(text, F.lit(""))
 
     def of_words(words: Column) -> list[Column]:
-        stops = F.filter(words, lambda w: F.translate(w, UPPER, LOWER).isin(STOP_WORDS))
+        # Longer words need not be lower-cased to be ruled out.
+        stops = F.filter(words, lambda w: (F.length(w) <= LONGEST_STOP_WORD) & F.translate(w, UPPER, LOWER).isin(STOP_WORDS))
         return [
             F.size(words).cast("long").alias("n_words"),
             repeated_words(words).alias("n_repeat_words"),
