@@ -152,11 +152,18 @@ def _outside(span: Column, others: Column) -> Column:
     return ~F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
 
 
+def _inside_one(span: Column, others: Column) -> Column:
+    return F.exists(others, lambda o: (o["start"] <= span["start"]) & (span["end"] <= o["end"]))
+
+
 def judged_spans(found: DataFrame, max_owners: int) -> DataFrame:
-    """Per different text with a candidate: ``live`` and ``copied``, lists of its further and base spans."""
+    """Per different text with a candidate: ``live`` and ``copied``, lists of its base spans and the further ones not inside one.
+
+    What a base span contains is held by all that hold the base value, so it is never live if that is not.
+    """
     texts = (
         found.where("size(base) + size(further) > 0")
-        .select("text_key", "base", F.filter("further", lambda s: _outside(s, F.col("base"))).alias("further"))
+        .select("text_key", "base", F.filter("further", lambda s: ~_inside_one(s, F.col("base"))).alias("further"))
         .groupBy("text_key")
         .agg(F.first("base").alias("base"), F.first("further").alias("further"))
     )
@@ -178,11 +185,11 @@ def scan(
     keep: tuple[str, ...] = ("doc_id",),
     max_owners: int = MAX_OWNERS,
 ) -> DataFrame:
-    """``keep`` and per row: ``text_key``, spans of each base kind, ``base``, ``added``, ``live``, ``copied``.
+    """``keep`` and per row: ``text_key``, spans of each base kind, ``base``, ``added``, ``crossing``, ``live``, ``copied``.
 
-    ``added`` are further spans that look live and overlap no base span; ``live`` and
-    ``copied`` split all reported and all dismissed spans by ownership. Their
-    hash is that of the secret value.
+    ``added`` are further spans that look live and overlap no base span, ``crossing`` those
+    that overlap one and reach past it; ``live`` and ``copied`` split all reported and all
+    dismissed spans by ownership. Their hash is that of the secret value.
     """
     checkpoint_folder(documents.sparkSession)
     found = candidates(
@@ -200,7 +207,8 @@ def scan(
         "text_key",
         *[f"base_{kind.name}" for kind in BASE_KINDS],
         "base",
-        F.coalesce(F.filter("live", is_further), none).alias("added"),
+        F.coalesce(F.filter("live", lambda s: is_further(s) & _outside(s, F.col("base"))), none).alias("added"),
+        F.coalesce(F.filter("live", lambda s: is_further(s) & ~_outside(s, F.col("base"))), none).alias("crossing"),
         F.coalesce("live", none).alias("live"),
         F.coalesce("copied", none).alias("copied"),
     )
