@@ -19,9 +19,16 @@ counts are summed over all training documents:
   error, predicting each word as if one occurrence of it had not been seen; tasks start alike and their
   weights are averaged by the occurrences behind them. The map's counts are added up.
 
-Words depend on each other only through the counts, so a word has one probability, computed once. Documents get the
-counts and probabilities of their words by an exchange between batches and buckets (see ``batches``),
-in which words go by 64-bit hashes: two words of ten million share one with a chance under one in 300,000.
+A word's spelling has one probability, computed once. In its place in a text that is mixed with
+what followed the word before it, and then with what followed the two words before it, in all training texts:
+each context adds its counts to the next shorter prediction, which weighs as much as ``CONTEXT_PRIORS`` occurrences,
+so the sum over all words stays 1. A training row is scored as if one occurrence of each of its pairs and triples
+had not been seen.
+
+Documents get the counts and spelling probabilities of their words, and the counts of their pairs and triples
+of words, by an exchange between batches and buckets (see ``batches``), in which words go by 64-bit hashes: two words
+of ten million share one with a chance under one in 300,000. Pairs and triples go by 48 bits: among a billion, one
+is taken for another with a chance of one in 280,000. A batch sends each once, with how often its training rows hold it.
 
 Results for odd rows: null text counts as empty, which is the end alone. A row without an id is
 trained on and not held out. Repeated rows count each. Texts are whole. An empty table gives an empty result.
@@ -41,7 +48,7 @@ from pyspark.sql import functions as F
 
 from changeseries.llm.batches import MESSAGE, batched, bucket_slices, joined, messages, packed, packed_sorted, parted, unpacked, unpacked_sorted
 from changeseries.llm.storage import written
-from changeseries.llm.wordhash import Powers, Words, mixed, runs_of_texts
+from changeseries.llm.wordhash import SEED_2, STEP, Powers, Words, mixed, runs_of_texts
 
 ORDERS = (1, 2, 3, 4, 6)
 TABLE_BITS = 20
@@ -53,6 +60,9 @@ MAP_STEPS = 24
 MAP_RANGE = 12.0
 MAP_PRIOR = 20.0
 
+CONTEXT_PRIORS = (300.0, 30.0)
+TEXT_START, TEXT_END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+
 WORDS_PER_BLOCK = 4_000
 COUNTED_WORDS = 300_000
 CHUNK_BYTES = 500_000
@@ -308,8 +318,15 @@ def _scoring(tables, weights: np.ndarray, refined: np.ndarray, bits: int):
 # --- documents ----------------------------------------------------------------------
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    return keys & np.uint64(0xFFFFFFFFFFFF0000)
+
+
 class _BatchWords:
-    """The different words of a batch by their hashes, sorted, and where each text's words stand among them."""
+    """The different words of a batch by their hashes, sorted, and where each text's words stand among them.
+
+    Its pairs and triples likewise: a text is its words and an end, the first follows a start.
+    """
 
     def __init__(self, texts: list[bytes]):
         powers, hashes, self.counts = Powers(), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
@@ -318,7 +335,46 @@ class _BatchWords:
             hashes.append(words.hashes)
             self.counts.append(words.counts())
         self.counts = np.concatenate(self.counts)
-        self.different, self.place = np.unique(np.concatenate(hashes), return_inverse=True)
+        hashes = np.concatenate(hashes)
+        self.different, self.place = np.unique(hashes, return_inverse=True)
+        self.end_at = np.cumsum(self.counts + 1) - 1
+        self.first_at = self.end_at - self.counts
+        self.is_word = np.ones(len(hashes) + len(texts), bool)
+        self.is_word[self.end_at] = False
+        self.later = np.ones(len(self.is_word), bool)
+        self.later[self.first_at] = False
+        token = np.full(len(self.is_word), TEXT_END)
+        token[self.is_word] = hashes
+        before = self.shifted(token, TEXT_START)
+        pairs = before * STEP + token
+        triples = (self.shifted(before, TEXT_START) * STEP + before) * STEP + token
+        keys = np.concatenate((_short(mixed(pairs)), _short(mixed(triples[self.later], SEED_2))))
+        self.keys, self.key_place = np.unique(keys, return_inverse=True)
+
+    def shifted(self, values: np.ndarray, at_first) -> np.ndarray:
+        """The value of the token before each; ``at_first`` for the first of a text."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first_at] = at_first
+        return out
+
+    def trained(self, training: np.ndarray) -> np.ndarray:
+        """How often the training texts hold each pair and triple."""
+        of_token = np.repeat(training, self.counts + 1)
+        held = np.concatenate((of_token, of_token[self.later]))
+        return np.bincount(self.key_place[held], minlength=len(self.keys)).astype(np.uint64)
+
+    def in_context(self, counts: np.ndarray, scores: np.ndarray, key_counts: np.ndarray, end_count: float, end_score: float, training: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, from training counts and scores of its words and counts of its pairs and triples."""
+        own = np.repeat(training, self.counts + 1).astype(np.float64)
+        single, spelled = np.full(len(own), end_count), np.full(len(own), end_score)
+        single[self.is_word], spelled[self.is_word] = counts[self.place], scores[self.place]
+        found = key_counts[self.key_place].astype(np.float64)
+        pairs, triples = found[: len(own)], found[len(own) :]
+        score = _followed(spelled * np.log(10), pairs - own, self.shifted(single, end_count) - own, CONTEXT_PRIORS[0])
+        later = self.later
+        score[later] = _followed(score[later], triples - own[later], self.shifted(pairs, 0.0)[later] - own[later], CONTEXT_PRIORS[1])
+        return np.add.reduceat(score, self.first_at) / np.log(10)
 
     def per_text(self, values: np.ndarray) -> np.ndarray:
         """Sums over each text's words of a value per different word."""
@@ -327,46 +383,75 @@ class _BatchWords:
         return sums[ends] - sums[ends - self.counts]
 
 
+def _followed(score: np.ndarray, there: np.ndarray, all_: np.ndarray, prior: float) -> np.ndarray:
+    """Natural logarithm of a context's counts mixed with a shorter prediction; a logarithm, as long words have tiny ones."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(np.maximum(there, 0)), np.log(prior) + score) - np.log(np.maximum(all_, 0) + prior)
+
+
 def _asking(bits: int):
     def ask(table: pa.Table) -> pa.Table:
         batch, words = table.column("batch")[0].as_py(), _BatchWords(table.column("text").to_pylist())
-        return messages([(bucket, batch, 2, packed_sorted(words.different[i:j])) for bucket, i, j in bucket_slices(words.different, bits)])
+        trained = words.trained(table.column("training").to_numpy())
+        rows = [(bucket, batch, 2, packed_sorted(words.different[i:j])) for bucket, i, j in bucket_slices(words.different, bits)]
+        rows += [(bucket, batch, 4, joined(packed_sorted(words.keys[i:j]), packed(trained[i:j]))) for bucket, i, j in bucket_slices(words.keys, bits)]
+        return messages(rows)
 
     return ask
 
 
 def _answering(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """Counts and scores of the words each batch asks for, in its order."""
-    if not asked.num_rows:
-        return messages([])
+    """Counts and scores of the words, and counts of the pairs and triples, that each batch asks for, in its order."""
+    asks = list(zip(*[asked.column(c).to_pylist() for c in ("bucket", "batch", "kind", "payload")]))
+    return messages(_answered_words([a for a in asks if a[2] == 2], known) + _answered_keys([a for a in asks if a[2] == 4]))
+
+
+def _answered_keys(asks: list[tuple]) -> list[tuple]:
+    """The training counts of all batches added up."""
+    if not asks:
+        return []
+    parts = [parted(a[3]) for a in asks]
+    keys = [unpacked_sorted(p[0]) for p in parts]
+    ends = np.cumsum([len(k) for k in keys])
+    different, place = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.bincount(place, np.concatenate([unpacked(p[1]) for p in parts]), len(different)).astype(np.uint64)
+    return [(bucket, batch, 5, packed(sums[place[end - len(k) : end]])) for (bucket, batch, *_), k, end in zip(asks, keys, ends)]
+
+
+def _answered_words(asks: list[tuple], known: pa.Table) -> list[tuple]:
+    if not asks:
+        return []
     parts = [parted(p) for p in known.column("payload").to_pylist()]
     hashes = np.concatenate([unpacked_sorted(p[0]) for p in parts])
     order = np.argsort(hashes)
     hashes, counts, scores = hashes[order], *(np.concatenate([unpacked(p[i]) for p in parts])[order] for i in (1, 2))
     rows = []
-    for bucket, batch, payload in zip(*[asked.column(c).to_pylist() for c in ("bucket", "batch", "payload")]):
+    for bucket, batch, _, payload in asks:
         at = np.searchsorted(hashes, unpacked_sorted(payload))
         rows.append((bucket, batch, 3, joined(packed(counts[at]), packed(scores[at]))))
-    return messages(rows)
+    return rows
 
 
 def _adding(bits: int, end_count: float, end_score: float):
     def add(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts = table.column("text").to_pylist()
         words = _BatchWords(texts)
-        known = dict(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist()))
+        known = {(kind, bucket): payload for kind, bucket, payload in zip(*[answers.column(c).to_pylist() for c in ("kind", "bucket", "payload")])}
         counts, scores = np.zeros(len(words.different)), np.zeros(len(words.different))
         for bucket, i, j in bucket_slices(words.different, bits):
-            found = parted(known[bucket])
+            found = parted(known[3, bucket])
             counts[i:j] = unpacked(found[0])
             scores[i:j] = unpacked(found[1]).view(np.float64)
+        key_counts = np.zeros(len(words.keys), np.uint64)
+        for bucket, i, j in bucket_slices(words.keys, bits):
+            key_counts[i:j] = unpacked(known[5, bucket])
         return pa.table(
             {
                 "id": table.column("id"),
                 "n_tokens": pa.array(words.counts + 1, pa.int64()),
                 "n_known": pa.array(words.per_text(counts > 0).astype(np.int64) + (end_count > 0), pa.int64()),
                 "smoothed": pa.array(words.per_text(np.log10(counts + 1)) + np.log10(end_count + 1), pa.float64()),
-                "score": pa.array(words.per_text(scores) + end_score, pa.float64()),
+                "score": pa.array(words.in_context(counts, scores, key_counts, end_count, end_score, table.column("training").to_numpy()), pa.float64()),
                 "n_bytes": pa.array([len(t.translate(None, SPACES)) for t in texts] + words.counts + 1, pa.int64()),
             }
         )
@@ -385,6 +470,7 @@ def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column
     tables = spark.sparkContext.broadcast(predictor_counts(words))
     weights, refined = mixing_state(words, tables)
     texts, bits = batched(rows, "id", "text")
+    texts = texts.withColumn("training", ~held_out(F.col("id")))
     scored = written(words.mapInArrow(_scoring(tables, weights, refined, bits), MESSAGE), "scored-words")
     end = scored.where("kind = 1").first()
     end_count, end_score = np.frombuffer(end.payload) if end else (0.0, 0.0)
