@@ -4,12 +4,15 @@ Looking up a key of every word or window by a join would shuffle a row for each.
 documents are grouped into batches by a hash of their id; a batch sends each of its
 different keys once, sorted and packed, to the bucket that owns that part of the
 key space, and a bucket answers every batch with an array in the batch's own order. A
-key that all documents share costs one entry per batch; batches and buckets have
-a bounded size, their numbers grow with the input.
+key that all documents share costs one entry per batch. Batches and buckets have a least
+size, beyond which both grow with the root of the input: there are at most as many messages as the input has
+``MESSAGE_TEXT`` bytes. At 100 TB a batch holds 320 MB of text.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -18,18 +21,28 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = 4_000_000
 BUCKET_BYTES = 16_000_000
+MESSAGE_TEXT = 1_024
 
 MESSAGE = "bucket long, batch long, kind int, payload binary"
 
 
-def batched(rows: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, int]:
-    """Columns ``batch, id, text`` (binary, null as empty), and the bits that number the buckets."""
+def batch_bytes(size: int, least: int) -> int:
+    """Bytes of text in a batch or bucket, given those of all texts."""
+    return max(least, math.isqrt(size * MESSAGE_TEXT))
+
+
+def batched(rows: DataFrame, id_column: str, text_column: str, bucket_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """Columns ``batch, id, text`` (binary, null as empty), and the bits that number the buckets.
+
+    A row's batch depends on its id and its text, so rows without an id or with equal ids are spread, too.
+    """
     size = rows.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
-    count = max(1, -(-size // BATCH_BYTES))
-    bits = max(0, (-(-size // BUCKET_BYTES) - 1).bit_length()) if size else 0
+    count = max(1, -(-size // batch_bytes(size, BATCH_BYTES)))
+    bits = max(0, (-(-size // batch_bytes(size, bucket_bytes or BUCKET_BYTES)) - 1).bit_length()) if size else 0
+    identity = F.col(id_column).cast("long")
     texts = rows.select(
-        F.pmod(F.xxhash64(F.col(id_column).cast("long")), F.lit(count)).alias("batch"),
-        F.col(id_column).cast("long").alias("id"),
+        F.pmod(F.xxhash64(identity, F.col(text_column)), F.lit(count)).alias("batch"),
+        identity.alias("id"),
         F.coalesce(F.col(text_column).cast("binary"), F.lit("").cast("binary")).alias("text"),
     )
     return texts, bits

@@ -199,6 +199,17 @@ SELECT smallest.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, smal
 FROM smallest LEFT JOIN sizes ON smallest.doc_id = sizes.doc_id
 """
 
+OP11 = rf"""
+WITH split AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                      unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+keyed AS (
+  SELECT *, {_lower(r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} AS key FROM split),
+common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(common.key)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN common ON keyed.key = common.key GROUP BY doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filters": OP1,
     "op2_quality_rules": OP2,
@@ -207,4 +218,5 @@ ORACLES: dict[str, str] = {
     "op6_secret_scans": OP6,
     "op8_warc": OP8,
     "op10_minhash": OP10,
+    "op11_line_dedup": OP11,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeseries.llm import lm, minhash, mixing, neighbours, packing, quality, secrets, substring_dedup, url_filters, warc
+from changeseries.llm import common_lines, lm, minhash, mixing, neighbours, packing, quality, secrets, substring_dedup, url_filters, warc
 from changeseries.llm.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,11 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), percent=85)
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = common_lines.drop_common_lines(_table(spark, folder, "documents"), least=10, shortest=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query for query in (
         op1_url_filters,
@@ -99,5 +104,6 @@ QUERIES: dict[str, Query] = {
         op8_warc,
         op9_packing,
         op10_minhash,
+        op11_line_dedup,
     )
 }
