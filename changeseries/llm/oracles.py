@@ -210,6 +210,25 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(common.key)::BIGINT AS n_dropp
 FROM keyed LEFT JOIN common ON keyed.key = common.key GROUP BY doc_id
 """
 
+OP12 = """
+WITH base AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         list_dot_product(a.vector, b.vector)::BIGINT AS score
+  FROM base a JOIN base b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filters": OP1,
     "op2_quality_rules": OP2,
@@ -219,4 +238,5 @@ ORACLES: dict[str, str] = {
     "op8_warc": OP8,
     "op10_minhash": OP10,
     "op11_line_dedup": OP11,
+    "op12_hard_negatives": OP12,
 }

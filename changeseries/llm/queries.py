@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeseries.llm import common_lines, lm, minhash, mixing, neighbours, packing, quality, secrets, substring_dedup, url_filters, warc
+from changeseries.llm import common_lines, hard_negatives, lm, minhash, mixing, neighbours, packing, quality, secrets, substring_dedup, url_filters, warc
 from changeseries.llm.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,11 @@ def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=shifted)
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query for query in (
         op1_url_filters,
@@ -105,5 +110,6 @@ QUERIES: dict[str, Query] = {
         op9_packing,
         op10_minhash,
         op11_line_dedup,
+        op12_hard_negatives,
     )
 }
