@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from changeseries.llm.mixing import MAX_EPOCHS, SEED
 from changeseries.llm.quality import STOP_WORDS
 from changeseries.llm.secrets import BASE_KINDS, FURTHER_KINDS, MAX_OWNERS
@@ -229,6 +231,45 @@ WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * p
 QUALIFY rank <= 5
 """
 
+#: CRC-32 of nothing but four bits, the low half of a byte first.
+_NIBBLES = [functools.reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(4), n) for n in range(16)]
+
+OP13 = rf"""
+WITH table16 AS (SELECT {_NIBBLES}::BIGINT[] AS t),
+split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_lower("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM documents),
+wanted AS (
+  SELECT list_filter(regexp_split_to_array({_lower("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM benchmark),
+both_ AS (SELECT doc_id, TRUE AS pool, ws FROM split UNION ALL SELECT NULL, FALSE, ws FROM wanted),
+runs AS (
+  SELECT doc_id, pool, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS run
+  FROM (SELECT doc_id, pool, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM both_, range(1, 4) AS sizes(size))),
+counted AS (SELECT run, doc_id, pool, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, xor(4294967295, list_reduce(
+    list_prepend(4294967295, flatten(list_transform(range(1, strlen(run) + 1), lambda i:
+      [strpos('0123456789ABCDEF', hex(run)[2 * i]) - 1, strpos('0123456789ABCDEF', hex(run)[2 * i - 1]) - 1]))),
+    lambda c, x: xor(t[1 + (xor(c, x) & 15)], c >> 4))) % 10000 AS bucket
+  FROM (SELECT DISTINCT run FROM counted), table16),
+placed AS (SELECT doc_id, pool, bucket, sum(n)::BIGINT AS n FROM counted JOIN hashed USING (run) GROUP BY ALL),
+totals AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE pool), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE NOT pool), 0)::DOUBLE AS t
+  FROM placed GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM totals),
+weights AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM placed JOIN gains USING (bucket) WHERE pool GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(weight, 0)::BIGINT AS weight,
+    (greatest(len(ws), 0) + greatest(len(ws) - 1, 0) + greatest(len(ws) - 2, 0))::BIGINT AS n_features,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM split LEFT JOIN weights USING (doc_id))
+SELECT doc_id, n_features, weight, weight + noise AS score,
+  CASE WHEN n_words >= 20 AND place <= 5 * sum((n_words >= 20)::INTEGER) OVER () // 100 THEN place END AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id) AS place FROM scored)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filters": OP1,
     "op2_quality_rules": OP2,
@@ -239,4 +280,5 @@ ORACLES: dict[str, str] = {
     "op10_minhash": OP10,
     "op11_line_dedup": OP11,
     "op12_hard_negatives": OP12,
+    "op13_importance_resampling": OP13,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeseries.llm import common_lines, hard_negatives, lm, minhash, mixing, neighbours, packing, quality, secrets, substring_dedup, url_filters, warc
+from changeseries.llm import common_lines, hard_negatives, importance, lm, minhash, mixing, neighbours, packing, quality, secrets, substring_dedup, url_filters, warc
 from changeseries.llm.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,10 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=shifted)
 
 
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query for query in (
         op1_url_filters,
@@ -111,5 +115,6 @@ QUERIES: dict[str, Query] = {
         op10_minhash,
         op11_line_dedup,
         op12_hard_negatives,
+        op13_importance_resampling,
     )
 }
