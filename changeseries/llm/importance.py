@@ -210,8 +210,16 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def head_of(texts: DataFrame) -> Head:
     """The frequent words of a table of one binary column."""
     counts = texts.mapInArrow(_counting, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = counts.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()
-    return Head([bytes(row.word) for row in frequent])
+    step = F.floor(F.log2("n") * 16)  # a few hundred at most
+    counts = written(counts.withColumn("step", step), "word-counts")
+    least = words = 0
+    for row in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        words += row["count"]
+        if words > HEAD_WORDS:
+            least = row.step + 1
+            break
+    frequent = counts.where(F.col("step") >= least).collect()  # at most HEAD_WORDS rows
+    return Head([bytes(row.word) for row in sorted(frequent, key=lambda row: (-row.n, row.word))])
 
 
 # --- totals and weights -------------------------------------------------------------
