@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 from typing import Any, NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +26,13 @@ class Clusters(NamedTuple):
     model: Any = None
 
 
-def center_table(spark: SparkSession, centers: list[list[float]]) -> DataFrame:
-    rows = [(i, [float(x) for x in center]) for i, center in enumerate(centers)]
-    return spark.createDataFrame(rows, CENTER_SCHEMA)
+def center_table(spark: SparkSession, centers: Sequence[Sequence[float]]) -> DataFrame:
+    """``(cluster, center)``; the values go over as Arrow arrays, not as objects."""
+    values = [np.asarray(center, dtype=np.float64) for center in centers]
+    ends = np.cumsum([0, *map(len, values)])
+    lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([*values, np.empty(0)])))
+    table = pa.table({"cluster": pa.array(range(len(values)), pa.int32()), "center": lists})
+    return spark.createDataFrame(table, CENTER_SCHEMA)
 
 
 def finite_features(features: DataFrame, non_finite: str = "error") -> DataFrame:

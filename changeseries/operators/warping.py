@@ -3,12 +3,18 @@
 The point cost is the squared difference, paths are unconstrained and no root is
 taken. The dynamic programme runs along anti-diagonals, vectorised over all
 series and centers of a block, so Python steps number S + T and not S * T.
+
+The nearest center is found without the full table of every pair. A path meets the first and the last
+points of both series, and every other point at least somewhere in the other one's range: what
+that costs bounds a pair from below. Centers are tried by rising bound, those beyond the best cost so
+far never, and a pair is given up once both diagonals that its paths must cross cost more. What is left out costs
+strictly more than the center that is found, so result and ties are those of the full tables.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +30,11 @@ BLOCK_SERIES = 64
 # Memory for the paths of a block.
 BLOCK_BYTES = 1 << 25
 
+# Diagonals after which pairs are given up that cost more than the best so far.
+GIVE_UP_EVERY = 24
+# What rounding may add to a bound; more than that is a real difference.
+ROUNDING = 1e-9
+
 # Where a cell comes from; the larger code is preferred on ties.
 DIAGONAL, LEFT, UP = np.int8(0), np.int8(1), np.int8(2)
 
@@ -201,15 +212,15 @@ def distinct(series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return series[first], like
 
 
-def shared_centers(rows: DataFrame, centers: list[list[float]]) -> Broadcast:
-    """Centers sent once to every executor, not with every task.
+def shared_centers(rows: DataFrame, centers: Sequence[Sequence[float]]) -> Broadcast:
+    """Centers sent once to every executor, not with every task, eight bytes a value.
 
     Their size is set by the job, number of clusters times windows, not by the data.
     """
-    return rows.sparkSession.sparkContext.broadcast([list(map(float, c)) for c in centers])
+    return rows.sparkSession.sparkContext.broadcast([np.asarray(c, dtype=np.float64) for c in centers])
 
 
-def center_groups(centers: list[list[float]]) -> list[tuple[np.ndarray, np.ndarray]]:
+def center_groups(centers: Sequence[Sequence[float]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Centers as matrices, one per center length: (center numbers, values)."""
     sizes = np.array([len(center) for center in centers])
     return [
@@ -218,14 +229,96 @@ def center_groups(centers: list[list[float]]) -> list[tuple[np.ndarray, np.ndarr
     ]
 
 
-def nearest(series: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Number and cost of the cheapest center; the first one on ties, -1 if none is finite."""
-    costs = np.full((len(series), sum(len(at) for at, _ in groups)), np.inf)
+def _beyond(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of values to a range."""
+    gap = np.maximum(np.maximum(values - high, low - values), 0)
+    return np.multiply(gap, gap, out=gap)
+
+
+def lower_bounds(series: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """(n, k): no more than the warping costs of n series against k centers, but for rounding."""
+    ends = (series[:, :1] - centers[:, 0]) ** 2
+    if series.shape[1] > 1 or centers.shape[1] > 1:
+        ends = ends + (series[:, -1:] - centers[:, -1]) ** 2
+    inner, low, high = series[:, 1:-1], series.min(axis=1, keepdims=True), series.max(axis=1, keepdims=True)
+    bounds = np.empty((len(series), len(centers)))
+    for number, center in enumerate(centers):
+        of_series = _beyond(inner, center.min(), center.max()).sum(axis=1)
+        of_center = _beyond(center[None, 1:-1], low, high).sum(axis=1)
+        bounds[:, number] = np.maximum(of_series, of_center)
+    return ends + bounds
+
+
+def _walk_below(centers: np.ndarray, series: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Warping costs of pairs, column by column; infinite where they are certain to be above ``limit``."""
+    rows, columns = len(centers), len(series)
+    diagonals, out, pairs = rows + columns - 1, np.full(len(limit), np.inf), np.arange(len(limit))
+    last, before = _borders(centers, series)
+    for start in range(0, diagonals, GIVE_UP_EVERY):
+        end = min(start + GIVE_UP_EVERY, diagonals)
+        last, before = _stretch(centers, series, range(start, end), last, before)
+        if end == diagonals or end < 2:
+            continue
+        crossed = [diagonal[lo + 1 : hi + 1].min(axis=0) for diagonal, t in ((last, end - 1), (before, end - 2)) for lo, hi in [_diagonal_bounds(t, rows, columns)]]
+        on = ~(np.minimum(*crossed) > limit)  # also where a value is not a number
+        if np.count_nonzero(on) < 0.75 * len(on):
+            pairs, limit = pairs[on], limit[on]
+            if not len(pairs):
+                return out
+            centers, series, last, before = (np.ascontiguousarray(a[:, on]) for a in (centers, series, last, before))
+    out[pairs] = last[rows]
+    return out
+
+
+def _pair_costs(series: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], of_series: np.ndarray, of_center: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Costs of the given pairs up to their limits."""
+    out = np.full(len(of_series), np.inf)
+    for at, centers in groups:
+        place = np.full(of_center.max(initial=0) + 1, -1)
+        place[at[at < len(place)]] = np.flatnonzero(at < len(place))
+        mine = np.flatnonzero(place[of_center] >= 0)
+        block = max(1, BLOCK_ELEMENTS // centers.shape[1])
+        for first in range(0, len(mine), block):
+            some = mine[first : first + block]
+            left = np.ascontiguousarray(centers[place[of_center[some]]].T)
+            out[some] = _walk_below(left, np.ascontiguousarray(series[of_series[some]].T), limit[some])
+    return out
+
+
+def nearest(
+    series: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], tally: dict[str, int] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Number and cost of the cheapest center; the first one on ties, -1 if none is finite.
+
+    ``tally`` counts the pairs and those whose tables were begun.
+    """
+    n, k = len(series), sum(len(at) for at, _ in groups)
+    bounds, costs = np.empty((n, k)), np.full((n, k), np.inf)
     for at, centers in groups:
-        costs[:, at] = warping_costs(series, centers)
+        bounds[:, at] = lower_bounds(series, centers) * (1 - ROUNDING)
+    everyone = np.arange(n)
+    order = bounds.argsort(axis=1, kind="stable")
+    costs[everyone, order[:, 0]] = _pair_costs(series, groups, everyone, order[:, 0], np.full(n, np.inf))
     costs[np.isnan(costs)] = np.inf
+    best = costs.min(axis=1)
+    begun, some, tried = n, 1, 1
+    while tried < k:
+        next_ones = order[:, tried : tried + some]
+        open_ = ~(np.take_along_axis(bounds, next_ones, axis=1) > best[:, None])
+        rows, column = np.nonzero(open_)
+        if len(rows):
+            chosen = next_ones[rows, column]
+            costs[rows, chosen] = np.nan_to_num(_pair_costs(series, groups, rows, chosen, best[rows]), nan=np.inf, posinf=np.inf)
+            best = costs.min(axis=1)
+            begun += len(rows)
+        elif not np.isnan(bounds).any():
+            break  # bounds rise along the order, so no later center can be nearer
+        tried, some = tried + some, 2 * some
+    if tally is not None:
+        tally["pairs"] = tally.get("pairs", 0) + n * k
+        tally["begun"] = tally.get("begun", 0) + begun
     best = costs.argmin(axis=1)
-    cheapest = costs[np.arange(len(series)), best]
+    cheapest = costs[everyone, best]
     return np.where(np.isfinite(cheapest), best, -1), cheapest
 
 
@@ -245,7 +338,7 @@ def dtw_distance(first: Column | str, second: Column | str) -> Column:
 
 def assign_nearest(
     series: DataFrame,
-    centers: list[list[float]],
+    centers: Sequence[Sequence[float]],
     features: str = "features",
     output: str = "assignedCluster",
     cost: str | None = None,

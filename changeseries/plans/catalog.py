@@ -18,7 +18,7 @@ from changeseries.functions.features import extract_features
 from changeseries.functions.text import joined_name
 from changeseries.functions.windows import TimeWindows
 from changeseries.operators import matrix, series
-from changeseries.operators.dba import assignment_changes, barycenter_partials, fit_dba_kmeans
+from changeseries.operators.dba import barycenter_partials, barycenter_positions, fit_dba_kmeans, moved_between, updated_centers
 from changeseries.operators.kmeans import center_table, fit_kmeans
 from changeseries.operators.labels import join_labels
 from changeseries.operators.warping import assign_nearest, dtw_distance
@@ -398,8 +398,8 @@ def barycenter_update(spark: SparkSession, folder: str) -> DataFrame:
         F.col("embedding").cast("array<double>").alias("features"),
     )
     center = vectors.orderBy("vec_id").limit(1).select("features").collect()[0]["features"]
-    sums = barycenter_partials(vectors.select("name", "features"), [center])
-    return sums.filter(F.col("position") >= 0).select(
+    sums = barycenter_positions(barycenter_partials(vectors.select("name", "features"), [center]))
+    return sums.select(
         F.col("position").alias("i"), rounded(F.col("total") / F.col("weight")).alias("value")
     )
 
@@ -420,9 +420,8 @@ def dba_assignment_changes(spark: SparkSession, folder: str) -> DataFrame:
     """How many series the first update moved to another cluster."""
     rows = stored(daily_features(spark, folder), spread=True)
     start = first_series(rows, 3)
-    before = fit_dba_kmeans(rows, max_iter=0, centers=start).members
-    after = fit_dba_kmeans(rows, max_iter=1, centers=start).members
-    return assignment_changes(before, after)
+    renewed, _, _ = updated_centers(rows, start)
+    return moved_between(rows, start, renewed)
 
 
 # -- sinks and whole jobs -------------------------------------------------------

@@ -29,9 +29,6 @@ from changeseries.sources.changelog import positional_keys, read_change_csv
 from changeseries.sources.jdbc import read_change_query, read_query
 from changeseries.sources.labels import label_table, raw_label_csv
 
-# Center values the driver collects and broadcasts once per round: 400 MB of doubles.
-MOST_CENTER_VALUES = 50_000_000
-
 
 class Features(NamedTuple):
     rows: DataFrame
@@ -101,8 +98,6 @@ def series_features(
         )
     else:
         windows = TimeWindows(spec.start, spec.end, spec.granularity, spec.unit)
-    if spec.clustering_alg == "DBAKMeans" and spec.k * windows.count > MOST_CENTER_VALUES:
-        raise ValueError(f"{spec.k} centers of {windows.count} windows are more than the driver holds")
     series = build_series(
         counted(changes, "changes"),
         keys,

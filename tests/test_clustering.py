@@ -195,9 +195,10 @@ def test_initial_centers_are_exact_and_repeatable(counts):
     rows, features = counts
     assert features.count() == 40
     chosen = dba.initial_centers(features, 40, 5)
-    assert sorted(chosen) == sorted(y for _, y in rows)
-    assert dba.initial_centers(features, 5, 5) == chosen[:5]
-    assert dba.initial_centers(features, 5, 6) != chosen[:5]
+    drawn = [center.tolist() for center in chosen]
+    assert sorted(drawn) == sorted(y for _, y in rows)
+    assert [center.tolist() for center in dba.initial_centers(features, 5, 5)] == drawn[:5]
+    assert [center.tolist() for center in dba.initial_centers(features, 5, 6)] != drawn[:5]
     with pytest.raises(ValueError):
         dba.fit_dba_kmeans(features, 41)
     with pytest.raises(ValueError):
