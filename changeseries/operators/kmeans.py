@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeseries.functions.numeric import is_finite, once
@@ -35,6 +35,10 @@ def center_table(spark: SparkSession, centers: Sequence[Sequence[float]]) -> Dat
     return spark.createDataFrame(table, CENTER_SCHEMA)
 
 
+def non_finite_message() -> Column:
+    return F.concat(F.lit("non-finite features of series "), F.array_join("name", ", ", "null"))
+
+
 def finite_features(features: DataFrame, non_finite: str = "error") -> DataFrame:
     """Deal with NaN and infinite features, which no clustering can place.
 
@@ -46,13 +50,10 @@ def finite_features(features: DataFrame, non_finite: str = "error") -> DataFrame
         return once_computed.filter(is_finite(F.col("features")))
     if non_finite != "error":
         raise ValueError("non_finite must be 'error' or 'drop'")
-    message = F.concat(
-        F.lit("non-finite features of series "), F.array_join("name", ", ", "null")
-    )
     return features.withColumn(
         "features",
         F.when(is_finite(F.col("features")), F.col("features")).otherwise(
-            F.raise_error(message).cast("array<double>")
+            F.raise_error(non_finite_message()).cast("array<double>")
         ),
     )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from changeseries.functions.numeric import once
@@ -18,6 +18,7 @@ from changeseries.functions.text import joined_name
 from changeseries.functions.transforms import apply_transforms
 from changeseries.functions.windows import TimeWindows
 from changeseries.sources.changelog import text_or_null
+from changeseries.storage import scratch_path
 
 Key = str | Column
 ChangeFilter = Column | Callable[[DataFrame], DataFrame]
@@ -115,6 +116,54 @@ def derive_windows(
     return TimeWindows.covering(first, last, step, unit)
 
 
+def keyed_times(
+    changes: DataFrame, keys: Sequence[Key], ts: str = "ts", missing_time: str = "error"
+) -> DataFrame:
+    """``(k0.., ts)``: what series need of a change."""
+    return _timed(changes, ts, missing_time).select(*key_columns(keys), _time(ts).alias("ts"))
+
+
+def stored_times(
+    changes: DataFrame,
+    keys: Sequence[Key],
+    step: int = 7,
+    unit: str = "Days",
+    group_filter: Column | None = None,
+    ts: str = "ts",
+    missing_time: str = "error",
+) -> tuple[DataFrame, TimeWindows]:
+    """``(k0.., ts)`` of all changes, and windows from the first to the last one of the surviving groups.
+
+    The source is read once: keys and times are written column by column, and their bounds are observed on the
+    way; repeated tasks see the same times again, which moves no bound. Bounds of
+    groups are looked up in the written columns.
+    """
+    spark, seen = changes.sparkSession, Observation()
+    path = scratch_path(spark, "times")
+    keyed_times(changes, keys, ts, missing_time).observe(seen, F.min("ts").alias("first"), F.max("ts").alias("last")).write.parquet(path)
+    times = spark.read.parquet(path)
+    first, last = seen.get["first"], seen.get["last"]
+    if group_filter is not None and first is not None:
+        first, last = time_bounds(times, _key_names(keys), group_filter).first()
+    if first is None:
+        raise ValueError("no change is left to derive the time bounds from")
+    return times, TimeWindows.covering(first, last, step, unit)
+
+
+def derived_series(
+    changes: DataFrame,
+    keys: Sequence[Key],
+    group_filter: Column | None = None,
+    step: int = 7,
+    unit: str = "Days",
+    ts: str = "ts",
+    missing_time: str = "error",
+) -> tuple[DataFrame, TimeWindows]:
+    """Series over windows that the changes themselves span; the source is read once."""
+    times, windows = stored_times(changes, keys, step, unit, group_filter, ts, missing_time)
+    return build_series(times, _key_names(keys), windows, group_filter), windows
+
+
 def window_counts(
     changes: DataFrame,
     keys: Sequence[Key],
@@ -171,6 +220,25 @@ def build_series(
     ``group_filter`` is a predicate over ``n``, ``min_ts`` and ``max_ts`` of *all*
     changes of the group; it costs no further pass.
     """
+    groups = series_groups(changes, keys, windows, None, before_start, after_end, ts, missing_time, having=group_filter)
+    return groups.select("name", "y")
+
+
+def series_groups(
+    changes: DataFrame,
+    keys: Sequence[Key],
+    windows: TimeWindows,
+    group_filter: Column | None = None,
+    before_start: str = "clamp",
+    after_end: str = "error",
+    ts: str = "ts",
+    missing_time: str = "error",
+    having: Column | None = None,
+) -> DataFrame:
+    """``(name, n, kept, y)`` of all groups, also of those that ``group_filter`` does not keep: they have no ``y``.
+
+    The rest is as in ``build_series``; ``having`` leaves groups out.
+    """
     if after_end not in ("error", "drop"):
         raise ValueError("after_end must be 'error' or 'drop'")
     index = windows.index(F.col("slot"))
@@ -184,8 +252,8 @@ def build_series(
         F.min("min_ts").alias("min_ts"),
         F.max("max_ts").alias("max_ts"),
     )
-    if group_filter is not None:
-        groups = groups.filter(group_filter)
+    if having is not None:
+        groups = groups.filter(having)
     y = _dense(F.col("cells"), windows.count)
     if after_end == "error":
         message = F.concat(
@@ -195,7 +263,10 @@ def build_series(
         y = F.when(
             F.col("last_i") >= windows.count, F.raise_error(message).cast("array<double>")
         ).otherwise(y)
-    return groups.select(_name(keys), y.alias("y"))
+    if group_filter is None:
+        return groups.select(_name(keys), "n", F.lit(True).alias("kept"), y.alias("y"))
+    kept = F.coalesce(group_filter, F.lit(False))
+    return groups.select(_name(keys), "n", kept.alias("kept"), F.when(kept, y).alias("y"))
 
 
 def transform_series(

@@ -7,7 +7,6 @@ be compared with SQL row by row.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -24,7 +23,7 @@ from changeseries.operators.labels import join_labels
 from changeseries.operators.warping import assign_nearest, dtw_distance
 from changeseries.plans.job import run, series_features
 from changeseries.plans.spec import JobSpec
-from changeseries.storage import checkpoint_folder, stored
+from changeseries.storage import scratch_path, stored
 from changeseries.sinks.lines import centers_lines, centers_long, members_lines, write_lines, write_matrix
 from changeseries.sources.changelog import change_log, positional_keys, read_change_csv
 from changeseries.sources.labels import label_table, read_label_csv
@@ -106,11 +105,6 @@ def daily_features(spark: SparkSession, folder: str) -> DataFrame:
     return daily(spark, folder).withColumnRenamed("y", "features")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder on the storage that all executors share."""
-    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # -- sources, filters, groups ---------------------------------------------------
 
 
@@ -207,9 +201,7 @@ def query_keys_series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def derived_bounds_series(spark: SparkSession, folder: str) -> DataFrame:
-    changes, few = purchases(spark, folder), F.col("n") > 9
-    windows = series.derive_windows(changes, ["entity"], few, 60, "Days")
-    return long_form(series.build_series(changes, ["entity"], windows, few))
+    return long_form(series.derived_series(purchases(spark, folder), ["entity"], F.col("n") > 9, 60, "Days")[0])
 
 
 # -- transforms and features ----------------------------------------------------

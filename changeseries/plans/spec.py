@@ -34,6 +34,7 @@ OPTION_KEYS = {
     "label_templates": "labelTemplates",
     "entities": "entities",
     "properties": "properties",
+    "resume": "resume",
 }
 
 
@@ -50,7 +51,8 @@ class JobSpec:
     Defaults are those of an empty description: weekly counts, no transform, the
     series itself as features, k-means with ten clusters and a random seed.
     ``label_templates`` are the labels that count as ground truth (None: all of them);
-    ``entities`` and ``properties`` restrict the log where it is read.
+    ``entities`` and ``properties`` restrict the log where it is read. With ``resume`` a DBA clustering
+    keeps its rounds under the ``config_identifier`` and goes on from them when the job is started again.
     """
 
     config_identifier: str = "clusters"
@@ -79,6 +81,7 @@ class JobSpec:
     before_start: str = "clamp"
     after_end: str = "error"
     non_finite: str = "error"
+    resume: bool = False
 
     def __post_init__(self) -> None:
         if self.unit.strip().upper() not in {*FIXED_UNITS, *MONTHS_PER_UNIT}:
@@ -99,6 +102,10 @@ class JobSpec:
                 raise ValueError(f"{name} must be one of {', '.join(allowed)}")
         if self.query is not None and self.database is None:
             raise ValueError("a query needs a database")
+        if self.resume and self.clustering_alg != "DBAKMeans":
+            raise ValueError("only DBAKMeans has rounds to resume")
+        if self.reads_database and self.query_prefiltered and not (self.entities is None and self.properties is None):
+            raise ValueError("a pre-filtered query has no entities and properties to restrict")
 
     @property
     def reads_database(self) -> bool:

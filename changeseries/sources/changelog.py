@@ -54,17 +54,18 @@ def change_log(
         rows = rows.filter(where)
     rows = _kept(_kept(rows, rows.columns[0], entities), rows.columns[1], properties)
     entity, prop, value, time = (rows[name] for name in rows.columns[:4])
-    kind = rows.schema[3].dataType
+    named = [text_or_null(entity).alias("entity"), text_or_null(prop).alias("property"), text_or_null(value).alias("value")]
+    return _with_time(rows, named, time, rows.schema[3].dataType, on_error)
+
+
+def _with_time(rows: DataFrame, named: list[Column], time: Column, kind: T.DataType, on_error: str) -> DataFrame:
+    """The columns ``named`` and ``ts``; a time that cannot be read fails the job or leaves its row out."""
+    if on_error not in ("raise", "drop"):
+        raise ValueError("on_error must be 'raise' or 'drop'")
     ts = wall_clock(time, kind)
     # Text is parsed once, below the check; a time of another type costs nothing to look at twice.
     parsed = once(ts) if on_error == "raise" and isinstance(kind, T.StringType) else ts
-    changes = rows.select(
-        text_or_null(entity).alias("entity"),
-        text_or_null(prop).alias("property"),
-        text_or_null(value).alias("value"),
-        parsed.alias("ts"),
-        text_or_null(time).alias("_text"),
-    )
+    changes = rows.select(*named, parsed.alias("ts"), text_or_null(time).alias("_text"))
     readable = F.col("ts").isNotNull()
     if on_error == "raise":
         # A filter, unlike the column itself, is not pruned when nothing reads the time.
@@ -101,16 +102,11 @@ def read_change_csv(
     return change_log(rows, on_error, entities, properties, where)
 
 
-def positional_keys(rows: DataFrame) -> DataFrame:
+def positional_keys(rows: DataFrame, on_error: str = "raise") -> DataFrame:
     """Rows of any query as a keyed log: last column is the time, the rest is the key.
 
-    Returns ``(key_1, ..., key_m, ts)`` with text keys. A missing time is an error.
+    Returns ``(key_1, ..., key_m, ts)`` with text keys. ``on_error`` is that of ``change_log``.
     """
     *keys, time = rows.columns
-    ts = wall_clock(rows[time], rows.schema[-1].dataType)
-    return rows.select(
-        *[text_or_null(rows[key]).alias(f"key_{i}") for i, key in enumerate(keys, 1)],
-        F.coalesce(
-            ts, F.raise_error(F.lit("query row without a readable time")).cast("timestamp_ntz")
-        ).alias("ts"),
-    )
+    named = [text_or_null(rows[key]).alias(f"key_{i}") for i, key in enumerate(keys, 1)]
+    return _with_time(rows, named, rows[time], rows.schema[-1].dataType, on_error)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +77,12 @@ def read_change_query(
     database: Database,
     query: str,
     partitioning: Partitioning | None = None,
+    on_error: str = "raise",
+    entities: Collection[str] | None = None,
+    properties: Collection[str] | None = None,
 ) -> DataFrame:
-    """A query whose first four columns are entity, property, value and time."""
-    return change_log(read_query(spark, database, query, partitioning))
+    """A query whose first four columns are entity, property, value and time.
+
+    The other options are those of ``change_log``; lists over text columns become part of the database's query.
+    """
+    return change_log(read_query(spark, database, query, partitioning), on_error, entities, properties)

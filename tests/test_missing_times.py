@@ -115,13 +115,10 @@ def test_wrong_descriptions_fail_before_any_job(wrong):
         JobSpec(**wrong)
 
 
-def test_missing_result_directory_and_too_many_center_values_fail_before_any_job(spark):
+def test_a_missing_result_directory_fails_before_any_job(spark):
     spark.sparkContext.setJobGroup("early", "early checks")
     source = changes(spark)
     with pytest.raises(ValueError, match="result directory"):
         run(spark, JobSpec(), changes=source)
-    spec = JobSpec(clustering_alg="DBAKMeans", k=1_000, unit="Seconds", granularity=1, start=datetime(2000, 1, 1), end=datetime(2020, 1, 1))
-    with pytest.raises(ValueError, match="driver"):
-        run(spark, spec, changes=source, write=False)
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("early")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
