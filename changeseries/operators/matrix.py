@@ -138,7 +138,8 @@ def pivot_matrix(
 ) -> DataFrame:
     """Cells as a matrix, entities down and properties across, both by name.
 
-    Without ``columns`` Spark looks the property names up first, in a job of its own.
+    Without ``columns`` Spark looks the property names up first, in a job of its own, and takes 10,000 at most;
+    ``sinks.lines.write_matrix`` writes wider matrices from their cells.
     """
     pivot = cells.groupBy(F.col("entity").alias(row_label)).pivot(
         "property", None if columns is None else sorted(columns)

@@ -18,7 +18,7 @@ from changeseries.functions.text import joined_name
 from changeseries.functions.windows import TimeWindows
 from changeseries.operators import matrix, series
 from changeseries.operators.dba import barycenter_partials, barycenter_positions, fit_dba_kmeans, moved_between, updated_centers
-from changeseries.operators.kmeans import center_table, fit_kmeans
+from changeseries.operators.kmeans import fit_kmeans
 from changeseries.operators.labels import join_labels
 from changeseries.operators.warping import assign_nearest, dtw_distance
 from changeseries.plans.job import run, series_features
@@ -429,8 +429,14 @@ def members_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def centers_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Three given series as center lines."""
-    return centers_lines(center_table(spark, first_series(daily_features(spark, folder), 3)))
+    """Lines of the centers after one update from the first three series, read back and rounded."""
+    rows = stored(daily_features(spark, folder), spread=True)
+    clusters = fit_dba_kmeans(rows, max_iter=1, centers=first_series(rows, 3))
+    path = scratch_path(spark, "centers")
+    write_lines(centers_lines(clusters.centers), path, single_file=True)
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().cast("int").alias("line"), "value")
+    values = lines.select("line", F.posexplode(F.split("value", ",")).alias("i", "value"))
+    return values.withColumn("value", rounded(F.col("value").cast("double")))
 
 
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
@@ -469,6 +475,14 @@ def complete_matrix_wide(spark: SparkSession, folder: str) -> DataFrame:
     return wide.unpivot("Settlement", wide.columns[1:], "property", "n")
 
 
+def wide_matrix_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """A column for every user, written from cells; the lines of all files, the header once."""
+    log = activity(spark, folder).select(F.col("property").alias("entity"), F.col("entity").alias("property"), "ts")
+    path = scratch_path(spark, "wide-matrix")
+    write_matrix(matrix.pair_counts(log), path, value="n")
+    return spark.read.text(path).distinct()
+
+
 SPEC = {
     "start": "2024-01-01 00:00:00.0",
     "end": "2024-01-31 00:00:00.0",
@@ -481,7 +495,7 @@ SPEC = {
     "transformation": ["Log", "Normalize"],
     "featureExtraction": "Raw",
     "clusteringAlg": "DBAKMeans",
-    "DBAKMeans Parameters": {"k": 1, "maxIter": 150, "seed": 13},
+    "DBAKMeans Parameters": {"k": 3, "maxIter": 2, "seed": 13},
 }
 
 
@@ -566,6 +580,7 @@ QUERIES: dict[str, Query] = {
     "csv_round_trip": csv_round_trip,
     "label_csv": label_csv,
     "matrix_csv": matrix_csv,
+    "wide_matrix_csv": wide_matrix_csv,
     "clustered_series": clustered_series,
     "spec_features_derived_bounds": spec_features_derived_bounds,
 }

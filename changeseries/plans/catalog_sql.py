@@ -165,6 +165,36 @@ def update(nth: int) -> str:
         LEFT JOIN means{nth} AS m ON m.cluster = c.cluster AND m.i = g.i GROUP BY c.cluster)"""
 
 
+def drawn(count: int) -> str:
+    """CTE ``centers0``: the first of ``lists`` by an md5 of seed and name."""
+    return f"""
+      centers0 AS (
+        SELECT row_number() OVER (ORDER BY md5('13:' || name), name) - 1 AS cluster, y AS c
+        FROM lists QUALIFY cluster < {count})"""
+
+
+def fitted(updates: int) -> str:
+    """CTE ``fitted`` (name, cluster): rounds from ``centers0`` on until no list has moved, or after ``updates`` updates.
+
+    All rounds are computed; the first whose assignment equals the one before ends the fit.
+    """
+    steps = [f"{assignment(t)}, {update(t)}" for t in range(updates)] + [assignment(updates)]
+    chain = ",".join(steps)
+    for t in range(updates + 1):
+        for name in (f"aligned{t}", f"centers{t}", f"means{t}", f"pairs{t}"):
+            chain = chain.replace(f" {name} AS (", f" {name} AS MATERIALIZED (")
+    still = " UNION ALL ".join(
+        f"SELECT {t} AS t, count(*) FILTER (a.cluster <> b.cluster) AS moved FROM aligned{t - 1} AS a JOIN aligned{t} AS b USING (name)"
+        for t in range(1, updates + 1)
+    )
+    every = " UNION ALL ".join(f"SELECT {t} AS t, name, cluster FROM aligned{t}" for t in range(updates + 1))
+    return f"""{chain},
+      still AS ({still}),
+      fitted AS (
+        SELECT name, cluster FROM ({every})
+        WHERE t = (SELECT coalesce(min(t) FILTER (moved = 0), {updates}) FROM still))"""
+
+
 VECTORS = "SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings"
 
 COMPLETE = f"""
@@ -381,11 +411,14 @@ ORACLES: dict[str, str] = {
       cells AS (SELECT DISTINCT name, unnest(range(30)) AS i FROM kept)
       SELECT name, CAST(i AS INTEGER) AS i, CAST(coalesce(n, 0) AS DOUBLE) AS value FROM cells LEFT JOIN kept USING (name, i)""",
     "centers_lines": f"""
-      WITH {DAILY},
-      first AS (
-        SELECT name, row_number() OVER (ORDER BY name) AS cluster FROM names ORDER BY name LIMIT 3)
-      SELECT string_agg(CAST(value AS VARCHAR), ',' ORDER BY i) AS value
-      FROM first JOIN series USING (name) GROUP BY cluster""",
+      WITH RECURSIVE {DAILY_LISTS}, {assignment(0)}, {update(0)}
+      SELECT CAST(cluster AS INTEGER) AS line, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS i, round(unnest(c), 6) AS value
+      FROM centers1""",
+    "dba_kmeans_members": f"""
+      WITH RECURSIVE {DAILY},
+      lists AS (SELECT name, list(value ORDER BY i) AS y FROM series GROUP BY name),
+      {drawn(5)}, {fitted(10)}
+      SELECT name, CAST(cluster AS INTEGER) AS "assignedCluster" FROM fitted""",
     "csv_round_trip": ACTIVITY,
     "label_csv": """
       SELECT c_name AS entity, c_mktsegment AS template FROM customer
@@ -395,13 +428,22 @@ ORACLES: dict[str, str] = {
       SELECT entity AS "Settlement", CAST(count(*) FILTER (property = 'A') AS VARCHAR) AS "A",
              CAST(count(*) FILTER (property = 'N') AS VARCHAR) AS "N",
              CAST(count(*) FILTER (property = 'R') AS VARCHAR) AS "R" FROM log GROUP BY entity""",
+    "wide_matrix_csv": f"""
+      WITH log AS ({ACTIVITY}),
+      cells AS (SELECT property AS entity, entity AS name, count(*) AS n FROM log GROUP BY ALL),
+      names AS (SELECT DISTINCT name FROM cells), entities AS (SELECT DISTINCT entity FROM cells)
+      SELECT 'Settlement,' || string_agg(name, ',' ORDER BY name) AS value FROM names
+      UNION ALL
+      SELECT entity || ',' || string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY name)
+      FROM entities CROSS JOIN names LEFT JOIN cells USING (entity, name) GROUP BY entity""",
     "clustered_series": f"""
-      WITH {grid(ACTIVITY + " WHERE event_type <> 'error'", "entity", "30", fixed("2024-01-01", DAY), "count(*) > 50")},
-      lists AS (SELECT name, list(ln(value + 1) ORDER BY i) AS y FROM series GROUP BY name),
-      changed AS (SELECT name, {z_scores("y")} AS z FROM lists),
-      unfolded AS (
-        SELECT name, unnest(z) AS v, generate_subscripts(z, 1) - 1 AS i FROM changed WHERE z[1] < 2.5)
-      SELECT name, 0 AS "assignedCluster", CAST(i AS INTEGER) AS i, {zeroless("v")} AS value FROM unfolded""",
+      WITH RECURSIVE {grid(ACTIVITY + " WHERE event_type <> 'error'", "entity", "30", fixed("2024-01-01", DAY), "count(*) > 50")},
+      logs AS (SELECT name, list(ln(value + 1) ORDER BY i) AS y FROM series GROUP BY name),
+      changed AS (SELECT name, {z_scores("y")} AS z FROM logs),
+      lists AS (SELECT name, z AS y FROM changed WHERE z[1] < 2.5),
+      {drawn(3)}, {fitted(2)},
+      unfolded AS (SELECT name, cluster, unnest(y) AS v, generate_subscripts(y, 1) - 1 AS i FROM lists JOIN fitted USING (name))
+      SELECT name, CAST(cluster AS INTEGER) AS "assignedCluster", CAST(i AS INTEGER) AS i, {zeroless("v")} AS value FROM unfolded""",
     "spec_features_derived_bounds": f"""
       WITH log AS ({ACTIVITY}),
       bounds AS (SELECT min(ts) AS a, epoch_us(max(ts)) - epoch_us(min(ts)) AS span FROM log),
