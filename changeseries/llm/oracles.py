@@ -6,7 +6,7 @@ import functools
 
 from changeseries.llm.mixing import MAX_EPOCHS, SEED
 from changeseries.llm.quality import STOP_WORDS
-from changeseries.llm.secrets import BASE_KINDS, FURTHER_KINDS, MAX_OWNERS
+from changeseries.llm.secrets import BASE_KINDS, FURTHER_KINDS, MAX_OWNERS, MAX_REPOSITORIES
 from changeseries.llm.url_filters import PATTERN_RULES, compile_pattern
 
 
@@ -52,7 +52,7 @@ FROM ruled LEFT JOIN hits ON coalesce(ruled.url, '') = hits.url
 
 OP2 = rf"""
 WITH base AS (
-  SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS ws,
+  SELECT doc_id, lang, coalesce(text, '') AS text, {WORDS} AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 windows AS (
   SELECT doc_id, i, list_slice(ws, i, i + 7) AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM base)),
@@ -60,7 +60,7 @@ repeated AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM
 covered AS (
   SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, i + unnest(range(0, 8)) AS place FROM repeated WHERE n > 1) GROUP BY doc_id),
 counted AS (
-  SELECT base.doc_id, len(ws)::BIGINT AS n_words,
+  SELECT base.doc_id, lang, len(ws)::BIGINT AS n_words,
     length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
@@ -74,10 +74,10 @@ counted AS (
   FROM base LEFT JOIN covered ON base.doc_id = covered.doc_id),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words <= 1000000
+  NOT base_failed
     AND word_chars BETWEEN 2.0 * n_words AND 15.0 * n_words
     AND n_symbols / n_words <= 0.1
-    AND (n_words < 60 OR n_stop / n_words >= 0.03)
+    AND (n_words < 60 OR n_stop / n_words >= 0.03 OR coalesce(lang NOT IN ('en', 'fr', 'de', 'es'), FALSE))
     AND n_dup_lines / n_lines <= 0.5
     AND (n_words < 60 OR n_bullets / n_lines <= 0.9)
     AND n_ellipses / n_lines <= 0.3
@@ -157,11 +157,12 @@ base AS (
     count(*) FILTER (WHERE rank = 2) AS n_hex, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS listed
   FROM spans WHERE rank < {len(BASE_KINDS)} GROUP BY doc_id),
 owners AS (
-  SELECT value, count(DISTINCT coalesce(source, '')) AS n FROM spans JOIN documents USING (doc_id) GROUP BY value),
+  SELECT value, count(DISTINCT coalesce(source, '')) AS n, count(DISTINCT (coalesce(source, ''), coalesce(lang, ''))) AS repositories
+  FROM spans JOIN documents USING (doc_id) GROUP BY value),
 shown AS (
   SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM spans s JOIN owners USING (value)
-  WHERE rank < {len(BASE_KINDS)} OR (n <= {MAX_OWNERS} AND NOT EXISTS (
-    SELECT 1 FROM spans b WHERE b.doc_id = s.doc_id AND b.rank < {len(BASE_KINDS)} AND b.start < s.stop AND s.start < b.stop))
+  WHERE rank < {len(BASE_KINDS)} OR ((n = 1 OR (n <= {MAX_OWNERS} AND repositories <= {MAX_REPOSITORIES})) AND NOT EXISTS (
+    SELECT 1 FROM spans b WHERE b.doc_id = s.doc_id AND b.rank < {len(BASE_KINDS)} AND b.start <= s.start AND s.stop <= b.stop))
   GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(listed, '')) AS base_sha256, coalesce(shown.spans, '') AS spans

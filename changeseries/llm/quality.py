@@ -11,7 +11,7 @@ that start with a bullet or end with an ellipsis.
 
 Results for odd rows: null text counts as empty text; it has no word and fails the
 base rule. Ratios over zero words or lines count as 0. Texts are measured whole,
-however long. Repeated rows are judged each; null ids are kept. Only the id, the
+however long, and no text fails for its length alone. Repeated rows are judged each; null ids are kept. Only the id, the
 text and what ``keep`` names are read, so that other column names cannot clash.
 """
 
@@ -37,12 +37,16 @@ STOP_WORDS = (
     "der die das und zu den von ist nicht mit sich ein eine auf für im dem auch es an als war so "
     "el los las y del se por con para su al lo como más pero sus o me si sin no"
 ).split()
+STOP_WORD_LANGUAGES = ("en", "fr", "de", "es")
 LONGEST_STOP_WORD = max(map(len, STOP_WORDS))
 
 
 @dataclass(frozen=True)
 class Threshold:
-    """``numerator / denominator`` must lie in ``[low, high]`` where at least ``from_words`` words are present."""
+    """``numerator / denominator`` must lie in ``[low, high]`` where at least ``from_words`` words are present.
+
+    With ``languages`` the rule is for texts in one of them, and for those whose language is not known.
+    """
 
     name: str
     numerator: str
@@ -50,13 +54,14 @@ class Threshold:
     low: float | None = None
     high: float | None = None
     from_words: int = 0
+    languages: tuple[str, ...] = ()
 
 
 THRESHOLDS = (
-    Threshold("words", "n_words", "one", MIN_WORDS, 1_000_000),
+    Threshold("words", "n_words", "one", MIN_WORDS),
     Threshold("word_length", "word_chars", "n_words", 2.0, 15.0),
     Threshold("symbols", "n_symbols", "n_words", high=0.1),
-    Threshold("stop_words", "n_stop_words", "n_words", low=0.03, from_words=60),
+    Threshold("stop_words", "n_stop_words", "n_words", low=0.03, from_words=60, languages=STOP_WORD_LANGUAGES),
     Threshold("duplicate_lines", "n_dup_lines", "n_lines", high=0.5),
     Threshold("bullet_lines", "n_bullet_lines", "n_lines", high=0.9, from_words=60),
     Threshold("ellipsis_lines", "n_ellipsis_lines", "n_lines", high=0.3),
@@ -156,6 +161,8 @@ def failed_rules(thresholds: tuple[Threshold, ...]) -> Column:
             breaks = breaks | (ratio < rule.low)
         if rule.high is not None:
             breaks = breaks | (ratio > rule.high)
+        if rule.languages:
+            breaks = breaks & F.coalesce(F.col("_language").isin(*rule.languages), F.lit(True))
         failing.append(F.when(breaks & (F.col("n_words") >= rule.from_words), F.lit(rule.name)))
     return F.array_compact(F.array(*failing)) if failing else F.array().cast("array<string>")
 
@@ -165,12 +172,18 @@ def judge(
     text_column: str = "text",
     keep: tuple[str, ...] = ("doc_id",),
     thresholds: tuple[Threshold, ...] = THRESHOLDS,
+    language_column: str | None = None,
 ) -> DataFrame:
-    """``keep``, all measures, ``base_failed``, ``failed`` (names of broken rules) and ``kept``."""
+    """``keep``, all measures, ``base_failed``, ``failed`` (names of broken rules) and ``kept``.
+
+    ``language_column`` holds language codes; without it every text's language is unknown.
+    """
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    language = F.lit(None).cast("string") if language_column is None else F.col(language_column)
     return (
-        measures(documents, text_column, keep)
+        measures(documents.withColumn("_language", language), text_column, (*keep, "_language"))
         .withColumn("base_failed", base)
         .withColumn("failed", failed_rules(thresholds))
+        .drop("_language")
         .withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
     )

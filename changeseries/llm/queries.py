@@ -22,7 +22,7 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    judged = quality.judge(_table(spark, folder, "documents"))
+    judged = quality.judge(_table(spark, folder, "documents"), language_column="lang")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
@@ -48,7 +48,7 @@ def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id",
         *[F.size(f"base_{kind.name}").cast("long").alias(f"n_{kind.name}") for kind in secrets.BASE_KINDS],
         F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
-        secrets.listed(F.concat("base", "added")).alias("spans"),
+        secrets.listed(F.concat("base", "added", "crossing")).alias("spans"),
     )
 
 

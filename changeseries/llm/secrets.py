@@ -3,14 +3,15 @@
 Three base kinds are always reported; further candidates (private-key blocks, signed
 tokens, prefixed service keys, credentials in addresses, long mixed strings)
 are reported only if the corpus says that somebody owns them: the hash of every
-candidate is counted over distinct repositories and owners, and a value that
-``max_owners`` owners or fewer hold looks live, while one that many owners
-hold is a copied example. Base spans get the same verdict as a column but stay.
+candidate is counted over distinct repositories and owners. A value that one owner holds looks live, in however
+many repositories; so does one that up to ``max_owners`` owners hold in up to ``max_repositories``
+repositories, while one that is spread more widely is a copied example. Base spans get the same verdict as a column but stay.
 
 Everything is column expressions: matches come from ``regexp_extract_all``, their
 places from the pieces that ``split`` leaves between them. Counting shuffles each
 (value, repository, owner) at most once per task, so a value that a third of all
-texts hold does not pile up; findings are joined back per different text.
+texts hold does not pile up; verdicts are written once and joined to the rows that have a candidate, so that the
+join can be split. Rows without one take no part in it.
 
 Results for odd rows: null text has no finding. A null repository or owner counts as
 one unnamed one. Repeated rows are scanned each and count once as owners. Texts are
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeseries.llm.columns import let
+from changeseries.llm.storage import written
 from changeseries.storage import checkpoint_folder
 
 
@@ -60,7 +62,7 @@ FURTHER_KINDS = (
     Kind("long_mixed", r"[A-Za-z0-9+/_]{32,}", needs=("[0-9]", "[A-Z]", "[a-z]")),
 )
 
-MAX_OWNERS = 2
+MAX_OWNERS, MAX_REPOSITORIES = 2, 4
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,hash:string>>"
 
 
@@ -156,7 +158,7 @@ def _inside_one(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] <= span["start"]) & (span["end"] <= o["end"]))
 
 
-def judged_spans(found: DataFrame, max_owners: int) -> DataFrame:
+def judged_spans(found: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
     """Per different text with a candidate: ``live`` and ``copied``, lists of its base spans and the further ones not inside one.
 
     What a base span contains is held by all that hold the base value, so it is never live if that is not.
@@ -170,7 +172,7 @@ def judged_spans(found: DataFrame, max_owners: int) -> DataFrame:
     spans = texts.select("text_key", F.explode(F.concat("base", "further")).alias("span"))
     owned = ownership(found).withColumnRenamed("hash", "owned_hash")
     verdict = spans.join(owned, F.col("span.hash") == F.col("owned_hash"))
-    live = F.col("n_owners") <= max_owners
+    live = (F.col("n_owners") == 1) | ((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
     return verdict.groupBy("text_key").agg(
         F.array_sort(F.collect_list(F.when(live, F.col("span")))).alias("live"),
         F.array_sort(F.collect_list(F.when(~live, F.col("span")))).alias("copied"),
@@ -184,6 +186,7 @@ def scan(
     owner_columns: tuple[str, ...] = ("source",),
     keep: tuple[str, ...] = ("doc_id",),
     max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """``keep`` and per row: ``text_key``, spans of each base kind, ``base``, ``added``, ``crossing``, ``live``, ``copied``.
 
@@ -199,19 +202,20 @@ def scan(
         [F.col(c) for c in owner_columns],
         [F.col(c).alias(f"_{c}") for c in keep],
     ).checkpoint()
-    judged = judged_spans(found, max_owners).withColumnRenamed("text_key", "_text_key")
+    has_candidate = F.size("base") + F.size("further") > 0
+    judged = written(judged_spans(found, max_owners, max_repositories), "verdicts").withColumnRenamed("text_key", "_text_key")
     none = F.array().cast(SPAN)
     is_further = lambda s: s["rank"] >= len(BASE_KINDS)
-    return found.join(judged, F.col("text_key") == F.col("_text_key"), "left").select(
-        *[F.col(f"_{c}").alias(c) for c in keep],
-        "text_key",
-        *[f"base_{kind.name}" for kind in BASE_KINDS],
-        "base",
-        F.coalesce(F.filter("live", lambda s: is_further(s) & _outside(s, F.col("base"))), none).alias("added"),
-        F.coalesce(F.filter("live", lambda s: is_further(s) & ~_outside(s, F.col("base"))), none).alias("crossing"),
-        F.coalesce("live", none).alias("live"),
-        F.coalesce("copied", none).alias("copied"),
+    same = [*[F.col(f"_{c}").alias(c) for c in keep], "text_key", *[f"base_{kind.name}" for kind in BASE_KINDS], "base"]
+    with_verdicts = found.where(has_candidate).join(judged, F.col("text_key") == F.col("_text_key")).select(
+        *same,
+        F.filter("live", lambda s: is_further(s) & _outside(s, F.col("base"))).alias("added"),
+        F.filter("live", lambda s: is_further(s) & ~_outside(s, F.col("base"))).alias("crossing"),
+        "live",
+        "copied",
     )
+    others = found.where(~has_candidate).select(*same, *[none.alias(c) for c in ("added", "crossing", "live", "copied")])
+    return with_verdicts.unionByName(others)
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:

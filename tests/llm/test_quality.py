@@ -59,3 +59,25 @@ def test_no_user_function_and_no_shuffle(spark, capsys):
     quality.judge(documents(spark, [(1, "a")]).coalesce(1)).explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange") <= 1
+
+
+POLISH = (
+    "Rano poszliśmy przez stary las aż nad brzeg jeziora, gdzie rybacy suszyli sieci i naprawiali łodzie. Woda była spokojna, "
+    "niebo szare, a wiatr przynosił zapach mokrych liści. Dziadek opowiadał nam dawne historie z czasów swojej młodości, kiedy zimą całe "
+    "miasteczko jeździło saniami po lodzie. Potem usiedliśmy przy ognisku, piekliśmy ziemniaki oraz kiełbasy, słuchając śpiewu ptaków aż do zmierzchu, "
+    "kiedy pierwsze gwiazdy pojawiły się wysoko nad spokojną taflą wody."
+)
+ITALIAN = (
+    "Questa mattina siamo andati presto verso il vecchio mercato della città, dove contadini gentili vendevano frutta fresca, formaggi stagionati "
+    "ed enormi pagnotte ancora calde. Mia nonna sceglieva ogni pomodoro guardandolo bene contro luce, mentre noi bambini correvamo fra banchi colorati "
+    "cercando dolci nascosti dentro grandi vasi trasparenti. Dopo pranzo abbiamo camminato lungo fiume osservando barche lente, pescatori pazienti, "
+    "ragazzi rumorosi sotto alberi altissimi, finché tramonto dorato coprì tutte quelle colline lontane."
+)
+
+
+def test_clean_texts_of_other_languages_and_lengths_are_kept(spark):
+    long = " ".join(f"the{i} of word{i % 977}" for i in range(400_000))
+    rows = [(1, POLISH, "pl"), (2, ITALIAN, "it"), (3, POLISH, "en"), (4, POLISH, None), (5, long, "en")]
+    frame = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], "doc_id long, text string, lang string, source string, language long")
+    kept = {r.doc_id: (r.kept, r.failed) for r in quality.judge(frame, language_column="lang").collect()}
+    assert kept == {1: (True, []), 2: (True, []), 3: (False, ["stop_words"]), 4: (False, ["stop_words"]), 5: (True, [])}
