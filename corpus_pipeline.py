@@ -4,8 +4,11 @@ Every stage takes ``(spark, docs, sf_dir)``, works on all rows of ``docs`` and r
 DataFrame; all but the last return the columns of documents. ``run`` writes each
 result to the shared folder and hands it, read again, to the next stage.
 
-Rows without an id pass the stages like any other; near-dedup keeps them all, as they
-cannot be named as copies. Null text fails the quality rules. An empty table gives an empty result.
+Results for odd rows: rows without an id pass the stages like any other, near-dedup included; different texts under one
+id are different documents. Rows that are equal in id and text are copies, of which the one whose other columns come first
+stays. Of a group of near copies the smallest id stays, rows without one last, ties by a hash of the text. Null and empty texts
+fail the quality rules; texts are taken whole, however long, by every stage. Further columns of any name are not
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeseries.llm import minhash, mixing, packing, quality, secrets
-from changeseries.llm.storage import shared_path
+from changeseries.llm.storage import shared_path, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR_DUPLICATE_PERCENT = 80
@@ -28,14 +31,30 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality.judge(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
+    return quality.judge(docs, keep=COLUMNS, language_column="lang").where("kept").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates."""
-    kept = minhash.near_duplicates(docs, percent=NEAR_DUPLICATE_PERCENT).where("kept AND doc_id IS NOT NULL")
-    chosen = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    """One document of every group of near-duplicates: that with the smallest id."""
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        kept = minhash.near_duplicates(docs, percent=NEAR_DUPLICATE_PERCENT).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return _numbered_and_kept(docs)
+
+
+def _numbered_and_kept(docs: DataFrame) -> DataFrame:
+    """As above where ids are missing or repeated: rows are known by a number for each id and text."""
+    key = F.coalesce(F.sha2("text", 256), F.lit("null"))
+    named = docs.select(*COLUMNS).withColumn("_key", key)
+    numbers = written(named.select("doc_id", "_key").distinct().withColumn("_row", F.monotonically_increasing_id()), "row-numbers")
+    same = named["doc_id"].eqNullSafe(numbers["doc_id"]) & (named["_key"] == numbers["_key"])
+    numbered = named.join(numbers, same).select(*[named[c] for c in COLUMNS], "_row")
+    one_each = numbered.groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("document"))
+    rows = written(one_each.select("_row", "document.*"), "numbered")
+    groups = minhash.near_duplicates(rows, id_column="_row", percent=NEAR_DUPLICATE_PERCENT).select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "_row")
+    kept = groups.join(numbers, "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
