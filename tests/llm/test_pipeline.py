@@ -105,3 +105,19 @@ def test_run_writes_and_rereads_every_stage(spark, tmp_path):
     ]
     spark.createDataFrame([], DOCUMENTS).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_different_texts_under_one_id_and_copies_without_an_id(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    near = text("a").replace("a39", "changed")
+    rows = [(1, text("a"), "en", "s", 2), (1, text("a"), "en", "s", 1), (1, text("b"), "en", "s", 3), (2, near, "en", "s", 4), (3, text("c"), "en", "s", 5)]
+    rows += [(None, text("c"), "en", "s", 6), (None, text("d"), "en", "s", 7), (None, text("d"), None, None, 7), (None, text("d") + " more", "en", "s", 8)]
+    rows += [(4, None, "en", "s", 0), (4, "", "en", "s", 0), (None, None, None, None, None)]
+    got = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, DOCUMENTS).repartition(3), "unused").collect()
+    assert len([r for r in got if r.text is None]) == 2 and len([r for r in got if r.text == ""]) == 1
+    kept = sorted((str(r.doc_id), r.text, r.n_chars) for r in got if r.text)
+    without_id = [r for r in kept if r[0] == "None"]
+    assert [r for r in kept if r[0] != "None"] == [("1", text("a"), 1), ("1", text("b"), 3), ("3", text("c"), 5)]
+    assert len(without_id) == 1 and without_id[0][1] in (text("d"), text("d") + " more")
+    again = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows[::-1], DOCUMENTS).repartition(5), "unused").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, again)))
