@@ -31,13 +31,15 @@ def batch_bytes(size: int, least: int) -> int:
     return max(least, math.isqrt(size * MESSAGE_TEXT))
 
 
-def batched(rows: DataFrame, id_column: str, text_column: str, bucket_bytes: int | None = None) -> tuple[DataFrame, int]:
+def batched(
+    rows: DataFrame, id_column: str, text_column: str, bucket_bytes: int | None = None, least_batch: int | None = None
+) -> tuple[DataFrame, int]:
     """Columns ``batch, id, text`` (binary, null as empty), and the bits that number the buckets.
 
     A row's batch depends on its id and its text, so rows without an id or with equal ids are spread, too.
     """
     size = rows.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
-    count = max(1, -(-size // batch_bytes(size, BATCH_BYTES)))
+    count = max(1, -(-size // batch_bytes(size, least_batch or BATCH_BYTES)))
     bits = max(0, (-(-size // batch_bytes(size, bucket_bytes or BUCKET_BYTES)) - 1).bit_length()) if size else 0
     identity = F.col(id_column).cast("long")
     texts = rows.select(

@@ -13,22 +13,30 @@ per byte follow from it.
 Training is spread over the cluster in passes over the vocabulary, whose
 counts are summed over all training documents:
 
-* Counts of the predictors are added up over tasks; tables have a fixed size, so what
-  is broadcast is bounded by ``TABLE_BITS``, while what is gathered grows with the corpus.
+* Counts of the predictors are added up over tasks in 64 bits. The tables have ``TABLE_BITS``, as a bit predictor's hash
+  tables have: what is broadcast is bounded, contexts share slots the more the larger the vocabulary is, and the gates
+  and weights are learned on the tables as they are. What is gathered, counts of words, pairs and triples, grows with the corpus.
 * Weights are learned online, word block by word block, by gradient steps on the coding
-  error, predicting each word as if one occurrence of it had not been seen; tasks start alike and their
-  weights are averaged by the occurrences behind them. The map's counts are added up.
+  error, predicting each word as if one occurrence of it had not been seen. The vocabulary is split by a hash of the
+  word into parts whose number follows from its size alone; parts start alike and their weights are averaged by the
+  occurrences behind them, so the cluster has no say in the result. The map's counts are added up.
 
-A word's spelling has one probability, computed once. In its place in a text that is mixed with
-what followed the word before it, and then with what followed the two words before it, in all training texts:
-each context adds its counts to the next shorter prediction, which weighs as much as ``CONTEXT_PRIORS`` occurrences,
-so the sum over all words stays 1. A training row is scored as if one occurrence of each of its pairs and triples
-had not been seen.
+Words of a block that begin alike share their decisions; a decision is computed once, with the weight of all of them.
+
+A word's spelling has one probability, computed once. In its place in a text it is mixed with
+what followed the word before it, and with what followed the two words before it, in all training texts, each a probability
+over words. The three weights are chosen by a gate, how often either context was seen, and add up to 1, so the
+sum over all words stays 1. They are learned from the training texts of each batch of documents, each word predicted
+as if it had not been seen, from first weights in which a context weighs as much as its count against ``CONTEXT_PRIORS``.
+Mixing bits under contexts that cross words would take eight decisions for every byte of every text, not of every different
+word: at 0.3 millionths of a second each, 2.4 CPU seconds a MB of text.
 
 Documents get the counts and spelling probabilities of their words, and the counts of their pairs and triples
-of words, by an exchange between batches and buckets (see ``batches``), in which words go by 64-bit hashes: two words
-of ten million share one with a chance under one in 300,000. Pairs and triples go by 48 bits: among a billion, one
-is taken for another with a chance of one in 280,000. A batch sends each once, with how often its training rows hold it.
+of words, by two exchanges between batches and buckets (see ``batches``). In the first a batch sends a short key of each different
+pair and triple and learns with a bit which ones other batches hold; the counts of all others it knows itself. In the
+second it sends longer keys of the former, with its own counts, and hashes of its words. Words go by 64-bit hashes: two words
+of ten million share one with a chance under one in 300,000. Pairs and triples go by 56 bits: among 10^12, one
+is taken for another with a chance of one in 70,000.
 
 Results for odd rows: null text counts as empty, which is the end alone. A row without an id is
 trained on and not held out. Repeated rows count each. Texts are whole. An empty table gives an empty result.
@@ -46,9 +54,24 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeseries.llm.batches import MESSAGE, batched, bucket_slices, joined, messages, packed, packed_sorted, parted, unpacked, unpacked_sorted
+from changeseries.llm.batches import (
+    BUCKET_BYTES,
+    MESSAGE,
+    batched,
+    bucket_slices,
+    groups,
+    joined,
+    messages,
+    packed,
+    packed_bits,
+    packed_sorted,
+    parted,
+    unpacked,
+    unpacked_bits,
+    unpacked_sorted,
+)
 from changeseries.llm.storage import written
-from changeseries.llm.wordhash import SEED_2, STEP, Powers, Words, mixed, runs_of_texts
+from changeseries.llm.wordhash import SEED_1, SEED_2, STEP, Powers, Words, mixed, runs_of_texts
 
 ORDERS = (1, 2, 3, 4, 6)
 TABLE_BITS = 20
@@ -61,9 +84,14 @@ MAP_RANGE = 12.0
 MAP_PRIOR = 20.0
 
 CONTEXT_PRIORS = (300.0, 30.0)
+COUNT_CLASSES = 12
+GATE_PRIOR = 20.0
+GATE_ROUNDS = 4
 TEXT_START, TEXT_END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 WORDS_PER_BLOCK = 4_000
+WORDS_PER_PART = 40_000
+LM_BATCH_BYTES = 8_000_000
 COUNTED_WORDS = 300_000
 CHUNK_BYTES = 500_000
 SPACES = b" \t\n\x0b\x0c\r"
@@ -115,7 +143,11 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 
 
 class Spelling:
-    """Symbols of some tokens: which token each belongs to, its byte, the hashes of its contexts."""
+    """Different beginnings of some tokens: their last byte and the hashes of their contexts.
+
+    ``symbol, contexts`` have an entry for each different beginning; ``beginning`` names that of each symbol of
+    all tokens in a row, and ``token`` the token it belongs to.
+    """
 
     def __init__(self, tokens: list[bytes], powers: Powers):
         spelled = b" " + b" ".join(tokens) + b" "
@@ -123,35 +155,54 @@ class Spelling:
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
         self.token = np.repeat(np.arange(len(tokens)), lengths)
         begins = (np.cumsum(lengths) - lengths)[self.token]
-        self.symbol = symbols[1:]
         self.ends = np.cumsum(lengths)
         at = np.arange(1, len(symbols))
         up, down = powers.get(len(symbols) + 1)
         sums = np.zeros(len(symbols) + 1, np.uint64)
         np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * up[: len(symbols)], out=sums[1:])
+        spans = mixed((sums[at + 1] - sums[begins]) * down[begins])
+        order = np.argsort(spans)
+        firsts, run = groups(spans[order])
+        self.beginning = np.empty(len(order), np.int64)
+        self.beginning[order] = run
+        at, begins = at[order[firsts]], begins[order[firsts]]
+        self.symbol = symbols[at]
         self.contexts = []
-        for order in ORDERS:
-            first = np.maximum(begins, at - order)
-            self.contexts.append(mixed((sums[at] - sums[first]) * down[first] + np.uint64(order)))
+        for length in ORDERS:
+            first = np.maximum(begins, at - length)
+            self.contexts.append(mixed((sums[at] - sums[first]) * down[first] + np.uint64(length)))
+
+    def summed(self, of_tokens: np.ndarray) -> np.ndarray:
+        """Per beginning the sum of a value over the tokens that have it."""
+        return np.bincount(self.beginning, of_tokens[self.token], len(self.symbol))
+
+    def per_token(self, of_beginnings: np.ndarray) -> np.ndarray:
+        """Per token the sum of a value over its beginnings."""
+        sums = np.concatenate(([0.0], np.cumsum(of_beginnings[self.beginning])))
+        return sums[self.ends] - sums[np.concatenate(([0], self.ends[:-1]))]
 
     def decisions(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
         """For each of eight bits: its number, the bits so far, the bit, and the slots of its predictors."""
-        node = np.ones(len(self.symbol), np.int64)
+        node, shift = np.ones(len(self.symbol), np.int64), np.uint64(64 - TABLE_BITS)
         for level in range(8):
             bit = (self.symbol >> (7 - level)) & 1
-            salt = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            yield level, node, bit, [(mixed(c + salt) >> np.uint64(64 - TABLE_BITS)).astype(np.int32) for c in self.contexts]
+            salt = node.astype(np.uint64) * SEED_1
+            yield level, node, bit, [((c + salt) >> shift).astype(np.int64) for c in self.contexts]
             node = node * 2 + bit
 
 
+def _block(tokens: list[bytes], counts: np.ndarray) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    for first in range(0, len(tokens), WORDS_PER_BLOCK):
+        yield tokens[first : first + WORDS_PER_BLOCK], counts[first : first + WORDS_PER_BLOCK]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], trained_only: bool) -> Iterator[tuple[list[bytes], np.ndarray]]:
     for batch in batches:
         tokens, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         if trained_only:
             keep = np.flatnonzero(counts > 0)
             tokens, counts = [tokens[i] for i in keep], counts[keep]
-        for first in range(0, len(tokens), WORDS_PER_BLOCK):
-            yield tokens[first : first + WORDS_PER_BLOCK], counts[first : first + WORDS_PER_BLOCK].astype(np.float64)
+        yield from _block(tokens, counts)
 
 
 # --- counts of the predictors -------------------------------------------------------
@@ -160,12 +211,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], trained_only: bool) -> Iterator[t
 def _tallying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``part, tally``: this task's counts, cut into slices of the tables."""
     size, powers = 1 << TABLE_BITS, Powers()
-    tables = np.zeros((len(ORDERS), size, 2), np.float32)
+    tables = np.zeros((len(ORDERS), size, 2), np.int64)
     flat, any_word = tables.reshape(len(ORDERS), -1), False
     for tokens, counts in _blocks(batches, trained_only=True):
         any_word = True
         spelling = Spelling(tokens, powers)
-        weight = counts.astype(np.float32)[spelling.token]
+        weight = np.rint(spelling.summed(counts)).astype(np.int64)
         for _, _, bit, slots in spelling.decisions():
             for order, slot in enumerate(slots):
                 np.add.at(flat[order], slot * 2 + bit, weight)
@@ -174,14 +225,14 @@ def _tallying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if any_word:
         for order in range(len(ORDERS)):
             for number, part in enumerate(np.split(tables[order], SLICES)):
-                rows.append((order * SLICES + number, compressor.compress(np.ascontiguousarray(part.reshape(-1).view(np.uint8).reshape(-1, 4).T).tobytes())))
+                rows.append((order * SLICES + number, compressor.compress(np.ascontiguousarray(part.reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes())))
     parts, tallies = zip(*rows) if rows else ((), ())
     yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(tallies, pa.binary())], ["part", "tally"])
 
 
 def _tally(content: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(content), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.float32).reshape(-1, 2)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).reshape(-1, 2)
 
 
 def _summing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +241,7 @@ def _summing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         part = batch.column(0)[0].as_py() if batch.num_rows else part
         for content in batch.column(1):
-            tally = _tally(content.as_py()).astype(np.float64)
+            tally = _tally(content.as_py())
             total = tally if total is None else total + tally
     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "tally"])
 
@@ -229,12 +280,13 @@ def _map_place(node: np.ndarray, odds: np.ndarray) -> np.ndarray:
 def _learning(tables):
     """``place, value, weight``: weighted weights of this task, then the counts of its map."""
 
-    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learned(part: pa.Table) -> pa.Table:
         flat, powers, weights = tables.value.reshape(len(ORDERS), -1), Powers(), first_weights()
         seen, mapped = np.zeros(GATES), np.zeros((256 * MAP_STEPS, 2))
-        for tokens, counts in _blocks(batches, trained_only=True):
+        words = sorted(zip(part.column("token").to_pylist(), part.column("n").to_pylist()))
+        for tokens, counts in _block([t for t, _ in words], np.array([n for _, n in words], np.float64)):
             spelling = Spelling(tokens, powers)
-            weight = counts[spelling.token]
+            weight = spelling.summed(counts)
             for level, node, bit, slots in spelling.decisions():
                 inputs, known = np.ones((len(ORDERS) + 1, len(bit))), np.zeros(len(bit), np.int64)
                 for order, slot in enumerate(slots):
@@ -244,7 +296,7 @@ def _learning(tables):
                     inputs[order] = np.where(bit == 1, odds, -odds)
                     known += happened + other > 0
                 gate = known * 8 + level
-                odds = (weights[gate].T * inputs).sum(axis=0)
+                odds = _mixed_odds(weights, gate, inputs)
                 mapped_at = _map_place(node, odds)
                 mapped[:, 0] += np.bincount(mapped_at, weight * bit, len(mapped))
                 mapped[:, 1] += np.bincount(mapped_at, weight, len(mapped))
@@ -255,14 +307,24 @@ def _learning(tables):
                 seen += there
         values = np.concatenate(((weights * seen[:, None]).ravel(), mapped.ravel()))
         shares = np.concatenate((np.repeat(seen, weights.shape[1]), np.ones(mapped.size)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(shares)], ["place", "value", "share"])
+        return pa.table({"place": pa.array(np.arange(len(values), dtype=np.int32)), "value": pa.array(values), "share": pa.array(shares)})
 
     return learned
 
 
+def _mixed_odds(weights: np.ndarray, gate: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+    odds = weights[:, 0][gate] * inputs[0]
+    for i in range(1, len(inputs)):
+        odds += weights[:, i][gate] * inputs[i]
+    return odds
+
+
 def mixing_state(words: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
     """Averaged weights ``[gate, input]`` and the refining map's log-odds ``[bits so far, step]``."""
-    state = words.mapInArrow(_learning(tables), "place int, value double, share double").groupBy("place").agg(
+    trained = words.where("n > 0")
+    parts = max(1, -(-trained.count() // WORDS_PER_PART))
+    split = trained.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)))
+    state = split.groupBy("part").applyInArrow(_learning(tables), "place int, value double, share double").groupBy("place").agg(
         F.sum("value").alias("value"), F.sum("share").alias("share")
     )
     weights, size = first_weights(), first_weights().size
@@ -285,11 +347,10 @@ def _log_probabilities(tokens: list[bytes], odds_of: np.ndarray, known_of: np.nd
         for order, slot in enumerate(slots):
             inputs[order] = odds_of[order][slot]
             known += known_of[order][slot]
-        odds = (weights[known * 8 + level].T * inputs).sum(axis=0)
+        odds = _mixed_odds(weights, known * 8 + level, inputs)
         one = (squash(odds) + squash(refined[_map_place(node, odds)])) / 2
         total += np.log(np.where(bit == 1, one, 1 - one))
-    sums = np.concatenate(([0.0], np.cumsum(total)))
-    return sums[spelling.ends] - sums[np.concatenate(([0], spelling.ends[:-1]))]
+    return spelling.per_token(total)
 
 
 def _scoring(tables, weights: np.ndarray, refined: np.ndarray, bits: int):
@@ -318,15 +379,22 @@ def _scoring(tables, weights: np.ndarray, refined: np.ndarray, bits: int):
 # --- documents ----------------------------------------------------------------------
 
 
-def _short(keys: np.ndarray) -> np.ndarray:
-    return keys & np.uint64(0xFFFFFFFFFFFF0000)
+KEY_MASK = np.uint64(0xFFFFFFFFFFFFFF00)
+SHORT, WORDS, WORD_ANSWERS, ELSEWHERE, COUNTS, COUNT_ANSWERS, NOTE = range(1, 8)
 
 
-class _BatchWords:
-    """The different words of a batch by their hashes, sorted, and where each text's words stand among them.
+def short_bits(bucket: int) -> int:
+    """Bits of a short key beside those that name its bucket: some eight places for each pair and triple of a bucket's text."""
+    return max(8, (2 * bucket - 1).bit_length())
 
-    Its pairs and triples likewise: a text is its words and an end, the first follows a start.
-    """
+
+def _different(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[groups(values)[0]]
+
+
+class _BatchWords:
+    """The words of a batch, and the keys of its pairs and triples: a text is its words and an end, the first follows a start."""
 
     def __init__(self, texts: list[bytes]):
         powers, hashes, self.counts = Powers(), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
@@ -335,21 +403,19 @@ class _BatchWords:
             hashes.append(words.hashes)
             self.counts.append(words.counts())
         self.counts = np.concatenate(self.counts)
-        hashes = np.concatenate(hashes)
-        self.different, self.place = np.unique(hashes, return_inverse=True)
+        self.hashes = np.concatenate(hashes)
         self.end_at = np.cumsum(self.counts + 1) - 1
         self.first_at = self.end_at - self.counts
-        self.is_word = np.ones(len(hashes) + len(texts), bool)
+        self.is_word = np.ones(len(self.hashes) + len(texts), bool)
         self.is_word[self.end_at] = False
         self.later = np.ones(len(self.is_word), bool)
         self.later[self.first_at] = False
         token = np.full(len(self.is_word), TEXT_END)
-        token[self.is_word] = hashes
+        token[self.is_word] = self.hashes
         before = self.shifted(token, TEXT_START)
         pairs = before * STEP + token
         triples = (self.shifted(before, TEXT_START) * STEP + before) * STEP + token
-        keys = np.concatenate((_short(mixed(pairs)), _short(mixed(triples[self.later], SEED_2))))
-        self.keys, self.key_place = np.unique(keys, return_inverse=True)
+        self.keys = np.concatenate((mixed(pairs), mixed(triples[self.later], SEED_2))) & KEY_MASK
 
     def shifted(self, values: np.ndarray, at_first) -> np.ndarray:
         """The value of the token before each; ``at_first`` for the first of a text."""
@@ -358,44 +424,121 @@ class _BatchWords:
         out[self.first_at] = at_first
         return out
 
-    def trained(self, training: np.ndarray) -> np.ndarray:
-        """How often the training texts hold each pair and triple."""
+    def different_keys(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different pairs and triples, sorted, and how often the training texts hold each."""
         of_token = np.repeat(training, self.counts + 1)
-        held = np.concatenate((of_token, of_token[self.later]))
-        return np.bincount(self.key_place[held], minlength=len(self.keys)).astype(np.uint64)
-
-    def in_context(self, counts: np.ndarray, scores: np.ndarray, key_counts: np.ndarray, end_count: float, end_score: float, training: np.ndarray) -> np.ndarray:
-        """log10 probability of each text, from training counts and scores of its words and counts of its pairs and triples."""
-        own = np.repeat(training, self.counts + 1).astype(np.float64)
-        single, spelled = np.full(len(own), end_count), np.full(len(own), end_score)
-        single[self.is_word], spelled[self.is_word] = counts[self.place], scores[self.place]
-        found = key_counts[self.key_place].astype(np.float64)
-        pairs, triples = found[: len(own)], found[len(own) :]
-        score = _followed(spelled * np.log(10), pairs - own, self.shifted(single, end_count) - own, CONTEXT_PRIORS[0])
-        later = self.later
-        score[later] = _followed(score[later], triples - own[later], self.shifted(pairs, 0.0)[later] - own[later], CONTEXT_PRIORS[1])
-        return np.add.reduceat(score, self.first_at) / np.log(10)
-
-    def per_text(self, values: np.ndarray) -> np.ndarray:
-        """Sums over each text's words of a value per different word."""
-        sums = np.concatenate(([0.0], np.cumsum(values[self.place])))
-        ends = np.cumsum(self.counts)
-        return sums[ends] - sums[ends - self.counts]
-
-
-def _followed(score: np.ndarray, there: np.ndarray, all_: np.ndarray, prior: float) -> np.ndarray:
-    """Natural logarithm of a context's counts mixed with a shorter prediction; a logarithm, as long words have tiny ones."""
+        held = np.sort(self.keys[np.concatenate((of_token, of_token[self.later]))])
+        firsts = groups(held)[0]
+        different = _different(self.keys)
+        trained = np.zeros(len(different), np.uint64)
+        trained[np.searchsorted(different, held[firsts])] = np.diff(np.append(firsts, len(held)))
+        return different, trained
+
+    def in_context(self, counts: np.ndarray, spelled: np.ndarray, keys: np.ndarray, key_counts: np.ndarray, end: tuple[float, float], training: np.ndarray, rounds: int) -> np.ndarray:
+        """log10 probability of each text, from training counts and log10 spelling probabilities of its words and counts of all keys."""
+        n, single, scores = len(self.is_word), np.full(len(self.is_word), end[0]), np.full(len(self.is_word), end[1])
+        single[self.is_word], scores[self.is_word] = counts, spelled
+        found = key_counts[np.searchsorted(keys, self.keys)].astype(np.float64)
+        pairs, triples = found[:n], np.zeros(n)
+        triples[self.later] = found[n:]
+        before_one = self.shifted(single, end[0])
+        before_two = np.where(self.later, self.shifted(pairs, 0.0), 0.0)
+        scores *= np.log(10)
+        own = np.repeat(training, self.counts + 1)
+        learn = [a[own] for a in (scores, pairs, before_one, triples, before_two)]
+        weights = learned_gates(*learn, rounds=rounds)
+        return np.add.reduceat(gated(scores, pairs, before_one, triples, before_two, weights), self.first_at) / np.log(10)
+
+
+def count_class(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(n, 0) + 1), COUNT_CLASSES - 1).astype(np.int64)
+
+
+def first_gates() -> np.ndarray:
+    """``[gate, predictor]``: weights of spelling, pair and triple; those of a context that was never seen are 0."""
+    seen = np.where(np.arange(COUNT_CLASSES) > 0, 2.0 ** np.arange(COUNT_CLASSES), 0.0)
+    pair, triple = np.meshgrid(seen / (seen + CONTEXT_PRIORS[0]), seen / (seen + CONTEXT_PRIORS[1]), indexing="ij")
+    return np.stack([(1 - triple) * (1 - pair), (1 - triple) * pair, triple], axis=-1).reshape(-1, 3)
+
+
+def _shares(pairs: np.ndarray, before_one: np.ndarray, triples: np.ndarray, before_two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The gate, and the probabilities by pair and by triple."""
+    gate = count_class(before_one) * COUNT_CLASSES + count_class(before_two)
+    return gate, pairs / np.maximum(before_one, 1), triples / np.maximum(before_two, 1)
+
+
+def learned_gates(scores: np.ndarray, pairs: np.ndarray, before_one: np.ndarray, triples: np.ndarray, before_two: np.ndarray, rounds: int) -> np.ndarray:
+    """Weights under which training words, each left out of its own counts, are most probable; near the first ones where there are few."""
+    first = first_gates()
+    less = [np.maximum(a - 1, 0) for a in (pairs, before_one, triples, before_two)]
+    gate, by_pair, by_triple = _shares(*less)
+    weights, of = first.copy(), np.stack([np.exp(scores), by_pair, by_triple])
+    for _ in range(rounds):
+        parts = weights[gate].T * of
+        total = parts.sum(axis=0)
+        parts /= np.where(total > 0, total, 1)
+        sums = np.stack([np.bincount(gate, part, len(weights)) for part in parts], axis=-1) + GATE_PRIOR * first
+        weights = sums / sums.sum(axis=1, keepdims=True)
+    return weights
+
+
+def gated(scores: np.ndarray, pairs: np.ndarray, before_one: np.ndarray, triples: np.ndarray, before_two: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Natural logarithm of each word's probability; logarithms, as long words have tiny ones."""
+    gate, by_pair, by_triple = _shares(pairs, before_one, triples, before_two)
+    spelling, pair, triple = weights[gate].T
     with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(np.maximum(there, 0)), np.log(prior) + score) - np.log(np.maximum(all_, 0) + prior)
+        return np.logaddexp(np.log(spelling) + scores, np.log(pair * by_pair + triple * by_triple))
 
 
-def _asking(bits: int):
+def _asking_shortly(bits: int, more: int):
     def ask(table: pa.Table) -> pa.Table:
+        batch, keys = table.column("batch")[0].as_py(), _different(_BatchWords(table.column("text").to_pylist()).keys)
+        return messages([(b, batch, SHORT, packed_sorted(_short_keys(keys[i:j], bits, more))) for b, i, j in bucket_slices(keys, bits)])
+
+    return ask
+
+
+def _short_keys(keys: np.ndarray, bits: int, more: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits - more)) & np.uint64((1 << more) - 1)
+
+
+def _answering_shortly(asked: pa.Table) -> pa.Table:
+    """For each short key of each batch: does another entry have it."""
+    sent = [unpacked_sorted(p) for p in asked.column("payload").to_pylist()]
+    everything = np.sort(np.concatenate(sent))
+    twice = _different(everything[1:][everything[1:] == everything[:-1]])
+    rows = []
+    for bucket, batch, keys in zip(asked.column("bucket").to_pylist(), asked.column("batch").to_pylist(), sent):
+        at = np.minimum(np.searchsorted(twice, keys), max(len(twice) - 1, 0))
+        rows.append((bucket, batch, ELSEWHERE, packed_bits(twice[at] == keys if len(twice) else np.zeros(len(keys), bool))))
+    return messages(rows)
+
+
+def _payloads(table: pa.Table, kind: int) -> dict[int, bytes]:
+    columns = [table.column(c).to_pylist() for c in ("bucket", "kind", "payload")]
+    return {bucket: payload for bucket, k, payload in zip(*columns) if k == kind}
+
+
+def _elsewhere(keys: np.ndarray, bits: int, found: dict[int, bytes]) -> np.ndarray:
+    """Which of the batch's keys other batches may hold."""
+    out = np.zeros(len(keys), bool)
+    for bucket, i, j in bucket_slices(keys, bits):
+        out[i:j] = unpacked_bits(found[bucket])
+    return out
+
+
+def _asking(bits: int):
+    def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return messages([])
         batch, words = table.column("batch")[0].as_py(), _BatchWords(table.column("text").to_pylist())
-        trained = words.trained(table.column("training").to_numpy())
-        rows = [(bucket, batch, 2, packed_sorted(words.different[i:j])) for bucket, i, j in bucket_slices(words.different, bits)]
-        rows += [(bucket, batch, 4, joined(packed_sorted(words.keys[i:j]), packed(trained[i:j]))) for bucket, i, j in bucket_slices(words.keys, bits)]
-        return messages(rows)
+        different = _different(words.hashes)
+        rows = [(b, batch, WORDS, packed_sorted(different[i:j])) for b, i, j in bucket_slices(different, bits)]
+        keys, trained = words.different_keys(table.column("training").to_numpy())
+        elsewhere = _elsewhere(keys, bits, _payloads(answers, ELSEWHERE))
+        asked, own = keys[elsewhere], trained[elsewhere]
+        rows += [(b, batch, COUNTS, joined(packed_sorted(asked[i:j] >> np.uint64(8)), packed(own[i:j]))) for b, i, j in bucket_slices(asked, bits)]
+        return messages([*rows, (-1 - batch, batch, NOTE, packed_bits(elsewhere))])
 
     return ask
 
@@ -403,7 +546,8 @@ def _asking(bits: int):
 def _answering(asked: pa.Table, known: pa.Table) -> pa.Table:
     """Counts and scores of the words, and counts of the pairs and triples, that each batch asks for, in its order."""
     asks = list(zip(*[asked.column(c).to_pylist() for c in ("bucket", "batch", "kind", "payload")]))
-    return messages(_answered_words([a for a in asks if a[2] == 2], known) + _answered_keys([a for a in asks if a[2] == 4]))
+    notes = [a for a in asks if a[2] == NOTE]
+    return messages(notes + _answered_words([a for a in asks if a[2] == WORDS], known) + _answered_keys([a for a in asks if a[2] == COUNTS]))
 
 
 def _answered_keys(asks: list[tuple]) -> list[tuple]:
@@ -414,8 +558,9 @@ def _answered_keys(asks: list[tuple]) -> list[tuple]:
     keys = [unpacked_sorted(p[0]) for p in parts]
     ends = np.cumsum([len(k) for k in keys])
     different, place = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.bincount(place, np.concatenate([unpacked(p[1]) for p in parts]), len(different)).astype(np.uint64)
-    return [(bucket, batch, 5, packed(sums[place[end - len(k) : end]])) for (bucket, batch, *_), k, end in zip(asks, keys, ends)]
+    sums = np.zeros(len(different), np.uint64)
+    np.add.at(sums, place, np.concatenate([unpacked(p[1]) for p in parts]))
+    return [(bucket, batch, COUNT_ANSWERS, packed(sums[place[end - len(k) : end]])) for (bucket, batch, *_), k, end in zip(asks, keys, ends)]
 
 
 def _answered_words(asks: list[tuple], known: pa.Table) -> list[tuple]:
@@ -428,30 +573,42 @@ def _answered_words(asks: list[tuple], known: pa.Table) -> list[tuple]:
     rows = []
     for bucket, batch, _, payload in asks:
         at = np.searchsorted(hashes, unpacked_sorted(payload))
-        rows.append((bucket, batch, 3, joined(packed(counts[at]), packed(scores[at]))))
+        rows.append((bucket, batch, WORD_ANSWERS, joined(packed(counts[at]), packed(scores[at]))))
     return rows
 
 
-def _adding(bits: int, end_count: float, end_score: float):
+def _adding(bits: int, end: tuple[float, float], rounds: int):
     def add(table: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = table.column("text").to_pylist()
+        texts, training = table.column("text").to_pylist(), table.column("training").to_numpy()
         words = _BatchWords(texts)
-        known = {(kind, bucket): payload for kind, bucket, payload in zip(*[answers.column(c).to_pylist() for c in ("kind", "bucket", "payload")])}
-        counts, scores = np.zeros(len(words.different)), np.zeros(len(words.different))
-        for bucket, i, j in bucket_slices(words.different, bits):
-            found = parted(known[3, bucket])
-            counts[i:j] = unpacked(found[0])
-            scores[i:j] = unpacked(found[1]).view(np.float64)
-        key_counts = np.zeros(len(words.keys), np.uint64)
-        for bucket, i, j in bucket_slices(words.keys, bits):
-            key_counts[i:j] = unpacked(known[5, bucket])
+        different = _different(words.hashes)
+        counts, scores, found = np.zeros(len(different)), np.zeros(len(different)), _payloads(answers, WORD_ANSWERS)
+        for bucket, i, j in bucket_slices(different, bits):
+            there = parted(found[bucket])
+            counts[i:j] = unpacked(there[0])
+            scores[i:j] = unpacked(there[1]).view(np.float64)
+        place = np.searchsorted(different, words.hashes)
+        counts, scores = counts[place], scores[place]
+        keys, key_counts = words.different_keys(training)
+        elsewhere = unpacked_bits(next(iter(_payloads(answers, NOTE).values())))
+        asked, found = keys[elsewhere], _payloads(answers, COUNT_ANSWERS)
+        sums = np.zeros(len(asked), np.uint64)
+        for bucket, i, j in bucket_slices(asked, bits):
+            sums[i:j] = unpacked(found[bucket])
+        key_counts[elsewhere] = sums
+        ends = np.cumsum(words.counts)
+
+        def per_text(values: np.ndarray) -> np.ndarray:
+            total = np.concatenate(([0.0], np.cumsum(values)))
+            return total[ends] - total[ends - words.counts]
+
         return pa.table(
             {
                 "id": table.column("id"),
                 "n_tokens": pa.array(words.counts + 1, pa.int64()),
-                "n_known": pa.array(words.per_text(counts > 0).astype(np.int64) + (end_count > 0), pa.int64()),
-                "smoothed": pa.array(words.per_text(np.log10(counts + 1)) + np.log10(end_count + 1), pa.float64()),
-                "score": pa.array(words.in_context(counts, scores, key_counts, end_count, end_score, table.column("training").to_numpy()), pa.float64()),
+                "n_known": pa.array(per_text(counts > 0).astype(np.int64) + (end[0] > 0), pa.int64()),
+                "smoothed": pa.array(per_text(np.log10(counts + 1)) + np.log10(end[0] + 1), pa.float64()),
+                "score": pa.array(words.in_context(counts, scores, keys, key_counts, end, training, rounds), pa.float64()),
                 "n_bytes": pa.array([len(t.translate(None, SPACES)) for t in texts] + words.counts + 1, pa.int64()),
             }
         )
@@ -459,8 +616,11 @@ def _adding(bits: int, end_count: float, end_score: float):
     return add
 
 
-def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``, one row per document."""
+def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", gate_rounds: int = GATE_ROUNDS) -> DataFrame:
+    """``id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``, one row per document.
+
+    ``gate_rounds`` are the passes in which a batch learns the weights of its words' contexts; with none the first weights stay.
+    """
     spark = documents.sparkSession
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     training = rows.select(F.col("text").cast("binary").alias("text"), (~held_out(F.col("id"))).alias("training"))
@@ -469,17 +629,19 @@ def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column
 
     tables = spark.sparkContext.broadcast(predictor_counts(words))
     weights, refined = mixing_state(words, tables)
-    texts, bits = batched(rows, "id", "text")
+    texts, bits = batched(rows, "id", "text", least_batch=LM_BATCH_BYTES)
     texts = texts.withColumn("training", ~held_out(F.col("id")))
     scored = written(words.mapInArrow(_scoring(tables, weights, refined, bits), MESSAGE), "scored-words")
     end = scored.where("kind = 1").first()
     end_count, end_score = np.frombuffer(end.payload) if end else (0.0, 0.0)
 
     by_batch = texts.groupBy("batch")
-    asked = by_batch.applyInArrow(_asking(bits), MESSAGE)
+    shortly = by_batch.applyInArrow(_asking_shortly(bits, short_bits(BUCKET_BYTES)), MESSAGE)
+    elsewhere = shortly.groupBy("bucket").applyInArrow(_answering_shortly, MESSAGE)
+    asked = by_batch.cogroup(elsewhere.groupBy("batch")).applyInArrow(_asking(bits), MESSAGE)
     answers = asked.groupBy("bucket").cogroup(scored.where("kind = 0").groupBy("bucket")).applyInArrow(_answering, MESSAGE)
     summed = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(
-        _adding(bits, float(end_count), float(end_score)),
+        _adding(bits, (float(end_count), float(end_score)), gate_rounds),
         "id long, n_tokens long, n_known long, smoothed double, score double, n_bytes long",
     )
     return summed.select(
