@@ -35,8 +35,9 @@ Documents get the counts and spelling probabilities of their words, and the coun
 of words, by two exchanges between batches and buckets (see ``batches``). In the first a batch sends a short key of each different
 pair and triple and learns with a bit which ones other batches hold; the counts of all others it knows itself. In the
 second it sends longer keys of the former, with its own counts, and hashes of its words. Words go by 64-bit hashes: two words
-of ten million share one with a chance under one in 300,000. Pairs and triples go by 56 bits: among 10^12, one
-is taken for another with a chance of one in 70,000.
+of ten million share one with a chance under one in 300,000. Pairs and triples go by as many bits as
+leave a pair or triple one chance in a million to be taken for another, whatever the input (``FURTHER_BITS``).
+Spelling probabilities are sent with 36 bits of their logarithms.
 
 Results for odd rows: null text counts as empty, which is the end alone. A row without an id is
 trained on and not held out. Repeated rows count each. Texts are whole. An empty table gives an empty result.
@@ -70,7 +71,7 @@ from changeseries.llm.batches import (
     unpacked_bits,
     unpacked_sorted,
 )
-from changeseries.llm.storage import written
+from changeseries.llm.storage import release, written
 from changeseries.llm.wordhash import SEED_1, SEED_2, STEP, Powers, Words, mixed, runs_of_texts
 
 ORDERS = (1, 2, 3, 4, 6)
@@ -365,9 +366,9 @@ def _scoring(tables, weights: np.ndarray, refined: np.ndarray, bits: int):
             real = np.array([i for i, t in enumerate(tokens) if t], np.int64)
             hashes = Words([b"\n".join(tokens)], powers).hashes
             order = np.argsort(hashes)
-            counts_there, scores_there, hashes = counts[real][order].astype(np.uint64), scores[real][order], hashes[order]
+            counts_there, scores_there, hashes = counts[real][order].astype(np.uint64), scores[real][order].view(np.uint64) & SCORE_MASK, hashes[order]
             rows = [
-                (bucket, -1, 0, joined(packed_sorted(hashes[i:j]), packed(counts_there[i:j]), packed(scores_there[i:j].view(np.uint64))))
+                (bucket, -1, 0, joined(packed_sorted(hashes[i:j]), packed(counts_there[i:j]), packed(scores_there[i:j])))
                 for bucket, i, j in bucket_slices(hashes, bits)
             ]
             rows += [(-1, -1, 1, np.array([counts[i], scores[i]]).tobytes()) for i, t in enumerate(tokens) if not t]
@@ -379,7 +380,8 @@ def _scoring(tables, weights: np.ndarray, refined: np.ndarray, bits: int):
 # --- documents ----------------------------------------------------------------------
 
 
-KEY_MASK = np.uint64(0xFFFFFFFFFFFFFF00)
+FURTHER_BITS = 17
+SCORE_MASK = np.uint64(0xFFFFFFFFFFFF0000)
 SHORT, WORDS, WORD_ANSWERS, ELSEWHERE, COUNTS, COUNT_ANSWERS, NOTE = range(1, 8)
 
 
@@ -396,7 +398,7 @@ def _different(values: np.ndarray) -> np.ndarray:
 class _BatchWords:
     """The words of a batch, and the keys of its pairs and triples: a text is its words and an end, the first follows a start."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], key_bits: int = 64):
         powers, hashes, self.counts = Powers(), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for first, end in runs_of_texts(texts, CHUNK_BYTES):
             words = Words(texts[first:end], powers, lower=True)
@@ -415,7 +417,8 @@ class _BatchWords:
         before = self.shifted(token, TEXT_START)
         pairs = before * STEP + token
         triples = (self.shifted(before, TEXT_START) * STEP + before) * STEP + token
-        self.keys = np.concatenate((mixed(pairs), mixed(triples[self.later], SEED_2))) & KEY_MASK
+        left_out = np.uint64(64 - key_bits)
+        self.keys = np.concatenate((mixed(pairs), mixed(triples[self.later], SEED_2))) >> left_out << left_out
 
     def shifted(self, values: np.ndarray, at_first) -> np.ndarray:
         """The value of the token before each; ``at_first`` for the first of a text."""
@@ -492,7 +495,7 @@ def gated(scores: np.ndarray, pairs: np.ndarray, before_one: np.ndarray, triples
 
 def _asking_shortly(bits: int, more: int):
     def ask(table: pa.Table) -> pa.Table:
-        batch, keys = table.column("batch")[0].as_py(), _different(_BatchWords(table.column("text").to_pylist()).keys)
+        batch, keys = table.column("batch")[0].as_py(), _different(_BatchWords(table.column("text").to_pylist(), bits + more + FURTHER_BITS).keys)
         return messages([(b, batch, SHORT, packed_sorted(_short_keys(keys[i:j], bits, more))) for b, i, j in bucket_slices(keys, bits)])
 
     return ask
@@ -527,17 +530,19 @@ def _elsewhere(keys: np.ndarray, bits: int, found: dict[int, bytes]) -> np.ndarr
     return out
 
 
-def _asking(bits: int):
+def _asking(bits: int, more: int):
+    key_bits = bits + more + FURTHER_BITS
+
     def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return messages([])
-        batch, words = table.column("batch")[0].as_py(), _BatchWords(table.column("text").to_pylist())
+        batch, words = table.column("batch")[0].as_py(), _BatchWords(table.column("text").to_pylist(), key_bits)
         different = _different(words.hashes)
         rows = [(b, batch, WORDS, packed_sorted(different[i:j])) for b, i, j in bucket_slices(different, bits)]
         keys, trained = words.different_keys(table.column("training").to_numpy())
         elsewhere = _elsewhere(keys, bits, _payloads(answers, ELSEWHERE))
         asked, own = keys[elsewhere], trained[elsewhere]
-        rows += [(b, batch, COUNTS, joined(packed_sorted(asked[i:j] >> np.uint64(8)), packed(own[i:j]))) for b, i, j in bucket_slices(asked, bits)]
+        rows += [(b, batch, COUNTS, joined(packed_sorted(asked[i:j] >> np.uint64(64 - key_bits)), packed(own[i:j]))) for b, i, j in bucket_slices(asked, bits)]
         return messages([*rows, (-1 - batch, batch, NOTE, packed_bits(elsewhere))])
 
     return ask
@@ -577,10 +582,10 @@ def _answered_words(asks: list[tuple], known: pa.Table) -> list[tuple]:
     return rows
 
 
-def _adding(bits: int, end: tuple[float, float], rounds: int):
+def _adding(bits: int, more: int, end: tuple[float, float], rounds: int):
     def add(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts, training = table.column("text").to_pylist(), table.column("training").to_numpy()
-        words = _BatchWords(texts)
+        words = _BatchWords(texts, bits + more + FURTHER_BITS)
         different = _different(words.hashes)
         counts, scores, found = np.zeros(len(different)), np.zeros(len(different)), _payloads(answers, WORD_ANSWERS)
         for bucket, i, j in bucket_slices(different, bits):
@@ -625,6 +630,7 @@ def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     training = rows.select(F.col("text").cast("binary").alias("text"), (~held_out(F.col("id"))).alias("training"))
     words = written(vocabulary(training), "vocabulary")
+    release(spark)
     total, different = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
 
     tables = spark.sparkContext.broadcast(predictor_counts(words))
@@ -636,12 +642,13 @@ def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column
     end_count, end_score = np.frombuffer(end.payload) if end else (0.0, 0.0)
 
     by_batch = texts.groupBy("batch")
-    shortly = by_batch.applyInArrow(_asking_shortly(bits, short_bits(BUCKET_BYTES)), MESSAGE)
+    more = short_bits(BUCKET_BYTES)
+    shortly = by_batch.applyInArrow(_asking_shortly(bits, more), MESSAGE)
     elsewhere = shortly.groupBy("bucket").applyInArrow(_answering_shortly, MESSAGE)
-    asked = by_batch.cogroup(elsewhere.groupBy("batch")).applyInArrow(_asking(bits), MESSAGE)
+    asked = by_batch.cogroup(elsewhere.groupBy("batch")).applyInArrow(_asking(bits, more), MESSAGE)
     answers = asked.groupBy("bucket").cogroup(scored.where("kind = 0").groupBy("bucket")).applyInArrow(_answering, MESSAGE)
     summed = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(
-        _adding(bits, (float(end_count), float(end_score)), gate_rounds),
+        _adding(bits, more, (float(end_count), float(end_score)), gate_rounds),
         "id long, n_tokens long, n_known long, smoothed double, score double, n_bytes long",
     )
     return summed.select(

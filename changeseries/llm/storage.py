@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from changeseries.storage import checkpoint_folder
 
@@ -20,3 +21,12 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     path = shared_path(rows, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let executors drop the shuffle files of steps whose results are written and that nothing refers to any more.
+
+    Spark does so when the driver collects its garbage, which a job of a few large steps gives it little reason to.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
