@@ -46,6 +46,7 @@ Without training rows every count is 0 and predictors are even. Only the id and
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -110,34 +111,59 @@ def _words(text: bytes) -> list[bytes]:
 # --- the vocabulary -----------------------------------------------------------------
 
 
-def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``token, n``: training occurrences of every word of all documents, added up as far as memory allows."""
-    trained, seen, ends = Counter(), set(), 0
+def _counting(parts: int):
+    """``part, payload``: training occurrences of every word of all documents, added up as far as memory allows, sorted and packed."""
 
-    def counted() -> pa.RecordBatch:
-        tokens = list(seen | trained.keys())
+    def counted(trained: Counter, seen: set, ends: int) -> pa.RecordBatch:
+        trained = Counter(trained)
         if ends:
-            tokens.append(b"")
-        counts = [trained[t] if t else ends for t in tokens]
-        return pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(counts, pa.int64())], ["token", "n"])
-
+            trained[b""] = ends
+        split: list[list[bytes]] = [[] for _ in range(parts)]
+        for token in seen | trained.keys():
+            split[zlib.crc32(token) % parts].append(token)
+        compressor, rows = zstandard.ZstdCompressor(level=1), []
+        for part, tokens in enumerate(split):
+            if tokens:
+                tokens.sort()
+                counts = np.fromiter((trained[t] for t in tokens), np.uint64, len(tokens))
+                rows.append((part, joined(compressor.compress(b"\n".join(tokens)), packed(counts))))
+        numbers, payloads = zip(*rows) if rows else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(payloads, pa.binary())], ["part", "payload"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trained, seen, ends = Counter(), set(), 0
+        for batch in batches:
+            for text, training in zip(batch.column(0), batch.column(1).to_pylist()):
+                found = _words(text.as_py() or b"")
+                if training:
+                    trained.update(found)
+                    ends += 1
+                else:
+                    seen.update(found)
+                if len(trained) + len(seen) > COUNTED_WORDS:
+                    yield counted(trained, seen, ends)
+                    trained, seen, ends = Counter(), set(), 0
+        yield counted(trained, seen, ends)
+
+    return count
+
+
+def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``token, n`` of one part, over all tasks."""
+    total: dict[bytes, int] = {}
     for batch in batches:
-        for text, training in zip(batch.column(0), batch.column(1).to_pylist()):
-            found = _words(text.as_py() or b"")
-            if training:
-                trained.update(found)
-                ends += 1
-            else:
-                seen.update(found)
-            if len(trained) + len(seen) > COUNTED_WORDS:
-                yield counted()
-                trained, seen, ends = Counter(), set(), 0
-    yield counted()
-
-
-def vocabulary(texts: DataFrame) -> DataFrame:
+        for payload in batch.column(1):
+            tokens, counts = parted(payload.as_py())
+            tokens = zstandard.ZstdDecompressor().decompress(tokens).split(b"\n")
+            for token, n in zip(tokens, unpacked(counts).tolist()):
+                total[token] = total.get(token, 0) + n
+    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())], ["token", "n"])
+
+
+def vocabulary(texts: DataFrame, parts: int) -> DataFrame:
     """``token, n`` over the whole table: every word, the end as the empty token, and its training count."""
-    return texts.mapInArrow(_counting, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(_counting(parts), "part long, payload binary")
+    return counted.groupBy("part").applyInArrow(_counted_words, "token binary, n long")
 
 
 # --- spelling -----------------------------------------------------------------------
@@ -427,23 +453,26 @@ class _BatchWords:
         out[self.first_at] = at_first
         return out
 
+    def held(self, training: np.ndarray) -> np.ndarray:
+        """Which entries of ``keys`` are of training texts."""
+        of_token = np.repeat(training, self.counts + 1)
+        return np.concatenate((of_token, of_token[self.later]))
+
     def different_keys(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The different pairs and triples, sorted, and how often the training texts hold each."""
-        of_token = np.repeat(training, self.counts + 1)
-        held = np.sort(self.keys[np.concatenate((of_token, of_token[self.later]))])
+        held = np.sort(self.keys[self.held(training)])
         firsts = groups(held)[0]
         different = _different(self.keys)
         trained = np.zeros(len(different), np.uint64)
         trained[np.searchsorted(different, held[firsts])] = np.diff(np.append(firsts, len(held)))
         return different, trained
 
-    def in_context(self, counts: np.ndarray, spelled: np.ndarray, keys: np.ndarray, key_counts: np.ndarray, end: tuple[float, float], training: np.ndarray, rounds: int) -> np.ndarray:
-        """log10 probability of each text, from training counts and log10 spelling probabilities of its words and counts of all keys."""
+    def in_context(self, counts: np.ndarray, spelled: np.ndarray, key_counts: np.ndarray, end: tuple[float, float], training: np.ndarray, rounds: int) -> np.ndarray:
+        """log10 probability of each text, from training counts and log10 spelling probabilities of its words and counts of its keys."""
         n, single, scores = len(self.is_word), np.full(len(self.is_word), end[0]), np.full(len(self.is_word), end[1])
         single[self.is_word], scores[self.is_word] = counts, spelled
-        found = key_counts[np.searchsorted(keys, self.keys)].astype(np.float64)
-        pairs, triples = found[:n], np.zeros(n)
-        triples[self.later] = found[n:]
+        pairs, triples = key_counts[:n], np.zeros(n)
+        triples[self.later] = key_counts[n:]
         before_one = self.shifted(single, end[0])
         before_two = np.where(self.later, self.shifted(pairs, 0.0), 0.0)
         scores *= np.log(10)
@@ -453,6 +482,15 @@ class _BatchWords:
         return np.add.reduceat(gated(scores, pairs, before_one, triples, before_two, weights), self.first_at) / np.log(10)
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, sorted, and the place of each value among them."""
+    order = np.argsort(values)
+    firsts, run = groups(values[order])
+    place = np.empty(len(order), np.int64)
+    place[order] = run
+    return values[order[firsts]], place
+
+
 def count_class(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(n, 0) + 1), COUNT_CLASSES - 1).astype(np.int64)
 
@@ -475,12 +513,12 @@ def learned_gates(scores: np.ndarray, pairs: np.ndarray, before_one: np.ndarray,
     first = first_gates()
     less = [np.maximum(a - 1, 0) for a in (pairs, before_one, triples, before_two)]
     gate, by_pair, by_triple = _shares(*less)
-    weights, of = first.copy(), np.stack([np.exp(scores), by_pair, by_triple])
+    weights, of = first.copy(), (np.exp(scores), by_pair, by_triple)
     for _ in range(rounds):
-        parts = weights[gate].T * of
-        total = parts.sum(axis=0)
-        parts /= np.where(total > 0, total, 1)
-        sums = np.stack([np.bincount(gate, part, len(weights)) for part in parts], axis=-1) + GATE_PRIOR * first
+        parts = [weights[:, i][gate] * of[i] for i in range(3)]
+        total = parts[0] + parts[1] + parts[2]
+        total[total <= 0] = 1
+        sums = np.stack([np.bincount(gate, part / total, len(weights)) for part in parts], axis=-1) + GATE_PRIOR * first
         weights = sums / sums.sum(axis=1, keepdims=True)
     return weights
 
@@ -488,9 +526,12 @@ def learned_gates(scores: np.ndarray, pairs: np.ndarray, before_one: np.ndarray,
 def gated(scores: np.ndarray, pairs: np.ndarray, before_one: np.ndarray, triples: np.ndarray, before_two: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Natural logarithm of each word's probability; logarithms, as long words have tiny ones."""
     gate, by_pair, by_triple = _shares(pairs, before_one, triples, before_two)
-    spelling, pair, triple = weights[gate].T
     with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(spelling) + scores, np.log(pair * by_pair + triple * by_triple))
+        spelling = np.log(weights[:, 0])[gate] + scores
+        found = weights[:, 1][gate] * by_pair + weights[:, 2][gate] * by_triple
+        there = np.flatnonzero(found)
+        spelling[there] = np.logaddexp(spelling[there], np.log(found[there]))
+    return spelling
 
 
 def _asking_shortly(bits: int, more: int):
@@ -586,18 +627,18 @@ def _adding(bits: int, more: int, end: tuple[float, float], rounds: int):
     def add(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts, training = table.column("text").to_pylist(), table.column("training").to_numpy()
         words = _BatchWords(texts, bits + more + FURTHER_BITS)
-        different = _different(words.hashes)
+        different, place = _numbered(words.hashes)
         counts, scores, found = np.zeros(len(different)), np.zeros(len(different)), _payloads(answers, WORD_ANSWERS)
         for bucket, i, j in bucket_slices(different, bits):
             there = parted(found[bucket])
             counts[i:j] = unpacked(there[0])
             scores[i:j] = unpacked(there[1]).view(np.float64)
-        place = np.searchsorted(different, words.hashes)
         counts, scores = counts[place], scores[place]
-        keys, key_counts = words.different_keys(training)
+        keys, place = _numbered(words.keys)
+        key_counts = np.bincount(place, words.held(training), len(keys))
         elsewhere = unpacked_bits(next(iter(_payloads(answers, NOTE).values())))
         asked, found = keys[elsewhere], _payloads(answers, COUNT_ANSWERS)
-        sums = np.zeros(len(asked), np.uint64)
+        sums = np.zeros(len(asked))
         for bucket, i, j in bucket_slices(asked, bits):
             sums[i:j] = unpacked(found[bucket])
         key_counts[elsewhere] = sums
@@ -613,7 +654,7 @@ def _adding(bits: int, more: int, end: tuple[float, float], rounds: int):
                 "n_tokens": pa.array(words.counts + 1, pa.int64()),
                 "n_known": pa.array(per_text(counts > 0).astype(np.int64) + (end[0] > 0), pa.int64()),
                 "smoothed": pa.array(per_text(np.log10(counts + 1)) + np.log10(end[0] + 1), pa.float64()),
-                "score": pa.array(words.in_context(counts, scores, keys, key_counts, end, training, rounds), pa.float64()),
+                "score": pa.array(words.in_context(counts, scores, key_counts[place], end, training, rounds), pa.float64()),
                 "n_bytes": pa.array([len(t.translate(None, SPACES)) for t in texts] + words.counts + 1, pa.int64()),
             }
         )
@@ -629,14 +670,14 @@ def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column
     spark = documents.sparkSession
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     training = rows.select(F.col("text").cast("binary").alias("text"), (~held_out(F.col("id"))).alias("training"))
-    words = written(vocabulary(training), "vocabulary")
+    texts, bits = batched(rows, "id", "text", least_batch=LM_BATCH_BYTES)
+    texts = texts.withColumn("training", ~held_out(F.col("id")))
+    words = written(vocabulary(training, 1 << bits), "vocabulary")
     release(spark)
     total, different = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
 
     tables = spark.sparkContext.broadcast(predictor_counts(words))
     weights, refined = mixing_state(words, tables)
-    texts, bits = batched(rows, "id", "text", least_batch=LM_BATCH_BYTES)
-    texts = texts.withColumn("training", ~held_out(F.col("id")))
     scored = written(words.mapInArrow(_scoring(tables, weights, refined, bits), MESSAGE), "scored-words")
     end = scored.where("kind = 1").first()
     end_count, end_score = np.frombuffer(end.payload) if end else (0.0, 0.0)
