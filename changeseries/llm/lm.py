@@ -37,7 +37,7 @@ pair and triple and learns with a bit which ones other batches hold; the counts
 second it sends longer keys of the former, with its own counts, and hashes of its words. Words go by 64-bit hashes: two words
 of ten million share one with a chance under one in 300,000. Pairs and triples go by as many bits as
 leave a pair or triple one chance in a million to be taken for another, whatever the input (``FURTHER_BITS``).
-Spelling probabilities are sent with 36 bits of their logarithms.
+Logarithms of spelling probabilities are rounded to a millionth (``SCORE_STEPS``) where they are sent.
 
 Results for odd rows: null text counts as empty, which is the end alone. A row without an id is
 trained on and not held out. Repeated rows count each. Texts are whole. An empty table gives an empty result.
@@ -392,7 +392,7 @@ def _scoring(tables, weights: np.ndarray, refined: np.ndarray, bits: int):
             real = np.array([i for i, t in enumerate(tokens) if t], np.int64)
             hashes = Words([b"\n".join(tokens)], powers).hashes
             order = np.argsort(hashes)
-            counts_there, scores_there, hashes = counts[real][order].astype(np.uint64), scores[real][order].view(np.uint64) & SCORE_MASK, hashes[order]
+            counts_there, scores_there, hashes = counts[real][order].astype(np.uint64), np.rint(-scores[real][order] * SCORE_STEPS).astype(np.uint64), hashes[order]
             rows = [
                 (bucket, -1, 0, joined(packed_sorted(hashes[i:j]), packed(counts_there[i:j]), packed(scores_there[i:j])))
                 for bucket, i, j in bucket_slices(hashes, bits)
@@ -407,7 +407,7 @@ def _scoring(tables, weights: np.ndarray, refined: np.ndarray, bits: int):
 
 
 FURTHER_BITS = 17
-SCORE_MASK = np.uint64(0xFFFFFFFFFFFF0000)
+SCORE_STEPS = float(1 << 20)
 SHORT, WORDS, WORD_ANSWERS, ELSEWHERE, COUNTS, COUNT_ANSWERS, NOTE = range(1, 8)
 
 
@@ -632,7 +632,7 @@ def _adding(bits: int, more: int, end: tuple[float, float], rounds: int):
         for bucket, i, j in bucket_slices(different, bits):
             there = parted(found[bucket])
             counts[i:j] = unpacked(there[0])
-            scores[i:j] = unpacked(there[1]).view(np.float64)
+            scores[i:j] = unpacked(there[1]) / -SCORE_STEPS
         counts, scores = counts[place], scores[place]
         keys, place = _numbered(words.keys)
         key_counts = np.bincount(place, words.held(training), len(keys))
@@ -682,6 +682,7 @@ def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column
     end = scored.where("kind = 1").first()
     end_count, end_score = np.frombuffer(end.payload) if end else (0.0, 0.0)
 
+    release(spark)
     by_batch = texts.groupBy("batch")
     more = short_bits(BUCKET_BYTES)
     shortly = by_batch.applyInArrow(_asking_shortly(bits, more), MESSAGE)
