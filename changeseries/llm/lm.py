@@ -18,7 +18,7 @@ counts are summed over all training documents:
   and weights are learned on the tables as they are. What is gathered, counts of words, pairs and triples, grows with the corpus.
 * Weights are learned online, word block by word block, by gradient steps on the coding
   error, predicting each word as if one occurrence of it had not been seen. The vocabulary is split by a hash of the
-  word into parts whose number follows from its size alone; parts start alike and their weights are averaged by the
+  word into parts that follow from the corpus alone; parts start alike and their weights are averaged by the
   occurrences behind them, so the cluster has no say in the result. The map's counts are added up.
 
 Words of a block that begin alike share their decisions; a decision is computed once, with the weight of all of them.
@@ -36,7 +36,7 @@ of words, by two exchanges between batches and buckets (see ``batches``). In the
 pair and triple and learns with a bit which ones other batches hold; the counts of all others it knows itself. In the
 second it sends longer keys of the former, with its own counts, and hashes of its words. Words go by 64-bit hashes: two words
 of ten million share one with a chance under one in 300,000. Pairs and triples go by as many bits as
-leave a pair or triple one chance in a million to be taken for another, whatever the input (``FURTHER_BITS``).
+leave a pair or triple four chances in a million to be taken for another, whatever the input (``FURTHER_BITS``).
 Logarithms of spelling probabilities are rounded to a millionth (``SCORE_STEPS``) where they are sent.
 
 Results for odd rows: null text counts as empty, which is the end alone. A row without an id is
@@ -148,8 +148,11 @@ def _counting(parts: int):
     return count
 
 
+VOCABULARY = "n long, different long, tokens binary, counts binary"
+
+
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``token, n`` of one part, over all tasks."""
+    """``VOCABULARY`` of one part of the words, over all tasks: rows of ``WORDS_PER_PART`` words in their order."""
     total: dict[bytes, int] = {}
     for batch in batches:
         for payload in batch.column(1):
@@ -157,13 +160,33 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             tokens = zstandard.ZstdDecompressor().decompress(tokens).split(b"\n")
             for token, n in zip(tokens, unpacked(counts).tolist()):
                 total[token] = total.get(token, 0) + n
-    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())], ["token", "n"])
+    tokens, compressor = sorted(total), zstandard.ZstdCompressor(level=1)
+    for first in range(0, len(tokens), WORDS_PER_PART):
+        some = tokens[first : first + WORDS_PER_PART]
+        counts = np.fromiter((total[t] for t in some), np.uint64, len(some))
+        columns = [int(counts.sum()), int((counts > 0).sum()), compressor.compress(b"\n".join(some)), packed(counts)]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        names = [column.split()[0] for column in VOCABULARY.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array([c], kind) for c, kind in zip(columns, kinds)], names)
 
 
 def vocabulary(texts: DataFrame, parts: int) -> DataFrame:
-    """``token, n`` over the whole table: every word, the end as the empty token, and its training count."""
+    """Every word of the whole table, the end as the empty one, and its training count, packed as ``VOCABULARY``.
+
+    How words are dealt into rows follows from the words alone.
+    """
     counted = texts.mapInArrow(_counting(parts), "part long, payload binary")
-    return counted.groupBy("part").applyInArrow(_counted_words, "token binary, n long")
+    return counted.groupBy("part").applyInArrow(_counted_words, VOCABULARY)
+
+
+def _unpacked_words(batch: pa.RecordBatch, trained_only: bool) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words and counts of each row."""
+    for tokens, counts in zip(batch.column(2), batch.column(3)):
+        tokens, counts = zstandard.ZstdDecompressor().decompress(tokens.as_py()).split(b"\n"), unpacked(counts.as_py()).astype(np.float64)
+        if trained_only:
+            keep = np.flatnonzero(counts > 0)
+            tokens, counts = [tokens[i] for i in keep], counts[keep]
+        yield tokens, counts
 
 
 # --- spelling -----------------------------------------------------------------------
@@ -225,11 +248,8 @@ def _block(tokens: list[bytes], counts: np.ndarray) -> Iterator[tuple[list[bytes
 
 def _blocks(batches: Iterator[pa.RecordBatch], trained_only: bool) -> Iterator[tuple[list[bytes], np.ndarray]]:
     for batch in batches:
-        tokens, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        if trained_only:
-            keep = np.flatnonzero(counts > 0)
-            tokens, counts = [tokens[i] for i in keep], counts[keep]
-        yield from _block(tokens, counts)
+        for tokens, counts in _unpacked_words(batch, trained_only):
+            yield from _block(tokens, counts)
 
 
 # --- counts of the predictors -------------------------------------------------------
@@ -307,11 +327,15 @@ def _map_place(node: np.ndarray, odds: np.ndarray) -> np.ndarray:
 def _learning(tables):
     """``place, value, weight``: weighted weights of this task, then the counts of its map."""
 
-    def learned(part: pa.Table) -> pa.Table:
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tokens, counts in _unpacked_words(batch, trained_only=True):
+                yield from of_part(tokens, counts)
+
+    def of_part(words: list[bytes], counts_of: np.ndarray) -> Iterator[pa.RecordBatch]:
         flat, powers, weights = tables.value.reshape(len(ORDERS), -1), Powers(), first_weights()
         seen, mapped = np.zeros(GATES), np.zeros((256 * MAP_STEPS, 2))
-        words = sorted(zip(part.column("token").to_pylist(), part.column("n").to_pylist()))
-        for tokens, counts in _block([t for t, _ in words], np.array([n for _, n in words], np.float64)):
+        for tokens, counts in _block(words, counts_of):
             spelling = Spelling(tokens, powers)
             weight = spelling.summed(counts)
             for level, node, bit, slots in spelling.decisions():
@@ -334,7 +358,8 @@ def _learning(tables):
                 seen += there
         values = np.concatenate(((weights * seen[:, None]).ravel(), mapped.ravel()))
         shares = np.concatenate((np.repeat(seen, weights.shape[1]), np.ones(mapped.size)))
-        return pa.table({"place": pa.array(np.arange(len(values), dtype=np.int32)), "value": pa.array(values), "share": pa.array(shares)})
+        places = pa.array(np.arange(len(values), dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([places, pa.array(values), pa.array(shares)], ["place", "value", "share"])
 
     return learned
 
@@ -348,10 +373,7 @@ def _mixed_odds(weights: np.ndarray, gate: np.ndarray, inputs: np.ndarray) -> np
 
 def mixing_state(words: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
     """Averaged weights ``[gate, input]`` and the refining map's log-odds ``[bits so far, step]``."""
-    trained = words.where("n > 0")
-    parts = max(1, -(-trained.count() // WORDS_PER_PART))
-    split = trained.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)))
-    state = split.groupBy("part").applyInArrow(_learning(tables), "place int, value double, share double").groupBy("place").agg(
+    state = words.mapInArrow(_learning(tables), "place int, value double, share double").groupBy("place").agg(
         F.sum("value").alias("value"), F.sum("share").alias("share")
     )
     weights, size = first_weights(), first_weights().size
@@ -406,7 +428,7 @@ def _scoring(tables, weights: np.ndarray, refined: np.ndarray, bits: int):
 # --- documents ----------------------------------------------------------------------
 
 
-FURTHER_BITS = 17
+FURTHER_BITS = 15
 SCORE_STEPS = float(1 << 20)
 SHORT, WORDS, WORD_ANSWERS, ELSEWHERE, COUNTS, COUNT_ANSWERS, NOTE = range(1, 8)
 
@@ -674,7 +696,7 @@ def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column
     texts = texts.withColumn("training", ~held_out(F.col("id")))
     words = written(vocabulary(training, 1 << bits), "vocabulary")
     release(spark)
-    total, different = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    total, different = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("different"), F.lit(0))).first()
 
     tables = spark.sparkContext.broadcast(predictor_counts(words))
     weights, refined = mixing_state(words, tables)
