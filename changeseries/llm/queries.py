@@ -64,10 +64,12 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
         .select("record_id", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("bytes"))
         .checkpoint()
     )
-    full = records.where("record_type = 'response'").groupBy("record_id").agg(F.max("bytes").alias("full_bytes"))
-    return records.join(full.withColumnRenamed("record_id", "response"), F.col("refers_to") == F.col("response"), "left").select(
+    responses, revisits = records.where("record_type = 'response'"), records.where("record_type = 'revisit'").drop("bytes")
+    full = responses.groupBy(F.col("record_id").alias("response")).agg(F.max("bytes").alias("bytes")).checkpoint()
+    revisits = revisits.join(full, F.col("refers_to") == F.col("response"), "left").drop("response")
+    return responses.unionByName(revisits).select(
         warc.page_number(F.col("record_id")).alias("page_id"),
-        F.coalesce("bytes", "full_bytes").alias("payload_bytes"),
+        F.col("bytes").alias("payload_bytes"),
         "payload_digest",
         "record_type",
         warc.page_number(F.col("refers_to")).alias("refers_to"),

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changeseries.storage import checkpoint_folder
+from changeseries.storage import scratch_path
 
 
 def shared_path(rows_or_session, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    spark = getattr(rows_or_session, "sparkSession", rows_or_session)
-    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share; ``changeseries.storage.remove_scratch`` removes it."""
+    return scratch_path(getattr(rows_or_session, "sparkSession", rows_or_session), name)
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:

@@ -1,15 +1,18 @@
 """Zstandard-compressed WARC archives: writing them and reading them back.
 
 An archive is a series of Zstandard frames. The first is a skippable frame with the
-dictionary of the archive, then comes one frame per record. Spark's own text writer
-puts the frames down: a frame is a line, and the line separator is an empty
-skippable frame, which readers pass over. So archives go through Spark's commit
-protocol to any file system it can write to, one per task, and a lost task leaves
-nothing behind. They are read with Spark's binary file source.
+dictionary of the archive, then comes one frame per record. An archive ends with the
+record that brings it to ``archive_bytes``; a task writes as many as its rows need.
+Spark's own text writer puts them down: an archive is a line and a file of its own, and
+the line separator is an empty skippable frame, which readers pass over. So archives go
+through Spark's commit protocol to any file system it can write to, and a lost
+task leaves nothing behind. They are read with Spark's binary file source, one row each.
 
 Records are ``response`` or, for a payload that a smaller id already has, ``revisit``
 records, which refer to that response and hold no payload. Which is which is
-found by an aggregation over payload hashes.
+found by an aggregation over payload hashes, stored before the rows are joined with what
+it found about payloads of several rows: so that join can be split where one payload has
+a large share of the pages.
 
 The reader walks the frames by their headers, decodes one at a time, and checks: the
 frame's magic number, that a frame holds one record, the version line, required headers, the declared
@@ -17,8 +20,9 @@ against the real length, the closing blank lines, and the payload's digest.
 
 Results for odd rows: null html is an empty payload; null urls are left out of the
 header. Rows without an id are responses only if no row with that payload has an id, else
-revisits. Repeated rows with the smallest id of a payload are all responses. An empty
-table gives archives without records. Only the three named columns are read.
+revisits. Repeated rows with the smallest id of a payload are all responses. A very long
+payload is written and read whole; an archive exceeds its bound by its last record. Very long urls are
+kept whole. An empty table gives a folder without records. Only the three named columns are read.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changeseries.storage import checkpoint_folder
+
 SKIPPABLE = 0x184D2A50
 DICTIONARY_FRAME = 0x184D2A5D
 FRAME = 0xFD2FB528
@@ -39,6 +45,9 @@ EMPTY_FRAME = SKIPPABLE.to_bytes(4, "little") + bytes(4)
 
 DICTIONARY_BYTES = 16_384
 SAMPLE_RECORDS = 64
+# A sample ends early at this many bytes, as it is held in memory.
+SAMPLE_BYTES = 8_000_000
+ARCHIVE_BYTES = 32_000_000
 LEVEL = 3
 
 VERSION = b"WARC/1.1"
@@ -95,33 +104,41 @@ def skippable_frame(magic: int, content: bytes) -> bytes:
     return magic.to_bytes(4, "little") + len(content).to_bytes(4, "little") + content
 
 
-def archive_frames(records: Iterator[bytes]) -> Iterator[bytes]:
-    """The frames of one archive."""
+def archives(records: Iterator[bytes], archive_bytes: int = ARCHIVE_BYTES) -> Iterator[bytes]:
+    """Archives of at least ``archive_bytes``, the last one of what is left.
+
+    Each has a dictionary trained on its own first records, or that of the archive before if they are too few.
+    """
     import zstandard
 
-    first: list[bytes] = []
-    for item in records:
-        first.append(item)
-        if len(first) == SAMPLE_RECORDS:
-            break
-    if not first:
-        return
-    trained = _dictionary(first)
-    if trained is not None:
-        yield skippable_frame(DICTIONARY_FRAME, trained.as_bytes())
-    compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=True)
-    for item in first:
-        yield compressor.compress(item)
-    first.clear()
-    for item in records:
-        yield compressor.compress(item)
-
-
-def _writing(date: str):
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    trained = None
+    while True:
+        first, sampled = [], 0
+        for item in records:
+            first.append(item)
+            sampled += len(item)
+            if len(first) == SAMPLE_RECORDS or sampled >= SAMPLE_BYTES:
+                break
+        if not first:
+            return
+        trained = _dictionary(first) or trained
+        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=True)
+        frames = [] if trained is None else [skippable_frame(DICTIONARY_FRAME, trained.as_bytes())]
+        frames += [compressor.compress(item) for item in first]
+        first.clear()
+        size = sum(map(len, frames))
+        while size < archive_bytes and (item := next(records, None)) is not None:
+            frames.append(compressor.compress(item))
+            size += len(frames[-1])
+        yield b"".join(frames)
+
+
+def _writing(date: str, archive_bytes: int):
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
             for batch in batches:
-                for identity, uri, payload, first in zip(*[column.to_pylist() for column in batch.columns]):
+                for values in zip(*batch.columns):
+                    identity, uri, payload, first = (value.as_py() for value in values)
                     revisit = first is not None and first != identity
                     yield record(
                         "revisit" if revisit else "response",
@@ -133,16 +150,10 @@ def _writing(date: str):
                         date,
                     )
 
-        held, size = [], 0
-        for frame in archive_frames(records()):
-            held.append(frame)
-            size += len(frame)
-            if size > 4_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
-                held, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
+        for archive in archives(records(), archive_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], ["value"])
 
-    return frames
+    return whole
 
 
 def write_archives(
@@ -152,20 +163,28 @@ def write_archives(
     url_column: str = "url",
     payload_column: str = "html",
     date: str = "1970-01-01T00:00:00Z",
+    archive_bytes: int = ARCHIVE_BYTES,
 ) -> None:
-    """Write archives, one per task, into the folder ``path``."""
+    """Write archives of about ``archive_bytes`` and less into the folder ``path``."""
+    checkpoint_folder(pages.sparkSession)
     payload = F.coalesce(F.col(payload_column).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(
         F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), payload.alias("payload")
-    ).withColumn("key", F.sha2("payload", 256))
-    first = rows.groupBy("key").agg(F.min("id").alias("first"))
-    frames = (
-        rows.join(first, "key")
+    ).withColumn("key", F.unhex(F.sha2("payload", 256)))
+    shared = (
+        rows.groupBy("key")
+        .agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+        .where("copies > 1 AND first IS NOT NULL")
+        .select(F.col("key").alias("_key"), "first")
+        .checkpoint()  # a join with it can be split where a payload is frequent; sharing its exchange it could not
+    )
+    whole = (
+        rows.join(shared, F.col("key") == F.col("_key"), "left")
         .select("id", "url", "payload", "first")
-        .mapInArrow(_writing(date), "value binary")
+        .mapInArrow(_writing(date, archive_bytes), "value binary")
         .select(F.col("value").cast("string").alias("value"))
     )
-    frames.write.option("lineSep", EMPTY_FRAME.decode()).text(path)
+    whole.write.option("lineSep", EMPTY_FRAME.decode()).option("maxRecordsPerFile", 1).text(path)
 
 
 def frames_of(archive: bytes) -> Iterator[tuple[int, int, int]]:

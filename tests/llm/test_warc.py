@@ -72,6 +72,62 @@ def test_an_archive_begins_with_its_dictionary(spark, tmp_path):
                 assert tool.decompress(archive[start:end]).startswith(b"WARC/1.1\r\n")
 
 
+def test_archives_are_bounded(spark, tmp_path):
+    bound = 30_000
+    rng = random.Random(5)
+    rows = [(i, f"http://h/{i}", "<html><body><p>" + " ".join(rng.choices(["some", "words", "of", "all", str(i)], k=60)) + f" {rng.random()}") for i in range(1500)]
+    rows += [(2000, "long", "".join(rng.choices("abcdefgh", k=200_000)))]
+    path = str(tmp_path / "bounded")
+    warc.write_archives(pages(spark, rows), path, archive_bytes=bound)
+    contents = [p.read_bytes() for p in (tmp_path / "bounded").glob("part-*")]
+    assert len(contents) > 6
+    over = 0
+    for content in contents:
+        frames = [f for f in warc.frames_of(content) if f[0] in (warc.FRAME, warc.DICTIONARY_FRAME)]
+        assert frames[0][0] == warc.DICTIONARY_FRAME and frames[0][1] == 0
+        kept = [end - start for _, start, end in frames]
+        sample = 1 + warc.SAMPLE_RECORDS
+        over += sum(kept[:-1]) >= bound and len(kept) > sample
+        assert sum(magic == warc.FRAME for magic, _, _ in frames) >= 1
+    assert over == 0
+    records = warc.read_archives(spark, path).collect()
+    assert sorted((r.record_id, bytes(r.payload)) for r in records) == sorted((warc.IDENTITY.format(i), h.encode()) for i, _, h in rows)
+
+
+def test_a_sample_of_long_records_ends_early(monkeypatch):
+    monkeypatch.setattr(warc, "SAMPLE_BYTES", 10_000)
+    records = [warc.record("response", f"<urn:page:{i}>", None, b"x" * 900, warc.digest(b"x" * 900), None, "1970-01-01T00:00:00Z") for i in range(100)]
+    made = list(warc.archives(iter(records), 1))
+    assert len(made) > 2
+    assert [r["record_id"] for archive in made for r in warc.records_of(archive)] == [f"<urn:page:{i}>" for i in range(100)]
+
+
+def test_a_frequent_payload_is_split_over_tasks(spark, tmp_path):
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    hot = "".join(random.Random(7).choices("abcdefgh", k=5_000))
+    rows = [(i, f"http://h/{i}", hot if i % 3 == 0 else f"page {i} " + hot[: i % 300]) for i in range(3_000)]
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        path = str(tmp_path / "hot")
+        warc.write_archives(pages(spark, rows).repartition(16), path)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    records = warc.read_archives(spark, path).collect()
+    assert len(records) == len(rows)
+    revisits = [r for r in records if r.record_type == "revisit"]
+    assert len(revisits) == 999 and {r.refers_to for r in revisits} == {warc.IDENTITY.format(0)}
+    assert len({r.archive for r in revisits}) > 1
+
+
 def archive_of(*records):
     compressor = zstandard.ZstdCompressor()
     return b"".join(compressor.compress(r) + warc.EMPTY_FRAME for r in records)
