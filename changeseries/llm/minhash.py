@@ -16,7 +16,7 @@ a register about as often as their Jaccard similarity says, plus rare collisions
 5. Connected components of the verified links are contracted. Buckets that then still
    hold several components are the ones where pairing with the smallest may
    have lost a link between two others. There the full sets of all members are
-   compared, block by block of bounded size, and only links that join components leave
+   compared, block by block of bounded members and bytes, and only links that join components leave
    the task. Components are then built again. So no candidate that matters for
    the components is left out, however large a bucket is.
 
@@ -49,6 +49,7 @@ DEVIATIONS = 5.0
 CHUNK_BYTES = 500_000
 BORROWING_TRIES = 16
 BLOCK_MEMBERS = 500
+BLOCK_BYTES = 16_000_000
 INCIDENCE_COLUMNS = 2_048
 
 #: Chance that two different smallest hashes leave equal registers: the sum of squared
@@ -129,9 +130,10 @@ def _sketching(size: int):
                         pa.array(counts, pa.int64()),
                         pa.array(keys[:, 0]),
                         pa.array(keys[:, 1]),
+                        pa.array(np.fromiter(map(len, texts[first:end]), np.int64, end - first)),
                         _binary(registers(found, counts)),
                     ],
-                    ["id", "n_shingles", "key_1", "key_2", "sketch"],
+                    ["id", "n_shingles", "key_1", "key_2", "bytes", "sketch"],
                 )
 
     return sketches
@@ -173,7 +175,8 @@ def _banding(width: int):
                 part = batch.slice(first, 4_000)
                 keys = band_keys(_as_matrix(part.column("sketch")), width)
                 row = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("node").take(row)], ["band", "node"])
+                repeated = [part.column(c).take(row) for c in ("node", "bytes")]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *repeated], ["band", "node", "bytes"])
 
     return banded
 
@@ -285,12 +288,14 @@ class _Corpus:
             F.col(id_column).cast("long").alias("id"),
             F.coalesce(F.col(text_column).cast("binary"), F.lit("").cast("binary")).alias("text"),
         )
-        schema = "id long, n_shingles long, key_1 long, key_2 long, sketch binary"
+        schema = "id long, n_shingles long, key_1 long, key_2 long, bytes long, sketch binary"
         self.rows = written(self.texts.mapInArrow(_sketching(size), schema), "sketches")
         named = self.rows.where("id IS NOT NULL AND n_shingles > 0")
         self.classes = named.groupBy("key_1", "key_2").agg(F.min("id").alias("node"))
-        sketched = named.groupBy("key_1", "key_2").agg(F.min("id").alias("node"), F.first("sketch").alias("sketch"))
-        bands = sketched.mapInArrow(_banding(band_width(percent)), "band long, node long")
+        sketched = named.groupBy("key_1", "key_2").agg(
+            F.min("id").alias("node"), F.max("bytes").alias("bytes"), F.first("sketch").alias("sketch")
+        )
+        bands = sketched.mapInArrow(_banding(band_width(percent)), "band long, node long, bytes long")
         self.pairs, self.members = _paired_with_smallest(bands)
         wanted = self.pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         self.texts = written(self.texts.join(wanted, "id", "left_semi").distinct(), "candidate-texts")
@@ -309,13 +314,14 @@ class _Corpus:
     def across(self, labels: DataFrame) -> DataFrame:
         """Links between components within a bucket that the pairs do not show."""
         placed = self.members.join(labels, F.col("node") == F.col("labelled"), "left").select(
-            "band", "node", F.coalesce("component", "node").alias("component")
+            "band", "node", "bytes", F.coalesce("component", "node").alias("component")
         )
+        blocks = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("bytes") / BLOCK_BYTES)).cast("int")
         several = (
             placed.groupBy("band")
-            .agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members"))
+            .agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members"), F.sum("bytes").alias("bytes"))
             .where("c1 <> c2")
-            .select(F.col("band").alias("_band"), F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+            .select(F.col("band").alias("_band"), blocks.alias("blocks"))
             .checkpoint()  # a join with it can be split where a bucket is large; sharing its exchange it could not
         )
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -337,7 +343,7 @@ def _paired_with_smallest(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = buckets.where("members > 1 AND low <> high").checkpoint()
     twos = buckets.where("members = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
     larger = buckets.where("members > 2").select(F.col("band").alias("_band"), "low")
-    members = bands.join(larger, F.col("band") == F.col("_band")).select("band", "node", "low").checkpoint()
+    members = bands.join(larger, F.col("band") == F.col("_band")).select("band", "node", "bytes", "low").checkpoint()
     pairs = twos.union(members.select(F.col("node").alias("a"), F.col("low").alias("b"))).where("a <> b").distinct()
     return pairs.checkpoint(), members
 
@@ -361,6 +367,7 @@ def near_duplicates(
     classes = corpus.classes.join(labels, F.col("node") == F.col("labelled"), "left").select(
         F.col("key_1").alias("_key_1"), F.col("key_2").alias("_key_2"), F.coalesce("component", "node").alias("component")
     )
+    classes = classes.checkpoint()  # shares no exchange with the rows, so that a class of many copies can be split
     same = (F.col("key_1") == F.col("_key_1")) & (F.col("key_2") == F.col("_key_2")) & F.col("id").isNotNull() & (F.col("n_shingles") > 0)
     return corpus.rows.join(classes, same, "left").select(
         F.col("id").alias(id_column),

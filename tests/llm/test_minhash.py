@@ -59,9 +59,10 @@ def test_brute_force(spark, percent):
     assert run(spark, rows, percent) == brute(rows, percent)
 
 
-def test_links_that_pairing_with_the_smallest_misses(spark, monkeypatch):
-    """A large group around no common document, in blocks of a few members."""
-    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 7)
+@pytest.mark.parametrize("bound, value", [("BLOCK_MEMBERS", 7), ("BLOCK_BYTES", 4_000)])
+def test_links_that_pairing_with_the_smallest_misses(spark, monkeypatch, bound, value):
+    """A large group around no common document, in blocks of a few members or bytes."""
+    monkeypatch.setattr(minhash, bound, value)
     monkeypatch.setattr(minhash, "INCIDENCE_COLUMNS", 16)
     rng = random.Random(12)
     text = [f"w{i}" for i in range(120)]
