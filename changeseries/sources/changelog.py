@@ -69,7 +69,7 @@ def _with_time(rows: DataFrame, named: list[Column], time: Column, kind: T.DataT
     readable = F.col("ts").isNotNull()
     if on_error == "raise":
         # A filter, unlike the column itself, is not pruned when nothing reads the time.
-        message = F.concat(F.lit("unreadable change time: "), F.col("_text"))
+        message = F.concat(F.lit("unreadable change time: "), F.col("_text"), F.lit("; a change without a readable time fails the job"))
         readable = F.when(readable, True).otherwise(F.raise_error(message).cast("boolean"))
     return changes.filter(readable).drop("_text")
 
