@@ -17,8 +17,11 @@ a register about as often as their Jaccard similarity says, plus rare collisions
    hold several components are the ones where pairing with the smallest may
    have lost a link between two others. There the full sets of all members are
    compared, block by block of bounded members and bytes, and only links that join components leave
-   the task. Components are then built again. So no candidate that matters for
-   the components is left out, however large a bucket is.
+   the task, as pairs of components, which are then joined the same way. So no candidate that matters
+   for the components is left out, however large a bucket is.
+
+Band keys are written once and read by both steps that need them. The number of steps that shuffle does
+not grow with the size of groups, beyond the rounds that contracting takes.
 
 Results for odd rows: text without words has no shingle and is linked with nothing; a text
 of fewer words than a shingle has one shingle. A row without an id takes part in nothing:
@@ -38,7 +41,6 @@ from pyspark.sql import functions as F
 from changeseries.llm.components import components
 from changeseries.llm.storage import written
 from changeseries.llm.wordhash import SEED_1, SEED_2, Powers, Words, mixed, runs_of_texts, window_hashes
-from changeseries.storage import checkpoint_folder
 
 SHINGLE_WORDS = 5
 REGISTER_BITS = 8
@@ -261,12 +263,12 @@ def _spanning(a: np.ndarray, b: np.ndarray, component: np.ndarray) -> list[int]:
 
 
 def _comparing(percent: int, size: int):
-    """Links between different components among the members of two blocks of one bucket."""
+    """Pairs of different components that have a link among the members of two blocks of one bucket."""
 
     powers = Powers()  # grows in the worker, kept from group to group
 
     def linked(table: pa.Table) -> pa.Table:
-        nodes, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        component = table.column("component").to_numpy()
         texts = table.column("text").to_pylist()
         parts = [shingles(texts[i:j], size, powers) for i, j in runs_of_texts(texts, CHUNK_BYTES)]
         found, counts = (np.concatenate(x) for x in zip(*parts))
@@ -274,7 +276,7 @@ def _comparing(percent: int, size: int):
         similar = (common > 0) & (100 * common >= percent * (counts[:, None] + counts[None, :] - common))
         a, b = np.nonzero(np.triu(similar, 1) & (component[:, None] != component[None, :]))
         used = _spanning(a, b, component)
-        return pa.table({"a": pa.array(nodes[a[used]], pa.int64()), "b": pa.array(nodes[b[used]], pa.int64())})
+        return pa.table({"a": pa.array(component[a[used]], pa.int64()), "b": pa.array(component[b[used]], pa.int64())})
 
     return linked
 
@@ -296,7 +298,7 @@ class _Corpus:
             F.min("id").alias("node"), F.max("bytes").alias("bytes"), F.first("sketch").alias("sketch")
         )
         bands = sketched.mapInArrow(_banding(band_width(percent)), "band long, node long, bytes long")
-        self.pairs, self.members = _paired_with_smallest(bands)
+        self.pairs, self.members = _paired_with_smallest(written(bands, "bands"))
         wanted = self.pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         self.texts = written(self.texts.join(wanted, "id", "left_semi").distinct(), "candidate-texts")
 
@@ -308,11 +310,10 @@ class _Corpus:
             .join(other, F.col("b") == F.col("_b"))
             .select("a", "b", "text_a", "text_b")
             .mapInArrow(_verifying(self.percent, self.size), "a long, b long")
-            .checkpoint()
         )
 
     def across(self, labels: DataFrame) -> DataFrame:
-        """Links between components within a bucket that the pairs do not show."""
+        """Pairs of components with a link within a bucket that the pairs do not show."""
         placed = self.members.join(labels, F.col("node") == F.col("labelled"), "left").select(
             "band", "node", "bytes", F.coalesce("component", "node").alias("component")
         )
@@ -322,8 +323,8 @@ class _Corpus:
             .agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members"), F.sum("bytes").alias("bytes"))
             .where("c1 <> c2")
             .select(F.col("band").alias("_band"), blocks.alias("blocks"))
-            .checkpoint()  # a join with it can be split where a bucket is large; sharing its exchange it could not
         )
+        several = written(several, "several")  # a join with it can be split where a bucket is large; sharing its exchange it could not
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         partners = F.sequence(F.lit(0), F.col("blocks") - 1)
         return (
@@ -333,17 +334,19 @@ class _Corpus:
             .join(self.texts, F.col("node") == F.col("id"))
             .groupBy("band", "low", "high")
             .applyInArrow(_comparing(self.percent, self.size), "a long, b long")
-            .checkpoint()
         )
 
 
 def _paired_with_smallest(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a, b`` of each class with the smallest of its bucket, and the members of buckets of three or more."""
     buckets = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("members"))
+    # Buckets and pairs are checkpoints, of a size that the planner does not know: what is large, band keys
+    # and texts, is then joined with them by the same plan whatever the input's size.
     buckets = buckets.where("members > 1 AND low <> high").checkpoint()
     twos = buckets.where("members = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
     larger = buckets.where("members > 2").select(F.col("band").alias("_band"), "low")
-    members = bands.join(larger, F.col("band") == F.col("_band")).select("band", "node", "bytes", "low").checkpoint()
+    members = bands.join(larger, F.col("band") == F.col("_band")).select("band", "node", "bytes", "low")
+    members = written(members, "members")
     pairs = twos.union(members.select(F.col("node").alias("a"), F.col("low").alias("b"))).where("a <> b").distinct()
     return pairs.checkpoint(), members
 
@@ -359,15 +362,16 @@ def near_duplicates(
 
     Documents are linked if ``100 * intersection >= percent * union`` of their shingle sets.
     """
-    checkpoint_folder(documents.sparkSession)
     corpus = _Corpus(documents, id_column, text_column, percent, shingle_words)
-    links = corpus.verified()
-    links = links.union(corpus.across(components(links).toDF("labelled", "component")))
-    labels = components(links).toDF("labelled", "component")
-    classes = corpus.classes.join(labels, F.col("node") == F.col("labelled"), "left").select(
-        F.col("key_1").alias("_key_1"), F.col("key_2").alias("_key_2"), F.coalesce("component", "node").alias("component")
+    labels = components(corpus.verified()).toDF("labelled", "component")
+    joined = components(corpus.across(labels)).toDF("part", "whole")
+    classes = (
+        corpus.classes.join(labels, F.col("node") == F.col("labelled"), "left")
+        .select("key_1", "key_2", F.coalesce("component", "node").alias("component"))
+        .join(joined, F.col("component") == F.col("part"), "left")
+        .select(F.col("key_1").alias("_key_1"), F.col("key_2").alias("_key_2"), F.coalesce("whole", "component").alias("component"))
     )
-    classes = classes.checkpoint()  # shares no exchange with the rows, so that a class of many copies can be split
+    classes = written(classes, "classes")  # shares no exchange with the rows, so that a class of many copies can be split
     same = (F.col("key_1") == F.col("_key_1")) & (F.col("key_2") == F.col("_key_2")) & F.col("id").isNotNull() & (F.col("n_shingles") > 0)
     return corpus.rows.join(classes, same, "left").select(
         F.col("id").alias(id_column),

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from helpers import documents, words
 
+from changeseries.llm import components as stars
 from changeseries.llm import minhash
 from changeseries.llm.components import components
 from changeseries.llm.wordhash import Powers
@@ -36,7 +37,11 @@ def brute(rows, percent):
 
 
 def run(spark, rows, percent=85):
-    got = minhash.near_duplicates(documents(spark, rows), percent=percent).collect()
+    return run_table(documents(spark, rows), percent)
+
+
+def run_table(table, percent=85):
+    got = minhash.near_duplicates(table, percent=percent).collect()
     return sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in got)
 
 
@@ -122,3 +127,36 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 160)}, 250: 200, 300: 200}
     assert components(spark.createDataFrame([], "x long, y long")).collect() == []
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Links that already hang at the smallest of their component are not contracted to find that out."""
+    monkeypatch.setattr(stars, "_small_star", lambda edges: pytest.fail("a round"))
+    edges = [(i, 3) for i in range(4, 30)] + [(3, 40), (41, 3), (41, 3), (60, 50), (60, 60)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    assert got == {**{i: 3 for i in [*range(4, 30), 40, 41]}, 60: 50}
+
+
+def test_few_steps_shuffle(spark):
+    """A large group of near copies over many shuffle partitions: tasks for each partition stay few."""
+    partitions, rng = 60, random.Random(16)
+    rows = near_copies(15, bases=3)
+    text = [f"w{i}" for i in range(100)]
+    rows += [(10_000 + i, " ".join(f"x{i}" if k in rng.sample(range(100), 3) else w for k, w in enumerate(text))) for i in range(60)]
+    held = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "64k"}
+    before, context = {k: spark.conf.get(k) for k in held}, spark.sparkContext
+    table = documents(spark, rows)
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        context.setJobGroup("near copies", "")
+        assert run_table(table) == brute(rows, 85)
+        context.setJobGroup("other", "")
+        tracker = context.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup("near copies") for s in tracker.getJobInfo(job).stageIds}
+        tasks = sum(tracker.getStageInfo(s).numCompletedTasks for s in stages)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert 10 * partitions < tasks < 45 * partitions, tasks / partitions
